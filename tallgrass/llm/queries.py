@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import decontam, idstore, licenses, packing, pii, quality, simhash, substrings, urls
+from tallgrass.llm import decontam, idstore, licenses, lines, packing, pii, quality, simhash, substrings, urls
 from tallgrass.llm._common import shared_dir, table
 
 
@@ -54,10 +54,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join("removed", ","))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = urls.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return found.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op10_url_filter)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {}
