@@ -174,6 +174,30 @@ def trained(docs: DataFrame, labels: DataFrame, per_class: int = 600, lines: int
     return fit([np.array(r.x).reshape(-1, len(FEATURES)) for r in rows], [r.quality for r in rows])
 
 
+def judge(text: str | None, field: Field, share: float = 0.5) -> tuple:
+    """The columns of quality() behind doc_id."""
+    text = text or ""
+    raw = text.encode()
+    found, words, again = lines_of(raw)
+    n, repeats = len(words), int(again.sum())
+    chars = len(text) - sum(text.count(c) for c in SPACE)
+    failed = n < 10 or 100 * repeats > 20 * n
+    good = viterbi(line_features(found, words, again) @ np.array(field.weights), field)
+    part = sum(k for (_, k, _), g in zip(found, good) if g) / n if n else 0.0
+    return n, chars, sum(raw.count(c) for c in SYMBOLS), sum(d for _, _, d in found), repeats, failed, not failed and part >= share, len(found), int(good.sum()), part
+
+
+def kept(docs: DataFrame, field: Field, share: float = 0.5) -> DataFrame:
+    """The documents that quality() keeps, all columns: one pass, nothing is shuffled."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array([judge(t, field, share)[6] for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, field: Field, share: float = 0.5) -> DataFrame:
     """documents -> the base statistics, the content share, and kept.
 
@@ -182,21 +206,10 @@ def quality(docs: DataFrame, field: Field, share: float = 0.5) -> DataFrame:
     """
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_content_lines", "content_share"]
 
-    def judge(text: str | None) -> tuple:
-        text = text or ""
-        raw = text.encode()
-        found, words, again = lines_of(raw)
-        n, repeats = len(words), int(again.sum())
-        chars = len(text) - sum(text.count(c) for c in SPACE)
-        failed = n < 10 or 100 * repeats > 20 * n
-        good = viterbi(line_features(found, words, again) @ np.array(field.weights), field)
-        part = sum(k for (_, k, _), g in zip(found, good) if g) / n if n else 0.0
-        return n, chars, sum(raw.count(c) for c in SYMBOLS), sum(d for _, _, d in found), repeats, failed, not failed and part >= share, len(found), int(good.sum()), part
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2 + [pa.float64()]
         for b in slices(batches):
-            rows = list(zip(*map(judge, b.column(1).to_pylist())))
+            rows = list(zip(*(judge(t, field, share) for t in b.column(1).to_pylist())))
             yield pa.RecordBatch.from_arrays([b.column(0)] + [pa.array(c, k) for c, k in zip(rows, kinds)], names)
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_content_lines long, content_share double"
