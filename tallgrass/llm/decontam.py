@@ -20,6 +20,7 @@ from tallgrass.llm._common import words_of, written
 
 SHINGLE, SIMILAR = 5, 0.8
 BLOCKS, BLOCK_BITS = 8, 2
+BLOCK = 64  # places of shingles that are windowed together
 RADIUS = BLOCKS * BLOCK_BITS + BLOCKS - 1
 #: Benchmark shingles are broadcast up to this many (8 bytes and two numbers each), and shuffled beyond.
 MOST_BROADCAST = 200_000
@@ -84,26 +85,35 @@ def _of_size(docs: DataFrame, bench: DataFrame, k: int, exactly: bool, similar:
     items = items.select("id.item_id", "id.m", "h", "w", simhash(F.col("h")).alias("fp"), _counted(F.col("h"), F.col("w")).alias("counted"), _total(F.col("w")).alias("item_weight"))
     items = written(items, "items")
     grams = items.select("m", F.explode("h").alias("gram")).distinct()
-    small = grams.count() <= MOST_BROADCAST
-    held = docs.select("doc_id", "text")
-    # the size is taken first, so that rows made by explode do not carry the array; explode_outer, as the filter that
-    # Spark infers for explode repeats the whole expression below it
-    sized = _shingled(held, "doc_id", k).select("doc_id", F.size("h").alias("size"), "h")
-    at = sized.select("doc_id", "size", F.posexplode_outer("h").alias("pos", "gram"))
-    # windows of m words that hold the shingle at pos: they start from pos - (m - k) to pos
-    hits = at.join(F.broadcast(grams) if small else grams, "gram")
+    widest = items.agg(F.coalesce(F.max("m"), F.lit(k))).first()[0] - k  # shingles that a window has beyond its first
+    shingled = _shingled(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).withColumn("id", F.struct("doc_id", "row")), "id", k)
+    shingled = shingled.select("id.doc_id", "id.row", F.size("h").alias("size"), "h", "w")
+    # windows of m words that hold the shingle at pos start from a to b
+    first = F.greatest(F.lit(0), F.col("pos") - (F.col("m") - k))
     last = F.least(F.col("pos"), F.col("size") - (F.col("m") - k) - 1)
-    reach = hits.select("doc_id", "m", F.greatest(F.lit(0), F.col("pos") - (F.col("m") - k)).alias("a"), last.alias("b")).filter("a <= b")
-    starts = reach.groupBy("doc_id", "m").agg(F.collect_set(F.struct("a", "b")).alias("reach"))
+    reach = [F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), "m", first.alias("a"), last.alias("b")]
+    begin = F.greatest(F.lit(0), F.col("block") * BLOCK - widest)
+    around = [F.slice(c, begin + 1, BLOCK + 2 * widest).alias(c) for c in ("h", "w")]
+    # explode_outer, as the filter that Spark infers for explode repeats the whole expression below it
+    if grams.count() <= MOST_BROADCAST:
+        # the arrays ride along by reference up to the join; of a block's hits one keeps the shingles around it
+        at = shingled.select("doc_id", "row", "size", "h", "w", F.posexplode_outer("h").alias("pos", "gram"))
+        hits = at.join(F.broadcast(grams), "gram").select("doc_id", "row", *reach, "h", "w").filter("a <= b")
+        blocks = hits.select("doc_id", "row", "block", begin.alias("begin"), *around, F.struct("m", "a", "b").alias("r"))
+        blocks = blocks.groupBy("doc_id", "row", "block", "begin").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.collect_set("r").alias("reach"))
+    else:
+        sized = shingled.select("doc_id", "row", "size", "h")
+        at = sized.select("doc_id", "row", "size", F.posexplode_outer("h").alias("pos", "gram"))
+        hits = at.join(grams, "gram").select("doc_id", "row", *reach).filter("a <= b")
+        per = hits.groupBy("doc_id", "row", "block").agg(F.collect_set(F.struct("m", "a", "b")).alias("reach"))
+        texts = shingled.select("doc_id", "row", "h", "w").dropDuplicates(["doc_id", "row"])
+        blocks = per.join(texts, ["doc_id", "row"]).select("doc_id", "row", begin.alias("begin"), *around, "reach")
     # each start once: windows near one another overlap
-    place = starts.select("doc_id", F.struct("m", F.array_distinct(F.flatten(F.transform("reach", lambda r: F.sequence(r["a"], r["b"])))).alias("starts")).alias("s"))
-    places = written(place.groupBy("doc_id").agg(F.collect_list("s").alias("places")), "places")
-    texts = _shingled(held.join(places.select("doc_id"), "doc_id", "left_semi"), "doc_id", k).dropDuplicates()
-    size = lambda p: p["m"] - (k - 1)
-    part = lambda a, p, s: F.slice(a, s + 1, size(p))
-    window = lambda p, s: F.struct(p["m"].alias("m"), s.alias("start"), part("h", p, s).alias("h"), _total(part("w", p, s)).alias("weight"))
-    cuts = F.flatten(F.transform("places", lambda p: F.transform(p["starts"], lambda s: window(p, s))))
-    cut = texts.join(places, "doc_id").select("doc_id", F.explode_outer(cuts).alias("c")).select("doc_id", "c.*")
+    starts = lambda r: F.transform(F.sequence(r["a"], r["b"]), lambda s: F.struct(r["m"].alias("m"), s.alias("start")))
+    placed = blocks.select("doc_id", "begin", "h", "w", F.array_distinct(F.flatten(F.transform("reach", starts))).alias("places"))
+    part = lambda a, p: F.slice(a, p["start"] - F.col("begin") + 1, p["m"] - (k - 1))
+    window = lambda p: F.struct(p["m"].alias("m"), p["start"].alias("start"), part("h", p).alias("h"), _total(part("w", p)).alias("weight"))
+    cut = written(placed, "places").select("doc_id", F.explode_outer(F.transform("places", window)).alias("c")).select("doc_id", "c.*")
     windows = cut.select("*", simhash(F.col("h")).alias("fp"))
     probes = windows.select("*", F.explode_outer(F.array(*[F.struct(F.lit(i).alias("block"), _byte(F.col("fp"), i).alias("byte")) for i in range(BLOCKS)])).alias("e")).select("doc_id", "m", "start", "h", "weight", "fp", "e.block", "e.byte")
     entries = index(items.select("item_id", "m", "fp"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm._common import as_bytes, slices, word_hashes, written
+from tallgrass.llm._common import as_bytes, freed, slices, word_hashes, written
 
 LAST = (1 << 63) - 1  # stands for a null doc_id
 BUCKETS = 1 << 20
@@ -42,23 +42,30 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 def rarity(docs: DataFrame) -> np.ndarray:
     """For each bucket of words, four times the binary logarithm of the words counted, over all texts (1 MB)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    width = 1024  # buckets moved together
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for b in slices(batches):
-            held = []
-            for t in as_bytes(b.column(0)):
-                if t:
-                    held.append((word_hashes(t.split()) & np.uint64(BUCKETS - 1)).astype(np.int64))
+            held = [(word_hashes(t.split()) & np.uint64(BUCKETS - 1)).astype(np.int64) for t in as_bytes(b.column(0)) if t]
             if held:
                 total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+        parts = total.reshape(-1, width)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
-    counts = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()  # a row for each bucket at most
-    out = np.zeros(BUCKETS)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(255, 4 * np.log2(out + 1)).astype(np.uint8)
+    schema = "part int, counts binary"
+    summed = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
+    out = np.zeros((BUCKETS // width, width))
+    for r in summed.collect():  # 8 MB, whatever the input's size
+        out[r.part] = np.frombuffer(r.counts, np.int64)
+    return np.minimum(255, 4 * np.log2(out.ravel() + 1)).astype(np.uint8)
 
 
 def prefix_length(n: np.ndarray | int, similar: Fraction = SIMILAR):
@@ -165,12 +172,20 @@ def _dealt(sets: DataFrame, level: np.ndarray) -> DataFrame:
 
 
 def _partners(postings: DataFrame, similar: Fraction, every: bool) -> DataFrame:
-    """k, line, yk, yline, more: the nearest earlier partner of each posting (more: it has others), or every one."""
+    """k, line, yk, yline, more: the nearest earlier partner of each set (more: it has others), or every one."""
     num, den = similar.numerator, similar.denominator
-    schema = "k long, line long, yk long, yline long, more boolean"
+    schema = "k long, line long, yk long, yline long, away long, more boolean"
 
     def group(c: list[np.ndarray]) -> pa.RecordBatch:
-        word, cell, k, line, n, pos, bits, asks = c
+        """All postings of a task: those alone under their word (and cell) go first, the others are put in order."""
+        key = _mixed(c[0].view(np.uint64) + (c[1] >> 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(key)
+        key = key[order]
+        same = key[1:] == key[:-1]
+        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
+        word, cell, k, line, n, pos, bits, asks = (x[order[shared]] for x in c)
+        order = np.lexsort((line, k, cell >> 8, word))
+        word, cell, k, line, n, pos, bits, asks = (x[order] for x in (word, cell, k, line, n, pos, bits, asks))
         pair = cell >> 8
         new = np.concatenate([[True], (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])]) if len(word) else np.zeros(0, bool)
         gid = np.cumsum(new)
@@ -202,26 +217,20 @@ def _partners(postings: DataFrame, similar: Fraction, every: bool) -> DataFrame:
         else:
             a = np.nonzero(count)[0]
             b = best[a]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (k[a], line[a], k[b], line[b], count[a] > 1)], ["k", "line", "yk", "yline", "more"])
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (k[a], line[a], k[b], line[b], dist[a], count[a] > 1)], ["k", "line", "yk", "yline", "away", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(8)]
-            held = c if held is None else [np.concatenate([x, y]) for x, y in zip(held, c)]
-            if not len(held[0]):
-                continue
-            # the last group may go on in the next batch
-            same = (held[0] == held[0][-1]) & (held[1] >> 8 == held[1][-1] >> 8)
-            end = int(np.argmax(same))
-            if end:
-                yield group([x[:end] for x in held])
-                held = [x[end:] for x in held]
-        if held is not None and len(held[0]):
-            yield group(held)
-
-    by = [F.col("word"), F.shiftright("cell", 8)]
-    return postings.repartition(*by).sortWithinPartitions(F.col("word"), F.shiftright("cell", 8), "k", "line").mapInArrow(run, schema).distinct()
+        # one task's postings: words met very often are dealt out in cells, so that a task has no more than its share
+        held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(8)] for b in batches if b.num_rows]
+        if held:
+            yield group([np.concatenate(x) for x in zip(*held)])
+
+    found = postings.repartition("word", F.shiftright("cell", 8)).mapInArrow(run, schema)
+    if every:
+        return found.select("k", "line", "yk", "yline").distinct()
+    best = F.min(F.struct("away", "yk", "yline"))
+    others = F.bool_or("more") | (F.min("yk") != F.max("yk")) | (F.min("yline") != F.max("yline"))
+    return found.groupBy("k", "line").agg(best.alias("y"), others.alias("more")).select("k", "line", "y.yk", "y.yline", "more")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, least: int, similar: Fraction) -> DataFrame:
@@ -245,7 +254,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, least: int, similar: Fraction)
     y = sets.select(F.col("k").alias("yk"), F.col("line").alias("yline"), F.col("words").alias("ywords"))
     both = F.size(F.array_intersect("words", "ywords"))
     like = both * (similar.numerator + similar.denominator) >= similar.numerator * (F.size("words") + F.size("ywords"))
-    return pairs.select("k", "line", "yk", "yline").distinct().join(y, ["yk", "yline"]).join(sets, ["k", "line"]).filter(like).select("k", "line").distinct()
+    return pairs.select("k", "line", "yk", "yline").join(y, ["yk", "yline"]).join(sets, ["k", "line"]).filter(like).select("k", "line").distinct()
 
 
 def removed_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -257,6 +266,7 @@ def removed_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR)
     first = own.groupBy("sh").agg(F.min(F.struct("k", "line", "n", "bits", "prefix")).alias("f")).select("sh", "f.*")
     postings = _dealt(first, level)
     pairs = written(_partners(postings.withColumn("asks", F.lit(True)), similar, False), "pairs")
+    freed(docs.sparkSession)  # the postings' shuffle is the largest of all, and done with
     found = written(_verified(docs, pairs, least, similar), "found")
     open_ = pairs.filter("more").select("k", "line").distinct().join(found, ["k", "line"], "left_anti")
     open_ = written(open_, "open")

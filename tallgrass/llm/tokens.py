@@ -1,26 +1,40 @@
-"""Token ids by public tokenizers, encoded word by word: a word met again costs a look-up.
+"""Token ids by public tokenizers, encoded piece by piece: a piece met again costs a look-up.
 
 Both tokenizers cut a text before they merge, and never across the end of a word, so a text's ids are its pieces' ids
 in a row. The pieces here are: words at the six ASCII separators, where the tokenizer drops white space (word_bpe);
-or a word with the one space before it, where it keeps white space (byte_bpe). A cut before a space that follows
-white space would not be safe there, so texts with such a place are cut only before spaces that follow something else.
+or a word with the one space before it, or a line feed, where it keeps white space (byte_bpe). Cuts beside white space
+of two or more would not be safe there, so texts that have some are cut only before spaces that follow something else.
+New words of Latin letters go straight to the tokenizer's model, all other pieces through the whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import islice
 
-import numpy as np
-
 #: Pieces remembered by a worker, and how many of the first stay when the memory is full (frequent words come first).
-MOST, STAY = 400_000, 150_000
-_UNEVEN = re.compile(r"\s ")
+MOST, STAY = 900_000, 400_000
+_UNEVEN = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
+#: A word of Latin letters, with the space before it, and punctuation after it: the tokenizers cut it just there.
+_PLAIN = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
 _open: dict[tuple[str, bool], Encoder] = {}
 
 
+class _Known(dict):
+    """Ids by piece; a piece that is not there is encoded."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece):
+        out = self[piece] = self.learn(piece)
+        return out
+
+
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
@@ -30,39 +44,57 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.keeps_space, self.known = keeps_space, {}
+        self.keeps_space, self.known, self.words, self.marks = keeps_space, _Known(self._piece), _Known(self._word), _Known(self._whole)
+        self.after = _Known(lambda word: self._piece(" " + word))
+        self.model, self.feed = self.tokenizer.model, self._whole("\n")
 
-    def _pieces(self, raw: bytes) -> list:
-        if not self.keeps_space:
-            return raw.split()
-        text = raw.decode()
-        if _UNEVEN.search(text):  # a space after white space belongs to no single word
-            return _BEFORE_SPACE.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]] if first else [" " + w for w in rest]
+    def _even(self, text: str) -> bytes:
+        """A text without white space of two or more: words after a space are looked up without it."""
+        out, after, get = [], self.after.__getitem__, self.known.__getitem__
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            out += (self.feed, get(first)) if first else (self.feed,)
+            out += map(after, rest)
+        return b"".join(out[1:])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each UTF-8 text (null: of the empty text)."""
-        pieces = [self._pieces(t or b"") for t in texts]
-        new = set().union(*pieces).difference(self.known)
-        if len(self.known) + len(new) > MOST:
-            self.known = dict(islice(self.known.items(), STAY))
-            new = set().union(*pieces).difference(self.known)
-        self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
-
-    def _learn(self, new: list, step: int = 512) -> None:
-        for i in range(0, len(new), step):
-            part = new[i : i + step]
-            if self.keeps_space:
-                got = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, got))
+        get, out = self.known.__getitem__, []
+        for t in texts:
+            if not self.keeps_space:
+                out.append(b"".join(map(get, (t or b"").split())))
+            elif _UNEVEN.search(text := (t or b"").decode()):
+                out.append(b"".join(map(get, _BEFORE_SPACE.split(text))))
             else:
-                e = self.tokenizer.encode([w.decode() for w in part], is_pretokenized=True, add_special_tokens=False)
-                ids, of = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
-                cut = np.searchsorted(of, np.arange(len(part) + 1)).tolist()
-                self.known.update((w, ids[a:b].tobytes()) for w, a, b in zip(part, cut, cut[1:]))
+                out.append(self._even(text))
+            for known in (self.known, self.after):
+                if len(known) > MOST:
+                    first = dict(islice(known.items(), STAY))
+                    known.clear()
+                    known.update(first)
+                    self.words.clear()
+        return out
+
+    def _piece(self, piece: str | bytes) -> bytes:
+        text = piece if self.keeps_space else piece.decode()
+        if not (plain := _PLAIN.fullmatch(text)):
+            return self._whole(text)
+        word, marks = plain.groups()
+        if not marks:
+            return self._word(word)
+        return self.words[word] + self.marks[marks]
+
+    def _word(self, word: str) -> bytes:
+        if not self.keeps_space:
+            word = word.lower()
+        if word.isascii():
+            mapped = word.replace(" ", "Ġ")
+        else:
+            mapped = "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:

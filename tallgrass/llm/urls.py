@@ -43,6 +43,11 @@ def _after(url: Column) -> Column:
     return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
 
 
+def numeric(segment: Column) -> Column:
+    """At least half of the segment is digits."""
+    return segment.rlike("[0-9]") & (F.length(F.regexp_replace(segment, "[0-9]", "")) * 2 <= F.length(segment))
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     """The longest rule that fits and its verdict, null where none does."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -66,8 +71,7 @@ def template_verdicts(urls: DataFrame, max_depth: int = 6, fanout: int = 12, sha
         child = here.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         parent = child.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         c = child.join(parent, ["host", "template"])
-        digits = F.length(F.regexp_replace("seg", "[0-9]", "")) * 2 <= F.length("seg")
-        variable = digits & F.col("seg").rlike("[0-9]") | (F.col("fan") > fanout) & (F.col("n") < share * F.col("pn"))
+        variable = numeric(F.col("seg")) | (F.col("fan") > fanout) & (F.col("n") < share * F.col("pn"))
         rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
         pooled = F.col("pb") / F.nullif("pl", F.lit(0))
         gap = F.abs(F.col("b") / F.nullif("l", F.lit(0)) - rest_b / F.nullif(rest_l, F.lit(0)))
@@ -94,7 +98,8 @@ def filter_urls(pages: DataFrame, rules=RULES, **tree) -> DataFrame:
     url = F.col("url")
     p = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    segs = F.filter(F.split("path", "/"), lambda s: s != "")
+    # segments of digits are wildcards wherever they stand, so the shapes that are counted are few, even of a hot host
+    segs = F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), lambda s: F.when(numeric(s), "*").otherwise(s))
     p = p.select("*", name.alias("rule"), verdict.alias("ruled"), segs.alias("segs"))
     counted = p.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("ruled").alias("labelled"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     judged = template_verdicts(counted, **tree)
