@@ -4,6 +4,7 @@ Both tokenizers cut a text before they merge, and never across the end of a word
 in a row. The pieces here are: words at the six ASCII separators, where the tokenizer drops white space (word_bpe);
 or a word with the one space before it, or a line feed, where it keeps white space (byte_bpe). Cuts beside white space
 of two or more would not be safe there, so texts that have some are cut only before spaces that follow something else.
+The strings of a tokenizer's special tokens give those tokens' ids wherever they stand in a text, as the library does.
 New words of Latin letters go straight to the tokenizer's model, all other pieces through the whole tokenizer.
 """
 
@@ -43,7 +44,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.keeps_space, self.known, self.words, self.marks = keeps_space, _Known(self._piece), _Known(self._word), _Known(self._whole)
         self.after = _Known(lambda word: self._piece(" " + word))
         self.model, self.feed = self.tokenizer.model, self._whole("\n")
