@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from tallgrass.llm import decontam, idstore, licenses, lines, packing, pii, quality, substrings, urls
 
-ODD = [(9000, None), (9001, ""), (9002, " \n\t "), (9003, "one"), (9004, "a b  c\n\nd"), (9005, "word " * 20000), (9006, "é ñ ü " * 30), (9007, "same line of words here\nsame line of words here")]
+ODD = [(9000, None), (9001, ""), (9002, " \n\t "), (9003, "one"), (9004, "a b  c\n\nd"), (9005, "word " * 20000), (9006, "é ñ ü " * 30), (9007, "same line of words here\nsame line of words here"), (9008, "a <|endoftext|> b<|startoftext|>x <|endoftext|>\n <|endoftext|>")]
 
 
 def base(spark, sf, n=120):
