@@ -45,7 +45,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("packing", pack)]
 
-#: Trained, similarity-joined and tokenized stages are beyond SQL; tests hold run() against a brute-force version.
+#: Trained, similarity-joined and tokenized stages are beyond SQL; tests hold the line stage and the operators against brute-force versions.
 ORACLE_SQL = None
 
 
