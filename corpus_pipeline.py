@@ -26,10 +26,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (SimHash of five-word shingles) keep the document with the smallest id."""
-    group = simhash.near_duplicates(docs, shingle=5)
-    first = group.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near-duplicates (SimHash candidates, five-word shingles' Jaccard similarity of 0.8) keep one row, of the smallest id."""
+    group = simhash.similar_groups(docs, shingle=5)
+    first = group.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.row").alias("_row"))
+    keyed = docs.withColumn("row_", F.xxhash64("text"))
+    return keyed.join(first, keyed["doc_id"].eqNullSafe(first["_id"]) & (keyed["row_"] == first["_row"]), "left_semi").dropDuplicates(["doc_id", "row_"]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,3 +71,55 @@ def test_components(spark):
     edges = [(i + 1, i) for i in range(30)] + [(100, 101), (101, 102), (7, 7), (100, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(31)} | {100: 100, 101: 100, 102: 100}
+
+
+def grams(text):
+    w = (text or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)])
+
+
+def slow_groups(rows):
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def up(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                x, y = sorted((up(i), up(j)))
+                root[y] = x
+    return {frozenset((rows[j][0], rows[j][1]) for j in range(len(rows)) if up(j) == i) for i in range(len(rows)) if up(i) == i}
+
+
+def edited(seed):
+    """Texts with 1 to 12 changed words of one of 200 (similarity about 0.95 to 0.55), and others."""
+    rng, rows = random.Random(seed), []
+    for g in range(3):
+        base = [f"b{g}x{k}" for k in range(200)]
+        for k in range(25):
+            w = list(base)
+            for _ in range(1 + k // 2):
+                w[rng.randrange(200)] = f"n{rng.random()}"
+            rows.append((g * 100 + k, " ".join(w)))
+    return rows + [(500 + k, " ".join(f"o{k}x{rng.random()}" for _ in range(150))) for k in range(60)]
+
+
+def test_similar_groups_against_brute_force(spark, docs, sf):
+    rows = edited(4) + [(1000 + r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + [(2000, None), (2001, ""), (2002, "one two")]
+    for most in (16, 1):
+        got = {}
+        for r, t in ((r, dict(rows)[r.doc_id]) for r in simhash.similar_groups(docs(rows), tile=64, most=most).collect()):
+            got.setdefault(r.component, set()).add((r.doc_id, t))
+        assert {frozenset(g) for g in got.values()} == slow_groups(rows)
+
+
+def test_near_dedup_stage_catches_similarity(spark, docs, sf):
+    import corpus_pipeline as c
+
+    rows = edited(5)
+    left = {r.doc_id for r in c.near_dedup(spark, docs(rows), sf).collect()}
+    assert left == {min(g)[0] for g in slow_groups(rows)}
