@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash windows and a multi-index, in DataFrame functions only.
 
 Texts and items are lower-cased and split into words; shingles are five words (all words of an item that has fewer).
-A window is as many words as an item has. Windows that share no shingle with an item cannot be similar, so only the
-places around shared shingles are windowed. Each window's SimHash (64 bits over its shingles) is looked up in an index
+A window is as many words as an item has, or the whole of a document with fewer. Windows that share no shingle with an
+item cannot be similar, so only the places around shared shingles are windowed. Each window's SimHash (64 bits over its shingles) is looked up in an index
 of the items' fingerprints: these are cut into eight bytes, and each byte is entered with all bytes at most two bits
 away, so that every item within 23 bits (8 x 2 + 7) of a window shares an entry with it. Pairs within the radius are
 then verified by the weighted Jaccard similarity of their shingle multisets; a shingle weighs as many code points as
@@ -88,9 +88,9 @@ def _of_size(docs: DataFrame, bench: DataFrame, k: int, exactly: bool, similar:
     widest = items.agg(F.coalesce(F.max("m"), F.lit(k))).first()[0] - k  # shingles that a window has beyond its first
     shingled = _shingled(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).withColumn("id", F.struct("doc_id", "row")), "id", k)
     shingled = shingled.select("id.doc_id", "id.row", F.size("h").alias("size"), "h", "w")
-    # windows of m words that hold the shingle at pos start from a to b
+    # windows of m words that hold the shingle at pos start from a to b; a document of fewer words is one window, from 0
     first = F.greatest(F.lit(0), F.col("pos") - (F.col("m") - k))
-    last = F.least(F.col("pos"), F.col("size") - (F.col("m") - k) - 1)
+    last = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("size") - (F.col("m") - k) - 1))
     reach = [F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), "m", first.alias("a"), last.alias("b")]
     begin = F.greatest(F.lit(0), F.col("block") * BLOCK - widest)
     around = [F.slice(c, begin + 1, BLOCK + 2 * widest).alias(c) for c in ("h", "w")]

@@ -195,6 +195,25 @@ def test_contamination(spark, docs):
     assert decontam.contaminated(docs([]), bench).count() == 0
 
 
+def test_contamination_of_shorter_documents(spark, docs, monkeypatch):
+    w = [f"q{k}" for k in range(150)]
+    rows = [(1, " ".join(w[:149])), (2, " ".join(w[2:])), (3, " ".join(w[:60])), (4, " ".join(w[100:139])), (5, " ".join(w[:3]))]
+    bench = spark.createDataFrame([(10, " ".join(w)), (11, " ".join(w[100:140]))], "item_id long, text string")
+
+    def like(t, item):
+        a, b = ({tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)} for x in (t, item))
+        weigh = lambda s: sum(len("".join(g)) for g in s)
+        return weigh(a & b) / weigh(a | b)
+
+    want = {(1, 10): like(rows[0][1], " ".join(w)), (2, 10): like(rows[1][1], " ".join(w)), (4, 11): like(rows[3][1], " ".join(w[100:140]))}
+    # documents 1 and 2 hold the shorter item as a whole
+    want |= {(1, 11): 1.0, (2, 11): 1.0}
+    for most in (decontam.MOST_BROADCAST, 0):
+        monkeypatch.setattr(decontam, "MOST_BROADCAST", most)
+        got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontam.contaminated(docs(rows), bench).collect()}
+        assert got == {k: round(v, 9) for k, v in want.items()}
+
+
 def slow_lines(rows):
     sets, out = [], {}
     for i, t in sorted(rows, key=lambda r: r[0]):
