@@ -21,7 +21,6 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +92,7 @@ def _line_sets(text: bytes, least: int) -> tuple[int, list[int], list[list[bytes
 
 
 def _posted(docs: DataFrame, level: np.ndarray, least: int, similar: Fraction) -> DataFrame:
-    """k, row, line, n, sh, bits, prefix; and for each row of docs one with line -1, n being its lines with a word."""
+    """k, row, line (from base on), n, sh, bits, prefix; and for each row of docs one with line -1, n being its lines with a word."""
     shared = docs.sparkSession.sparkContext.broadcast(level)  # 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,13 +100,12 @@ def _posted(docs: DataFrame, level: np.ndarray, least: int, similar: Fraction) -
         for b in slices(batches, 2 << 20):
             ks, rows, at, ns, words, size = [], [], [], [], [], []
             marks = []
-            for k, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))):
-                row = xxhash.xxh3_64_intdigest(t or b"") >> 1
+            for k, t, base, row in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 n, own, sets = _line_sets(t or b"", least)
                 marks.append((k, row, n))
                 ks += [k] * len(own)
                 rows += [row] * len(own)
-                at += own
+                at += [base + i for i in own]
                 size += map(len, sets)
                 for s in sets:
                     words += s
@@ -241,13 +239,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, least: int, similar: Fraction)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             ks, at, sets = [], [], []
-            for k, t, lines in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()):
+            for k, t, base, lines in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(4).to_pylist()):
                 own = (t or b"").split(b"\n")
                 for i in lines:
-                    if i < len(own):
+                    if base <= i < base + len(own):
                         ks.append(k)
                         at.append(i)
-                        sets.append(np.unique(word_hashes(own[i].split())).view(np.int64))
+                        sets.append(np.unique(word_hashes(own[i - base].split())).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(at, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["k", "line", "words"])
 
     sets = written(docs.join(wanted, "k").mapInArrow(run, "k long, line long, words array<long>"), "sets")
@@ -257,9 +255,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, least: int, similar: Fraction)
     return pairs.select("k", "line", "yk", "yline").join(y, ["yk", "yline"]).join(sets, ["k", "line"]).filter(like).select("k", "line").distinct()
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _k (the doc_id, or LAST), _base (0) and _row (a hash of the text)."""
+    row = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_base": F.lit(0).cast("long"), "_row": row})
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    """_keyed, but different texts under one doc_id (or none) have line numbers of their own: each starts from its _base."""
+    keyed = _keyed(docs)
+    keys = keyed.select("_k", "_row").distinct()
+    several = keys.join(keys.groupBy("_k").count().filter("count > 1"), "_k").select("_k", "_row")
+    several = written(several.orderBy("_k", "_row").withColumn("id", F.monotonically_increasing_id()), "several")
+    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
+    sizes = {r.part: r.n for r in several.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one of each partition
+    if not sizes:
+        return keyed
+    ends = np.cumsum([sizes.get(i, 0) for i in range(max(sizes) + 1)])
+    before = F.array(*[F.lit(int(e) - sizes.get(i, 0)) for i, e in enumerate(ends)])
+    based = several.select("_k", "_row", F.shiftleft(F.get(before, part.cast("int")).cast("long") + place, 32).alias("_own"))
+    return keyed.join(based, ["_k", "_row"], "left").withColumn("_base", F.coalesce("_own", "_base")).drop("_own")
+
+
 def removed_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Lines (k, row, line, n, sh with line -1 for each row of docs) and those removed (k, line, sh, near)."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text")
+    """Lines (k, row, line, n, sh with line -1 for each row of docs) and those removed (k, line, sh, near) of _keyed docs."""
+    docs = docs.select(F.col("_k").alias("k"), "text", F.col("_base").alias("base"), F.col("_row").alias("row"))
     level = rarity(docs)
     lines = written(_posted(docs, level, least, similar), "lines")
     own = lines.filter("line >= 0")
@@ -292,7 +312,7 @@ def dedup_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR) ->
     rows are judged alike and keep each other's lines; rows without a doc_id come last, as one document. An empty table
     gives no rows; other columns are ignored.
     """
-    lines, gone = removed_lines(docs, least, similar)
+    lines, gone = removed_lines(_keyed(docs), least, similar)
     hit = lines.filter("line >= 0").select("k", "row", "line", "sh").distinct().join(gone, ["k", "line", "sh"])
     per = hit.groupBy("k", "row").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("line")).alias("removed"))
     rows = lines.filter("line < 0").select("k", "row", F.col("n").alias("n_lines"))
@@ -301,11 +321,15 @@ def dedup_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR) ->
 
 
 def without_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR) -> DataFrame:
-    """docs, all columns, with the removed lines taken out of text; documents of which no word is left are left out."""
-    lines, gone = removed_lines(docs, least, similar)
+    """docs, all columns, with the removed lines taken out of text; documents of which no word is left are left out.
+
+    Different texts under one doc_id, or without one, are judged and cut each for itself, in the order of their hashes.
+    """
+    keyed = _apart(docs)
+    lines, gone = removed_lines(keyed, least, similar)
     hit = lines.filter("line >= 0").select("k", "row", "line", "sh").distinct().join(gone, ["k", "line", "sh"])
-    cut = hit.groupBy("k").agg(F.collect_set("line").alias("_cut")).withColumnRenamed("k", "_k")
-    joined = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(cut, "_k", "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_cut", i.cast("long"))), "\n")
+    cut = hit.groupBy(F.col("k").alias("_k"), F.col("row").alias("_row")).agg(F.collect_set("line").alias("_cut"))
+    joined = keyed.join(cut, ["_k", "_row"], "left")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_cut", F.col("_base") + i)), "\n")
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)
     return joined.withColumn("text", text).filter(F.col("_cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)

@@ -282,3 +282,26 @@ def test_pipeline_stages(spark, sf):
         d = new
     pieces = c.STAGES[-1][1](spark, d, sf)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == kept[-1]
+
+
+def test_pipeline_stages_with_null_and_repeated_ids(spark, docs, sf):
+    import corpus_pipeline as c
+
+    text = lambda s, n=40: " ".join(f"{s}{k}" for k in range(n))
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 200").orderBy("item_id").first().text
+    shared, like = text("s", 10), text("s", 9) + " other"
+    # lines: what is cut from one row stays in the others with its id, and those are judged each for itself
+    rows = [(1, shared), (None, "\n".join([text("a"), shared])), (None, "\n".join([text("b"), text("c")])), (2, "\n".join([text("d"), like])), (2, "\n".join([text("e"), text("f")]))]
+    got = sorted(((r.doc_id, r.text) for r in c.line_dedup(spark, docs(rows), sf).collect()), key=repr)
+    assert got == sorted([(1, shared), (None, text("a")), rows[2], (2, text("d")), rows[4]], key=repr)
+    twice = [(None, "\n".join([shared, text("a")])), (None, "\n".join([shared, text("b")])), (3, "\n".join([text("t", 10), text("g")])), (3, "\n".join([text("t", 9) + " o", text("h")]))]
+    left = [x for r in c.line_dedup(spark, docs(twice), sf).collect() for x in r.text.split("\n")]
+    assert len(left) == 6 and left.count(shared) == 1
+    # near duplicates: one row of each group, not of each id
+    rows = [(None, text("a")), (None, text("b")), (5, text("c")), (5, text("d")), (6, text("c", 39)), (None, text("d", 39)), (7, text("e")), (7, text("e"))]
+    got = sorted(((r.doc_id, r.text) for r in c.near_dedup(spark, docs(rows), sf).collect()), key=repr)
+    assert got == sorted(rows[:4] + rows[6:7], key=repr)
+    # decontamination: contaminated rows go, others with the same id (or none) stay
+    rows = [(None, f"x {item} y"), (None, text("a")), (8, item), (8, text("b")), (None, None)]
+    got = sorted(((r.doc_id, r.text) for r in c.decontamination(spark, docs(rows), sf).collect()), key=repr)
+    assert got == sorted([rows[1], rows[3], rows[4]], key=repr)
