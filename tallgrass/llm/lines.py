@@ -284,7 +284,8 @@ def removed_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR)
     lines = written(_posted(docs, level, least, similar), "lines")
     own = lines.filter("line >= 0")
     first = own.groupBy("sh").agg(F.min(F.struct("k", "line", "n", "bits", "prefix")).alias("f")).select("sh", "f.*")
-    postings = _dealt(first, level)
+    # smaller sets are similar to equal ones only
+    postings = _dealt(first.filter(F.col("n") * (similar.denominator - similar.numerator) >= similar.numerator), level)
     pairs = written(_partners(postings.withColumn("asks", F.lit(True)), similar, False), "pairs")
     freed(docs.sparkSession)  # the postings' shuffle is the largest of all, and done with
     found = written(_verified(docs, pairs, least, similar), "found")

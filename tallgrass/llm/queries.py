@@ -55,7 +55,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    found = lines.dedup_lines(table(spark, sf_dir, "documents"), least=1)
     return found.withColumn("removed", F.array_join("removed", ","))
 
 

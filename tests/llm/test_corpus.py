@@ -9,7 +9,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from tallgrass.llm import decontam, idstore, licenses, lines, packing, pii, quality, substrings, urls
+from tallgrass.llm import decontam, idstore, licenses, lines, packing, pii, quality, queries, substrings, urls
 
 ODD = [(9000, None), (9001, ""), (9002, " \n\t "), (9003, "one"), (9004, "a b  c\n\nd"), (9005, "word " * 20000), (9006, "é ñ ü " * 30), (9007, "same line of words here\nsame line of words here"), (9008, "a <|endoftext|> b<|startoftext|>x <|endoftext|>\n <|endoftext|>")]
 
@@ -244,6 +244,21 @@ def test_lines(spark, docs, sf):
     assert lines.dedup_lines(docs([])).count() == 0
 
 
+def test_line_query_takes_short_lines(spark, sf):
+    seen, want, short = [], {}, 0
+    for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect():
+        gone = []
+        for k, line in enumerate(r.text.encode().split(b"\n")):
+            s = frozenset(line.split())
+            if s:
+                if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in seen):
+                    gone.append(str(k))
+                    short += len(line.split()) < 5
+                seen.append(s)
+        want[r.doc_id] = ",".join(gone)
+    assert short and {r.doc_id: r.removed for r in queries.op9_line_dedup(spark, sf).collect()} == want
+
+
 def test_lines_in_cells(spark, docs, monkeypatch):
     rows = [(k, " ".join(f"a{(k * j) % 11}" for j in range(1, 9))) for k in range(80)]
     monkeypatch.setattr(lines, "HOT", 5)
