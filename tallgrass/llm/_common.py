@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -51,14 +49,6 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def freed(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now: it does so after the driver has collected garbage."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()
@@ -73,6 +63,58 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20) -> Itera
                 yield batch.slice(i, step)
 
 
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes of which every bit depends on every bit of the numbers given."""
+    with np.errstate(over="ignore"):
+        h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
+        h = (h ^ h >> np.uint64(33)) * np.uint64(0xC4CEB9FE1A85EC53)
+        return h ^ h >> np.uint64(33)
+
+
+_GAP = np.zeros(256, bool)
+_GAP[list(SPACE.encode())] = True
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0xD1342543DE82EF95
+_powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
+
+
+def _power(sign: int, n: int) -> np.ndarray:
+    """The first n powers of the base (or of its inverse), modulo 2**64."""
+    if len(_powers[sign]) < n:
+        all_ = np.full(1 << (n - 1).bit_length(), pow(_BASE, sign, 1 << 64), np.uint64)
+        all_[0] = 1
+        _powers[sign] = np.cumprod(all_, dtype=np.uint64)
+    return _powers[sign][:n]
+
+
+def tokens(text: bytes, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words of a text and their 64-bit hashes, for all words at once.
+
+    A word's hash is a polynomial in its bytes, taken from running sums over the text; it is worked out in parts of about
+    so many bytes, cut between words.
+    """
+    data, at, places, hashes = np.frombuffer(text, np.uint8), 0, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    while at < len(data):
+        end = min(len(data), at + part)
+        if end < len(data):
+            gaps = np.flatnonzero(_GAP[data[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:  # a word of more than a part
+                gaps = np.flatnonzero(_GAP[data[end:]])
+                end = end + int(gaps[0]) + 1 if len(gaps) else len(data)
+        own = data[at:end]
+        gap = np.concatenate([[True], _GAP[own], [True]])
+        first, last = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(gap[1:] & ~gap[:-1])
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum(_BYTES[own] * _power(1, len(own)), out=total[1:])
+            hashes.append(mixed((total[last] - total[first]) * _power(-1, len(own))[first] + (last - first).astype(np.uint64)))
+        places.append(first + at)
+        at = end
+    return np.concatenate(places), np.concatenate(hashes)
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 

@@ -5,13 +5,16 @@ a Jaccard similarity of ``similar`` or more with it; lines are judged on the inp
 fewer than ``least`` words are left alone.
 
 1. Words are counted into a fixed number of buckets; the counts' logarithms (a byte each) order words by rarity.
-2. Lines with equal sets are one set, held by the first of them; later ones are removed.
+2. Lines with equal sets (128 bits) are one set, held by the first of them; sets are numbered in the order of lines.
 3. Each set is posted under the words of its prefix: two similar sets share one of their rarest words.
-4. Under each word, pairs pass the length filter, the positional filter, and a bound from 64-bit sketches (each word
-   that only one set has flips one bit at most). For each set its nearest earlier partner is passed on, not all pairs;
-   words under which very many sets may be posted are dealt out in cells of block pairs.
+4. Under each word, sorted by size, pairs pass the length filter, the positional filter, and a bound from 64-bit
+   sketches (each word that only one set has flips one bit). Each set passes on its nearest earlier partner under each of its
+   words, not all pairs. Words that hold a noticeable share of all postings are dealt out in cells of block pairs, as many
+   as it takes.
 5. Pairs are verified on the sets themselves, made again from the texts of the lines concerned.
-6. Sets whose nearest partners all failed though they had others are compared with every partner, so nothing is lost.
+6. Sets of which no partner passed though there were others are compared with every partner, so nothing is lost.
+7. Each line is joined with its set, if that has several lines or an earlier partner. The few sets with a noticeable share
+   of all lines are joined by broadcast, so that no task receives them all.
 """
 
 from __future__ import annotations
@@ -21,50 +24,57 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm._common import as_bytes, freed, slices, word_hashes, written
+from tallgrass.llm._common import as_bytes, mixed, slices, tokens, written
 
 LAST = (1 << 63) - 1  # stands for a null doc_id
-BUCKETS = 1 << 20
-HOT, MOST_BLOCKS = 20_000, 16  # postings under one word that are compared in one cell; blocks that a word is dealt into
+BUCKETS, WIDTH = 1 << 22, 4096  # buckets of words; buckets moved together
+HOT = 4096  # postings under one word that are compared in one cell
+SHARE = 50_000  # a word or a set with over one in so many of all postings or lines is dealt with apart
+TASK = 500_000  # postings of a task
+SIEVE = 1 << 20  # buckets by which rows without a match are left out before a shuffle
 SIMILAR = Fraction(4, 5)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (h ^ h >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD)
-        return h ^ h >> np.uint64(33)
+def _coded(n: np.ndarray) -> np.ndarray:
+    """Counts on a logarithmic scale, a byte each."""
+    return np.minimum(255, np.rint(8 * np.log2(n + 1.0))).astype(np.uint8)
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """For each bucket of words, four times the binary logarithm of the words counted, over all texts (1 MB)."""
-
-    width = 1024  # buckets moved together
+    """For each bucket of words the number of their occurrences in all texts, coded (4 MB)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for b in slices(batches):
-            held = [(word_hashes(t.split()) & np.uint64(BUCKETS - 1)).astype(np.int64) for t in as_bytes(b.column(0)) if t]
-            if held:
+        total, held, n = np.zeros(BUCKETS, np.int64), [], 0
+        for b in slices(batches, 4 << 20):
+            _, h = tokens(b"\n".join(t for t in as_bytes(b.column(0)) if t))
+            held.append((h & np.uint64(BUCKETS - 1)).astype(np.int32))
+            n += len(h)
+            if n > BUCKETS:
                 total += np.bincount(np.concatenate(held), minlength=BUCKETS)
-        parts = total.reshape(-1, width)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
+                held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        if total.any():
+            parts = _coded(total).reshape(-1, WIDTH)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([x.tobytes() for x in parts], pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                total[part] = total.get(part, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
+                total[part] = total.get(part, 0.0) + np.exp2(np.frombuffer(counts, np.uint8) / 8) - 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([_coded(x).tobytes() for x in total.values()], pa.binary())], ["part", "counts"])
 
     schema = "part int, counts binary"
     summed = docs.select("text").mapInArrow(count, schema).repartition("part").mapInArrow(add, schema)
-    out = np.zeros((BUCKETS // width, width))
-    for r in summed.collect():  # 8 MB, whatever the input's size
-        out[r.part] = np.frombuffer(r.counts, np.int64)
-    return np.minimum(255, 4 * np.log2(out.ravel() + 1)).astype(np.uint8)
+    out = np.zeros((BUCKETS // WIDTH, WIDTH), np.uint8)
+    for r in summed.collect():  # 4 MB, whatever the input's size
+        out[r.part] = np.frombuffer(r.counts, np.uint8)
+    return out.ravel()
 
 
 def prefix_length(n: np.ndarray | int, similar: Fraction = SIMILAR):
@@ -72,265 +82,327 @@ def prefix_length(n: np.ndarray | int, similar: Fraction = SIMILAR):
     return n - -(-n * similar.numerator // similar.denominator) + 1
 
 
-def _sketches(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """64 bits for each of n sets, one bit for each word."""
-    bits = np.zeros(n, np.uint64)
-    np.bitwise_or.at(bits, of, np.uint64(1) << (_mixed(h) >> np.uint64(58)))
-    return bits
+def _in_order(line: np.ndarray, h: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of each line, by line, rarity and hash."""
+    order, wide = None, not len(line) or int(line[-1]) >> 28
+    if not wide:  # the top of the hash is enough to bring equal words together
+        order = np.argsort(line.astype(np.uint64) << np.uint64(36) | level.astype(np.uint64) << np.uint64(28) | h >> np.uint64(36))
+        a, b = h[order[1:]], h[order[:-1]]
+        if ((line[order[1:]] == line[order[:-1]]) & (a >> np.uint64(36) == b >> np.uint64(36)) & (a != b)).any():
+            order = None
+    if order is None:
+        order = np.lexsort((h, level, line))
+    line, h = line[order], h[order]
+    new = np.concatenate([[True], (line[1:] != line[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, bool)
+    return line[new], h[new]
+
+
+def _lists(flat: np.ndarray, size: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
 
 
-def _line_sets(text: bytes, least: int) -> tuple[int, list[int], list[list[bytes]]]:
-    """Lines with a word; and the numbers and words of those with at least so many."""
-    n, at, words = 0, [], []
-    for k, line in enumerate(text.split(b"\n")):
-        w = line.split()
-        n += bool(w)
-        if len(w) >= least:
-            at.append(k)
-            words.append(w)
-    return n, at, words
+_POSTED = "k long, row long, line int, n int, copies long, sa long, sb long, bits long, prefix array<int>, at array<int>, las array<long>, lbs array<long>"
+_SETS = pa.schema([("k", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("sa", pa.int64()), ("sb", pa.int64()), ("bits", pa.int64()), ("prefix", pa.list_(pa.int32()))])
+_ROWS = pa.schema([*_SETS, ("at", pa.list_(pa.int32())), ("las", pa.list_(pa.int64())), ("lbs", pa.list_(pa.int64()))])
 
 
 def _posted(docs: DataFrame, level: np.ndarray, least: int, similar: Fraction) -> DataFrame:
-    """k, row, line (from base on), n, sh, bits, prefix; and for each row of docs one with line -1, n being its lines with a word."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)  # 1 MB
+    """Rows of two kinds: of each text (line -1, n: lines with a word) its lines and their sets; and sets with their prefixes.
+
+    Of each slice of the input a set comes once, with its copies counted, so that a very frequent line is few rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(level)  # 4 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = shared.value
         for b in slices(batches, 2 << 20):
-            ks, rows, at, ns, words, size = [], [], [], [], [], []
-            marks = []
-            for k, t, base, row in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                n, own, sets = _line_sets(t or b"", least)
-                marks.append((k, row, n))
-                ks += [k] * len(own)
-                rows += [row] * len(own)
-                at += [base + i for i in own]
-                size += map(len, sets)
-                for s in sets:
-                    words += s
-            h, m = word_hashes(words), len(ks)
-            of = np.repeat(np.arange(m), size)
-            lvl = rare[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64)
-            # by line, then rarity, then hash; the top of the hash is enough to bring equal words together
-            order = np.argsort(of.astype(np.uint64) << np.uint64(40) | lvl << np.uint64(32) | h >> np.uint64(32), kind="stable")
-            of, h = of[order], h[order]
-            if len(h):
-                clash = (of[1:] == of[:-1]) & (h[1:] >> np.uint64(32) == h[:-1] >> np.uint64(32)) & (h[1:] != h[:-1])
-                if clash.any():  # two words with the same top: sort by the whole hash
-                    lvl = rare[(h & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                    order = np.lexsort((h, lvl, of))
-                    of, h = of[order], h[order]
-                new = np.concatenate([[True], (of[1:] != of[:-1]) | (h[1:] != h[:-1])])
-                of, h = of[new], h[new]
-            n = np.bincount(of, minlength=m)
-            start = np.concatenate([[0], np.cumsum(n)])
+            k, row = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            texts = [t or b"" for t in as_bytes(b.column(1))]
+            first = np.concatenate([[0], np.cumsum([t.count(b"\n") + 1 for t in texts])])
+            joined = b"\n".join(texts)
+            place, h = tokens(joined)
+            line = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), place)
+            words = np.bincount(line, minlength=first[-1])
+            n_lines = np.add.reduceat((words > 0).astype(np.int64), first[:-1]).astype(np.int32)
+            if least > 1:
+                keep = words[line] >= least
+                line, h = line[keep], h[keep]
+            line, h = _in_order(line, h, rare[(h & np.uint64(BUCKETS - 1)).astype(np.int64)])
+            start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
+            n = np.diff(np.concatenate([start, [len(line)]]))
+            where = line[start]
+            of = np.searchsorted(first, where, side="right") - 1
             with np.errstate(over="ignore"):
-                sh = np.add.reduceat(_mixed(h), start[:-1]) if m else np.zeros(0, np.uint64)
-            p = prefix_length(n, similar)
-            keep = np.arange(len(h)) - start[of] < p[of]
-            cut = np.concatenate([[0], np.cumsum(p)]).astype(np.int32)
-            c = len(marks)
-            offsets = np.concatenate([cut, np.full(c, cut[-1], np.int32)])
-            col = lambda own, extra: pa.array(np.concatenate([np.asarray(own, np.int64), np.asarray(extra, np.int64)]))
-            sha = pa.array(np.concatenate([sh.view(np.int64), np.zeros(c, np.int64)]))
+                m = mixed(h + np.uint64(0x9E3779B97F4A7C15))
+                sa, sb, bits = (f.reduceat(x, start).view(np.int64) if len(start) else np.zeros(0, np.int64) for f, x in ((np.add, m), (np.add, mixed(m ^ h)), (np.bitwise_xor, np.uint64(1) << (m >> np.uint64(58)))))
+            within = (where - first[of]).astype(np.int32)
+            per = np.bincount(of, minlength=len(texts))
             yield pa.RecordBatch.from_arrays(
-                [col(ks, [x[0] for x in marks]), col(rows, [x[1] for x in marks]), col(at, [-1] * c), col(n, [x[2] for x in marks]), sha, col(_sketches(h, of, m).view(np.int64), [0] * c), pa.ListArray.from_arrays(pa.array(offsets), pa.array(h[keep].view(np.int64)))],
-                ["k", "row", "line", "n", "sh", "bits", "prefix"],
+                [b.column(0), b.column(2), pa.array(np.full(len(texts), -1, np.int32)), pa.array(n_lines), *[pa.nulls(len(texts), f.type) for f in list(_ROWS)[4:9]], _lists(within, per), _lists(sa, per), _lists(sb, per)],
+                schema=_ROWS,
             )
+            order = np.lexsort((within, row[of], k[of], sb, sa))
+            if len(order):
+                new = np.flatnonzero(np.concatenate([[True], (sa[order[1:]] != sa[order[:-1]]) | (sb[order[1:]] != sb[order[:-1]])]))
+                one, copies = order[new], np.diff(np.concatenate([new, [len(order)]]))
+                # sets so small that only equal ones are similar need no posting
+                size = np.where(n[one] * (similar.denominator - similar.numerator) >= similar.numerator, prefix_length(n[one], similar), 0)
+                pick = np.repeat(start[one] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                key = (h[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x) for x in (k[of[one]], row[of[one]], within[one], n[one].astype(np.int32), copies.astype(np.int64), sa[one], sb[one], bits[one])] + [_lists(key, size)] + [pa.nulls(len(one), f.type) for f in list(_ROWS)[9:]],
+                    schema=_ROWS,
+                )
+
+    return docs.select("k", "text", "row").mapInArrow(run, _POSTED)
+
+
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by set and line: one for each set, the first, with the copies of all."""
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = pa.concat_batches([last, b]) if last is not None else b
+        sa, sb, copies = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 4))
+        new = np.flatnonzero(np.concatenate([[True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]))
+        one = b.take(pa.array(new)).set_column(4, "copies", pa.array(np.add.reduceat(copies, new)))
+        yield one.slice(0, one.num_rows - 1)
+        last = one.slice(one.num_rows - 1)
+    if last is not None:
+        yield last
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = TaskContext.get().partitionId() << 33
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + b.num_rows)), *b.columns], ["id", *b.schema.names])
+        at += b.num_rows
+
+
+def _sets(posted: DataFrame) -> DataFrame:
+    """The distinct sets with id, which rises with k, row and line of their first lines."""
+    columns = _SETS.names
+    dealt = posted.filter("line >= 0").select(columns).repartition("sa", "sb").sortWithinPartitions("sa", "sb", "k", "row", "line")
+    schema = _POSTED.split(", at ")[0]
+    ranged = dealt.mapInArrow(_first_of_each, schema).repartitionByRange("k", "row", "line").sortWithinPartitions("k", "row", "line")
+    return written(ranged.mapInArrow(_numbered, "id long, " + schema), "sets")
+
+
+def _blocks(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The words under which very many sets are posted, and the number of blocks these are dealt into.
+
+    A word that holds one in SHARE of all postings does so in some task too, and each task tells of those (SHARE at most).
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column(0).flatten().to_numpy(zero_copy_only=False) for b in batches]
+        key, n = np.unique(np.concatenate([np.zeros(0, np.int32), *held]), return_counts=True)
+        many = n >= max(min(8, HOT), n.sum() / SHARE)
+        yield pa.RecordBatch.from_arrays([pa.array(key[many].astype(np.int32)), pa.array(n[many].astype(np.int64))], ["key", "n"])
 
-    return docs.mapInArrow(run, "k long, row long, line long, n long, sh long, bits long, prefix array<long>")
+    found = sets.select("prefix").mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT // 2)
+    rows = sorted((r.key, r.n) for r in found.orderBy(F.desc("n")).limit(4 * SHARE).collect())  # no more words can have a share
+    return np.array([k for k, _ in rows], np.int32), np.array([-(-n // HOT) + 1 for _, n in rows], np.int64)
 
 
-def _dealt(sets: DataFrame, level: np.ndarray) -> DataFrame:
-    """Postings word, cell, k, line, n, pos, bits: cell is 0, or for words met very often a pair of blocks (and the own one)."""
-    shared = sets.sparkSession.sparkContext.broadcast(level)
+def _dealt(sets: DataFrame, blocks: tuple[np.ndarray, np.ndarray], sieve: np.ndarray | None = None) -> DataFrame:
+    """Postings key, cell, id, size (n, place, side), bits, asks.
+
+    cell is 0, or for words of many postings a pair of blocks, one of them the set's own; side tells which. With a sieve
+    only words in its buckets are posted.
+    """
+    shared = sets.sparkSession.sparkContext.broadcast((*blocks, sieve))  # bounded by SHARE and SIEVE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = shared.value
+        hot, many, only = shared.value
         for b in slices(batches, 2 << 20):
-            words = b.column(4)
-            size = words.value_lengths().to_numpy(zero_copy_only=False)
-            h = words.flatten().to_numpy(zero_copy_only=False)
+            size = b.column(3).value_lengths().to_numpy(zero_copy_only=False)
+            key = b.column(3).flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(b.num_rows), size)
-            pos = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            count = np.exp2(rare[h & (BUCKETS - 1)] / 4)
-            blocks = np.clip(np.ceil(count / HOT), 1, MOST_BLOCKS).astype(np.int64)
-            k, line = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            own = (_mixed((k[of] * 31 + line[of]).view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-            again = np.repeat(np.arange(len(h)), blocks)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            mine = own[again]
-            cell = np.where(blocks[again] > 1, (np.minimum(mine, other) << 16) | (np.maximum(mine, other) << 8) | mine, 0)
-            at = of[again]
-            take = lambda i: b.column(i).to_numpy(zero_copy_only=False)[at]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[again], cell, k[at], line[at], take(2), pos[again], take(3))], ["word", "cell", "k", "line", "n", "pos", "bits"])
-
-    return sets.select("k", "line", "n", "bits", "prefix").mapInArrow(run, "word long, cell long, k long, line long, n long, pos long, bits long")
-
-
-def _partners(postings: DataFrame, similar: Fraction, every: bool) -> DataFrame:
-    """k, line, yk, yline, more: the nearest earlier partner of each set (more: it has others), or every one."""
+            pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
+            if only is not None:
+                keep = only[key & (SIEVE - 1)]
+                key, of, pos = key[keep], of[keep], pos[keep]
+            id_, n, bits, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+            cell, side = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            if len(hot):
+                at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                count = np.where(hot[at] == key, many[at], 1)
+                again = np.repeat(np.arange(len(key)), count)
+                other = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
+                mine = (mixed(id_[of[again]].view(np.uint64)) % count[again].astype(np.uint64)).astype(np.int64)
+                cell = np.where(count[again] > 1, (np.minimum(mine, other) << 31 | np.maximum(mine, other)) + 1, 0)
+                side = np.where(mine == other, 2, mine > other).astype(np.int64)
+                key, of, pos = key[again], of[again], pos[again]
+            packed = n[of].astype(np.int64) << 32 | pos << 2 | np.where(cell > 0, side, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cell, id_[of], packed, bits[of], asks[of])], ["key", "cell", "id", "size", "bits", "asks"])
+
+    return sets.select("id", "n", "bits", "prefix", "asks").mapInArrow(run, "key int, cell long, id long, size long, bits long, asks boolean")
+
+
+def partners(key: np.ndarray, cell: np.ndarray, id_: np.ndarray, size: np.ndarray, bits: np.ndarray, asks: np.ndarray, similar: Fraction, every: bool) -> Iterator[pa.RecordBatch]:
+    """x, y, more: under each word (and cell) the nearest earlier partner of each set that asks (more: it has others), or every one."""
     num, den = similar.numerator, similar.denominator
-    schema = "k long, line long, yk long, yline long, away long, more boolean"
-
-    def group(c: list[np.ndarray]) -> pa.RecordBatch:
-        """All postings of a task: those alone under their word (and cell) go first, the others are put in order."""
-        key = _mixed(c[0].view(np.uint64) + (c[1] >> 8).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        order = np.argsort(key)
-        key = key[order]
-        same = key[1:] == key[:-1]
-        shared = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.zeros(0, bool)
-        word, cell, k, line, n, pos, bits, asks = (x[order[shared]] for x in c)
-        order = np.lexsort((line, k, cell >> 8, word))
-        word, cell, k, line, n, pos, bits, asks = (x[order] for x in (word, cell, k, line, n, pos, bits, asks))
-        pair = cell >> 8
-        new = np.concatenate([[True], (word[1:] != word[:-1]) | (pair[1:] != pair[:-1])]) if len(word) else np.zeros(0, bool)
-        gid = np.cumsum(new)
-        best, dist, count = np.full(len(word), -1), np.full(len(word), 1 << 30), np.zeros(len(word), np.int64)
-        out, x, d = [], np.arange(len(word)), 1
-        bits = bits.view(np.uint64)
-        while True:
-            x = x[x >= d]
-            x = x[gid[x] == gid[x - d]]
-            if not len(x):
-                break
-            y = x - d
-            both, least = n[x] + n[y], -(-num * (n[x] + n[y]) // (num + den))  # the least overlap
-            bound = np.minimum(n[x] - pos[x], n[y] - pos[y])  # this word and those behind it
-            flips = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
-            ok = asks[x] & (bound >= least) & (flips <= both - 2 * least) & (n[x] * den >= n[y] * num) & (n[y] * den >= n[x] * num)
-            ok &= (k[x] != k[y]) | (line[x] != line[y])
-            ok &= (cell[x] & 255 != cell[y] & 255) | (pair[x] >> 8 == pair[x] & 255)
-            a, b = x[ok], y[ok]
-            if every:
-                out.append((a, b))
-            else:
-                count[a] += 1
-                near = flips[ok] <= dist[a]  # of equally near ones the first
-                best[a[near]], dist[a[near]] = b[near], flips[ok][near]
-            d += 1
+    with np.errstate(over="ignore"):
+        group = mixed(key.astype(np.uint64) + cell.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    order = np.argsort(group)
+    same = group[order[1:]] == group[order[:-1]]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
+    n = size >> 32
+    order = order[np.lexsort((id_[order], n[order], group[order]))]
+    group, id_, n, pos, side, asks = group[order], id_[order], n[order], (size[order] & 0xFFFFFFFF) >> 2, size[order] & 3, asks[order]
+    bits = bits[order].view(np.uint64)
+    best, dist, count = np.full(len(order), -1), np.full(len(order), 1 << 30), np.zeros(len(order), np.int64)
+    tie = np.zeros(len(order), np.uint64)
+
+    def out(a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(id_[a]), pa.array(id_[b]), pa.array(more)], ["x", "y", "more"])
+
+    x, d = np.arange(len(order)), 1
+    while True:
+        x = x[x >= d]
+        y = x - d
+        near = (group[x] == group[y]) & (n[x] * num <= n[y] * den)  # sorted by size: if this one is too small, so are those before it
+        x, y = x[near], y[near]
+        if not len(x):
+            break
+        d += 1
+        both = n[x] + n[y]
+        spare = both - 2 * -(-num * both // (num + den))  # words that one of the sets alone may have
+        ok = (2 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= both - spare) & ((side[x] == 2) | (side[x] != side[y])) & (id_[x] != id_[y])
+        p, q, spare = x[ok], y[ok], spare[ok]
+        flips = np.bitwise_count(bits[p] ^ bits[q]).astype(np.int64)
+        later = id_[p] > id_[q]
+        p, q = np.where(later, p, q), np.where(later, q, p)
+        ok = (flips <= spare) & asks[p]
+        p, q, flips, later = p[ok], q[ok], flips[ok], later[ok]
         if every:
-            a, b = (np.concatenate([np.zeros(0, np.int64), *[o[i] for o in out]]) for i in (0, 1))
-        else:
-            a = np.nonzero(count)[0]
-            b = best[a]
-        return pa.RecordBatch.from_arrays([pa.array(v) for v in (k[a], line[a], k[b], line[b], dist[a], count[a] > 1)], ["k", "line", "yk", "yline", "away", "more"])
+            if len(p):
+                yield out(p, q, np.ones(len(p), bool))
+            continue
+        for own in (later, ~later):  # in either half a set comes once
+            a, b, f = p[own], q[own], flips[own]
+            count[a] += 1
+            with np.errstate(over="ignore"):
+                t = mixed(id_[a].view(np.uint64) * np.uint64(31) + id_[b].view(np.uint64))  # equally near ones are chosen from evenly
+            better = (f < dist[a]) | (f == dist[a]) & (t < tie[a])
+            a, b = a[better], b[better]
+            best[a], dist[a], tie[a] = b, f[better], t[better]
+    if not every:
+        a = np.flatnonzero(count)
+        yield out(a, best[a], count[a] > 1)
+
+
+def _pairs(postings: DataFrame, total: int, similar: Fraction, every: bool) -> DataFrame:
+    """x, y, more of all words, each pair once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # one task's postings: words met very often are dealt out in cells, so that a task has no more than its share
-        held = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(8)] for b in batches if b.num_rows]
+        # one task's postings: their number of tasks grows with them, and no word or cell holds more than its share
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
         if held:
-            yield group([np.concatenate(x) for x in zip(*held)])
+            yield from partners(*map(np.concatenate, zip(*held)), similar, every)
 
-    found = postings.repartition("word", F.shiftright("cell", 8)).mapInArrow(run, schema)
-    if every:
-        return found.select("k", "line", "yk", "yline").distinct()
-    best = F.min(F.struct("away", "yk", "yline"))
-    others = F.bool_or("more") | (F.min("yk") != F.max("yk")) | (F.min("yline") != F.max("yline"))
-    return found.groupBy("k", "line").agg(best.alias("y"), others.alias("more")).select("k", "line", "y.yk", "y.yline", "more")
+    tasks = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK + 1)
+    found = postings.repartition(tasks, "key", "cell").mapInArrow(run, "x long, y long, more boolean")
+    return written(found.groupBy("x", "y").agg(F.bool_or("more").alias("more")), "pairs")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, least: int, similar: Fraction) -> DataFrame:
-    """k, line of the sets for which one of the pairs is similar."""
-    ends = pairs.select("k", "line").unionAll(pairs.select(F.col("yk").alias("k"), F.col("yline").alias("line")))
-    wanted = ends.groupBy("k").agg(F.collect_set("line").alias("lines"))
+def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: Fraction) -> DataFrame:
+    """x with sa, sb, k, row, line of its set, if one of its pairs is similar."""
+    ends = pairs.select(F.col("x").alias("id")).unionAll(pairs.select(F.col("y").alias("id"))).distinct()
+    held = written(sets.select("id", "k", "row", "line", "sa", "sb").join(ends, "id"), "ends")
+    wanted = held.groupBy("k", "row").agg(F.collect_list(F.struct("line", "id")).alias("lines"))
+    bucket = F.col("row").bitwiseAND(SIEVE - 1)
+    # texts without such a line are not shuffled, as far as SIEVE buckets tell: the table broadcast has no more rows
+    some = docs.join(F.broadcast(held.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            ks, at, sets = [], [], []
-            for k, t, base, lines in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), b.column(4).to_pylist()):
+        for b in slices(batches, 2 << 20):
+            ids, texts = [], []
+            for t, lines in zip(as_bytes(b.column(0)), b.column(1).to_pylist()):
                 own = (t or b"").split(b"\n")
-                for i in lines:
-                    if base <= i < base + len(own):
-                        ks.append(k)
-                        at.append(i)
-                        sets.append(np.unique(word_hashes(own[i - base].split())).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(at, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["k", "line", "words"])
-
-    sets = written(docs.join(wanted, "k").mapInArrow(run, "k long, line long, words array<long>"), "sets")
-    y = sets.select(F.col("k").alias("yk"), F.col("line").alias("yline"), F.col("words").alias("ywords"))
-    both = F.size(F.array_intersect("words", "ywords"))
-    like = both * (similar.numerator + similar.denominator) >= similar.numerator * (F.size("words") + F.size("ywords"))
-    return pairs.select("k", "line", "yk", "yline").join(y, ["yk", "yline"]).join(sets, ["k", "line"]).filter(like).select("k", "line").distinct()
+                for w in lines:
+                    ids.append(w["id"])
+                    texts.append(own[w["line"]])
+            joined = b"\n".join(texts)
+            place, h = tokens(joined)
+            line = np.searchsorted(np.flatnonzero(np.frombuffer(joined, np.uint8) == 10), place)
+            line, h = _in_order(line, h, np.zeros(len(h), np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(h.view(np.int64), np.bincount(line, minlength=len(ids)))], ["id", "words"])
+
+    words = written(some.join(wanted, ["k", "row"]).select("text", "lines").mapInArrow(run, "id long, words array<long>"), "words")
+    a, b = (words.select(F.col("id").alias(c), F.col("words").alias(f"{c}words")) for c in ("x", "y"))
+    both = F.size(F.array_intersect("xwords", "ywords"))
+    like = both * (similar.numerator + similar.denominator) >= similar.numerator * (F.size("xwords") + F.size("ywords"))
+    found = pairs.select("x", "y").join(a, "x").join(b, "y").filter(like).select("x").distinct()
+    return written(found.join(held.withColumnRenamed("id", "x"), "x"), "found")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with _k (the doc_id, or LAST), _base (0) and _row (a hash of the text)."""
-    row = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_base": F.lit(0).cast("long"), "_row": row})
-
-
-def _apart(docs: DataFrame) -> DataFrame:
-    """_keyed, but different texts under one doc_id (or none) have line numbers of their own: each starts from its _base."""
-    keyed = _keyed(docs)
-    keys = keyed.select("_k", "_row").distinct()
-    several = keys.join(keys.groupBy("_k").count().filter("count > 1"), "_k").select("_k", "_row")
-    several = written(several.orderBy("_k", "_row").withColumn("id", F.monotonically_increasing_id()), "several")
-    part, place = F.shiftright("id", 33), F.col("id").bitwiseAND((1 << 33) - 1)
-    sizes = {r.part: r.n for r in several.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}  # one of each partition
-    if not sizes:
-        return keyed
-    ends = np.cumsum([sizes.get(i, 0) for i in range(max(sizes) + 1)])
-    before = F.array(*[F.lit(int(e) - sizes.get(i, 0)) for i, e in enumerate(ends)])
-    based = several.select("_k", "_row", F.shiftleft(F.get(before, part.cast("int")).cast("long") + place, 32).alias("_own"))
-    return keyed.join(based, ["_k", "_row"], "left").withColumn("_base", F.coalesce("_own", "_base")).drop("_own")
-
-
-def removed_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """Lines (k, row, line, n, sh with line -1 for each row of docs) and those removed (k, line, sh, near) of _keyed docs."""
-    docs = docs.select(F.col("_k").alias("k"), "text", F.col("_base").alias("base"), F.col("_row").alias("row"))
-    level = rarity(docs)
-    lines = written(_posted(docs, level, least, similar), "lines")
-    own = lines.filter("line >= 0")
-    first = own.groupBy("sh").agg(F.min(F.struct("k", "line", "n", "bits", "prefix")).alias("f")).select("sh", "f.*")
-    # smaller sets are similar to equal ones only
-    postings = _dealt(first.filter(F.col("n") * (similar.denominator - similar.numerator) >= similar.numerator), level)
-    pairs = written(_partners(postings.withColumn("asks", F.lit(True)), similar, False), "pairs")
-    freed(docs.sparkSession)  # the postings' shuffle is the largest of all, and done with
-    found = written(_verified(docs, pairs, least, similar), "found")
-    open_ = pairs.filter("more").select("k", "line").distinct().join(found, ["k", "line"], "left_anti")
-    open_ = written(open_, "open")
+    """k (the doc_id, or LAST), text, row (a hash of the text)."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("k"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"))
+
+
+def removed_lines(docs: DataFrame, least: int = 1, similar: Fraction = SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """The rows (k, row, n_lines) of _keyed docs, and the lines removed (k, row, line, near: not equal to an earlier one)."""
+    posted = written(_posted(docs, rarity(docs), least, similar), "posted")
+    sets = _sets(posted)
+    size = sets.agg(F.sum("copies").alias("lines"), F.sum(F.size("prefix")).alias("postings")).first()
+    texts = posted.filter("line < 0").select("k", "row", F.col("n").alias("n_lines"), "at", "las", "lbs")
+    blocks, asked = _blocks(sets), sets.withColumn("asks", F.lit(True))
+    pairs = _pairs(_dealt(asked, blocks), size.postings or 0, similar, False)
+    found = _verified(docs, sets, pairs, similar)
+    open_ = written(pairs.filter("more").select(F.col("x").alias("id")).distinct().join(found.select(F.col("x").alias("id")), "id", "left_anti"), "open")
     if not open_.isEmpty():
-        asks = open_.withColumn("asks", F.lit(True))
-        again = postings.join(asks, ["k", "line"], "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        # only words under which an open set is posted matter
-        words = again.filter("asks").select("word", F.shiftright("cell", 8).alias("pair")).distinct()
-        again = again.withColumn("pair", F.shiftright("cell", 8)).join(words, ["word", "pair"], "left_semi").select("word", "cell", "k", "line", "n", "pos", "bits", "asks")
-        rest = written(_partners(again, similar, True), "pairs")
-        found = found.unionAll(_verified(docs, rest, least, similar)).distinct()
-    keyed = own.select("k", "line", "sh").distinct()
-    marked = keyed.join(own.groupBy("sh").agg(F.min(F.struct("k", "line")).alias("f")), "sh")
-    later = ~((F.col("f.k") == F.col("k")) & (F.col("f.line") == F.col("line")))
-    near = marked.join(found.withColumn("near", F.lit(True)), ["k", "line"], "left").select("k", "line", "sh", (F.col("near").isNotNull() & ~later).alias("near"), later.alias("later"))
-    return lines.select("k", "row", "line", "n", "sh"), near.filter("near or later").select("k", "line", "sh", "near")
-
-
-def dedup_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR) -> DataFrame:
+        asked = sets.join(open_.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
+        asked = written(asked.select("id", "n", "bits", "prefix", "asks"), "asked")
+        sieve = np.zeros(SIEVE, bool)
+        buckets = asked.filter("asks").select(F.explode("prefix").alias("key")).select(F.col("key").bitwiseAND(SIEVE - 1).alias("b")).distinct()
+        sieve[buckets.toArrow().column(0).to_numpy()] = True  # at most SIEVE numbers
+        rest = _pairs(_dealt(asked, blocks, sieve), size.postings, similar, True)
+        found = found.unionAll(_verified(docs, sets, rest, similar))
+    first = ["sa", "sb", F.col("k").alias("fk"), F.col("row").alias("frow"), F.col("line").alias("fline")]
+    several = sets.filter("copies > 1").select(*first, "copies", F.lit(False).alias("near"))
+    near = found.select(*first, F.lit(1).cast("long").alias("copies"), F.lit(True).alias("near"))
+    which = ["sa", "sb", "fk", "frow", "fline"]
+    marked = written(several.unionAll(near).groupBy(*which).agg(F.max("copies").alias("copies"), F.bool_or("near").alias("near")), "marked")
+    lines = texts.select("k", "row", F.explode(F.arrays_zip(F.col("at").alias("line"), F.col("las").alias("sa"), F.col("lbs").alias("sb"))).alias("l")).select("k", "row", "l.*")
+    often = F.col("copies") > (size.lines or 0) / SHARE  # of less than SHARE sets
+    seldom = lines.join(marked.filter(~often).drop("copies"), ["sa", "sb"])
+    if marked.filter(often).isEmpty():
+        joined = seldom
+    else:
+        joined = seldom.unionByName(lines.join(F.broadcast(marked.filter(often).drop("copies")), ["sa", "sb"]))
+    later = ~((F.col("fk") == F.col("k")) & (F.col("frow") == F.col("row")) & (F.col("fline") == F.col("line")))
+    return texts.select("k", "row", "n_lines"), joined.filter(later | F.col("near")).select("k", "row", "line", (~later).alias("near"))
+
+
+def dedup_lines(docs: DataFrame, least: int = 1, similar: Fraction = SIMILAR) -> DataFrame:
     """documents -> doc_id, n_lines (with a word), n_equal and n_near (lines removed), removed (their numbers from 0).
 
-    Null and empty texts have no lines. Rows with equal doc_ids are one document that several rows describe, so repeated
-    rows are judged alike and keep each other's lines; rows without a doc_id come last, as one document. An empty table
-    gives no rows; other columns are ignored.
+    Null and empty texts have no lines. Different texts under one doc_id are judged each for itself, in the order of
+    their hashes; repeated rows (equal in doc_id and text) are one document, judged alike, and keep each other's lines.
+    Rows without a doc_id come last. An empty table gives no rows; other columns are ignored.
     """
-    lines, gone = removed_lines(_keyed(docs), least, similar)
-    hit = lines.filter("line >= 0").select("k", "row", "line", "sh").distinct().join(gone, ["k", "line", "sh"])
-    per = hit.groupBy("k", "row").agg(F.count_if(~F.col("near")).alias("n_equal"), F.count_if("near").alias("n_near"), F.sort_array(F.collect_list("line")).alias("removed"))
-    rows = lines.filter("line < 0").select("k", "row", F.col("n").alias("n_lines"))
-    zero, none = F.lit(0).cast("long"), F.array().cast("array<long>")
-    return rows.join(per, ["k", "row"], "left").select(F.nullif("k", F.lit(LAST)).alias("doc_id"), "n_lines", F.coalesce("n_equal", zero).alias("n_equal"), F.coalesce("n_near", zero).alias("n_near"), F.coalesce("removed", none).alias("removed"))
+    rows, gone = removed_lines(_keyed(docs), least, similar)
+    per = gone.groupBy("k", "row").agg(F.sort_array(F.collect_set(F.struct("line", "near"))).alias("cut"))
+    cut = F.coalesce("cut", F.array().cast("array<struct<line: int, near: boolean>>"))
+    n_near = F.size(F.filter(cut, lambda x: x["near"])).cast("long")
+    return rows.join(per, ["k", "row"], "left").select(F.nullif("k", F.lit(LAST)).alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), (F.size(cut) - n_near).alias("n_equal"), n_near.alias("n_near"), F.transform(cut, lambda x: x["line"].cast("long")).alias("removed"))
 
 
-def without_lines(docs: DataFrame, least: int = 5, similar: Fraction = SIMILAR) -> DataFrame:
+def without_lines(docs: DataFrame, least: int = 1, similar: Fraction = SIMILAR) -> DataFrame:
     """docs, all columns, with the removed lines taken out of text; documents of which no word is left are left out.
 
-    Different texts under one doc_id, or without one, are judged and cut each for itself, in the order of their hashes.
+    Nulls, equal ids and repeated rows as in dedup_lines; texts that lose no line stay as they are, null and empty ones too.
     """
-    keyed = _apart(docs)
-    lines, gone = removed_lines(keyed, least, similar)
-    hit = lines.filter("line >= 0").select("k", "row", "line", "sh").distinct().join(gone, ["k", "line", "sh"])
-    cut = hit.groupBy(F.col("k").alias("_k"), F.col("row").alias("_row")).agg(F.collect_set("line").alias("_cut"))
-    joined = keyed.join(cut, ["_k", "_row"], "left")
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_cut", F.col("_base") + i)), "\n")
-    text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(kept)
-    return joined.withColumn("text", text).filter(F.col("_cut").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(docs.columns)
+    _, gone = removed_lines(_keyed(docs), least, similar)
+    cut = gone.groupBy("k", "row").agg(F.collect_set("line").alias("cut"))
+    own = F.struct(*docs.columns).alias("own")
+    joined = docs.select(own).select("own", F.coalesce(F.col("own.doc_id").cast("long"), F.lit(LAST)).alias("k"), F.xxhash64(F.coalesce("own.text", F.lit(""))).alias("row")).join(cut, ["k", "row"], "left")
+    places = lambda parts: F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("cut"))
+    kept = lambda parts: F.array_join(F.transform(places(parts), lambda i: F.get(parts, i)), "\n")
+    text = F.when(F.col("cut").isNull(), F.col("own.text")).otherwise(F.get(F.transform(F.array(F.split("own.text", "\n")), kept), 0))
+    left = joined.withColumn("left", text).filter(F.col("cut").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    return left.select(*[F.col("left").alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns])

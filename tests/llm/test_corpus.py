@@ -220,7 +220,7 @@ def slow_lines(rows):
         gone = []
         for k, line in enumerate((t or "").encode().split(b"\n")):
             w = line.split()
-            if len(w) < 5:
+            if not w:
                 continue
             s = set(w)
             if any(9 * len(s & o) >= 4 * (len(s) + len(o)) for o in sets):
@@ -262,6 +262,7 @@ def test_line_query_takes_short_lines(spark, sf):
 def test_lines_in_cells(spark, docs, monkeypatch):
     rows = [(k, " ".join(f"a{(k * j) % 11}" for j in range(1, 9))) for k in range(80)]
     monkeypatch.setattr(lines, "HOT", 5)
+    monkeypatch.setattr(lines, "SHARE", 40)
     got = {r.doc_id: list(r.removed) for r in lines.dedup_lines(docs(rows)).collect()}
     assert got == slow_lines(rows)
 
