@@ -62,12 +62,32 @@ def test_viterbi_is_the_best_path():
         assert abs(score(best) - score(quality.viterbi(s, f).astype(int).tolist())) < 1e-9
 
 
+LICENCE_WEIGHTS = licenses.fit(["the river runs through the old town", "thon ere anded ing", "a red house stands by the road", "we met at noon and walked home"] * 10)
+
+
 def test_licenses(spark, docs):
-    d = docs([(1, "Some text.\nReleased under the MIT License.\nMore."), (2, "Licensed under the Apache License, Version 2.0."), (3, "A fishing license is due in March."), (4, None), (5, ""), (2, "Licensed under the Apache License, Version 2.0.")])
-    weights = licenses.fit(["the river runs through the old town", "thon ere anded ing"] * 20)
-    got = {(r.doc_id, r.paragraph): r.family for r in licenses.scan(d, weights).collect()}
-    assert got.pop((1, 1)) == "mit" and got.pop((2, 0)) == "apache-2.0" and set(got.values()) <= {"unknown"}
-    assert licenses.scan(docs([]), weights).count() == 0
+    wrapped = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation files\n(the Software), to deal in the Software without restriction"
+    rows = [(1, "Some text.\nReleased under the MIT License.\nMore."), (2, "Licensed under the Apache License, Version 2.0."), (3, "A fishing license is due in March."), (4, None), (5, ""), (2, "Licensed under the Apache License, Version 2.0.")]
+    rows += [(6, "x y\n\n" + wrapped + "\n\nz"), (1, "Licensed under CC BY-NC 4.0.\nq"), (None, "Licensed under CC BY-NC 4.0."), (7, "w " * 50000 + "\nLicensed under the Apache License, Version 2.0.\n" + "w\n" * 50000), (8, "\x01 7 \x02\nThe MIT License (MIT)")]
+    got = sorted(((r.doc_id, r.paragraph, r.family) for r in licenses.scan(docs(rows), LICENCE_WEIGHTS).collect()), key=repr)
+    want = [(1, 1, "mit"), (2, 0, "apache-2.0"), (6, 2, "mit"), (1, 0, "cc-by-nc"), (None, 0, "cc-by-nc"), (7, 1, "apache-2.0"), (8, 1, "mit")]
+    assert got == sorted(want, key=repr)
+    assert licenses.scan(docs([]), LICENCE_WEIGHTS).count() == 0
+    assert len(licenses.sample_lines(docs([(1, "a\nb")] * 5 + [(None, "c\n\nd")]), sample=2)) == 4
+
+
+def test_licenses_never_met(spark, docs):
+    """Notices that neither the training nor the calibration saw: families in other words, other licences, other text."""
+    known = [("mit", "This project is released under the MIT license"), ("apache-2.0", "This file is licensed under the Apache License, Version 2.0"), ("gpl-3", "you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3"), ("bsd", "It is licensed under the BSD 3-Clause License"), ("mpl-2.0", "The code is licensed under the Mozilla Public License, version 2.0"), ("cc-by-sa", "All texts are licensed under CC BY-SA 4.0"), ("cc0", "The data is dedicated to the public domain under CC0")]
+    other = ["Licensed under the European Union Public Licence, version 1.2.", "This is free and unencumbered software released into the public domain.", "Licensed under the Nokia Open Source License.", "Distributed under the terms of the Frameworx License, Version 1.0.", "Released under the Motosoto Public License.", "SPDX-License-Identifier: NCSA", "Licensed under the Reciprocal Public License 1.5."]
+    text = ["She lost her driving license last year.", "The public library opens at nine.", "Version 2 of the report is free.", "He works on open source software in Berlin.", "The terms of the contract were hard."]
+    rows = [(k, t) for k, t in enumerate([t for _, t in known] + other + text)]
+    got = {r.doc_id: (r.family, r.probability) for r in licenses.scan(docs(rows), LICENCE_WEIGHTS).collect()}
+    want = [f for f, _ in known] + ["unknown"] * len(other) + [None] * len(text)
+    right = [got.get(k, (None, 0))[0] == w for k, w in enumerate(want)]
+    assert sum(right) >= 0.85 * len(want), [(rows[k], got.get(k)) for k, r in enumerate(right) if not r]
+    wrongly = [k for k in range(len(known), len(rows)) if got.get(k, ("unknown", 0))[0] != "unknown"]
+    assert len(wrongly) <= 1, [(rows[k], got[k]) for k in wrongly]  # no licence is given a family that it has not
 
 
 def test_substrings(spark, docs, sf):
