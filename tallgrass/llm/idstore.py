@@ -146,13 +146,27 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, ke
 
     ordered = whole.select("row", "doc_id", "n_tokens", F.col("c.chunk").alias("chunks")).repartitionByRange(F.col("doc_id"), F.col("row")).sortWithinPartitions("doc_id", "row")
     ordered.mapInArrow(rooted, "part long, row long, doc_id long, n_tokens long, chunks array<binary>, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _part_roots(spark, path).write.parquet(f"{path}/manifest")
+    _part_roots(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
 
 
 REF = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32())])
 
 
-def _part_roots(spark: SparkSession, path: str) -> DataFrame:
+def _recipes(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes; stops at one whose chunks are not those, or not in the order, of its Merkle root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, chunks, root in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("row", "chunks", "root"))):
+                if merkle(chunks) != root:
+                    raise ValueError(f"the recipe of row {row} is damaged")
+            yield b
+
+    recipes = spark.read.parquet(f"{path}/recipes")
+    return recipes.mapInArrow(run, recipes.schema)
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
     """part, documents, tokens, tokens_before, root, from the recipes: one row for each part."""
 
     def run(key, batch):
@@ -160,7 +174,7 @@ def _part_roots(spark: SparkSession, path: str) -> DataFrame:
         return pa.table({"part": [key[0].as_py()], "documents": [batch.num_rows], "tokens": [pa.compute.sum(batch["n_tokens"]).as_py()], "root": pa.array([merkle(batch["root"].to_pylist())], pa.binary())})
 
     # a part is one task's share of the recipes, so a group is never larger than a partition
-    of = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "row", "n_tokens", "root").groupBy("part").applyInArrow(run, "part long, documents long, tokens long, root binary")
+    of = recipes.select("part", "doc_id", "row", "n_tokens", "root").groupBy("part").applyInArrow(run, "part long, documents long, tokens long, root binary")
     # one row for each part: as many as tasks wrote the recipes
     before = F.sum("tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return of.select("part", "documents", "tokens", F.coalesce(before, F.lit(0)).alias("tokens_before"), "root")
@@ -184,18 +198,23 @@ def _scanned(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks").filter("ids is not null").select("chunk", "ids").mapInArrow(run, "chunk binary, crc long, n long")
 
 
+def _checked(spark: SparkSession, path: str) -> DataFrame:
+    """The recipes, after their roots have been compared with the manifest; each is compared with its own root when read."""
+    manifest, recipes = spark.read.parquet(f"{path}/manifest"), _recipes(spark, path)
+    again = _part_roots(recipes)
+    wrong = manifest.join(again.select("part", F.col("root").alias("r"), F.col("tokens").alias("t"), F.col("documents").alias("d")), "part", "full").filter("not (root <=> r and tokens <=> t and documents <=> d)")
+    if not wrong.isEmpty():
+        raise ValueError("the recipes do not agree with the manifest")
+    return spark.read.parquet(f"{path}/recipes")  # all of them have been compared just now
+
+
 def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """row, doc_id, start, n_tokens, ids_crc32 of every document, from the files.
 
-    Chunks are checked against their hashes, recipes against the chunks' sizes and their Merkle roots, and the parts
-    against the manifest.
+    Chunks are compared with their hashes, recipes with the Merkle roots worked out again from their chunks, the parts'
+    roots with the manifest, and each recipe's length with its chunks; whatever differs is an error.
     """
-    manifest = spark.read.parquet(f"{path}/manifest")
-    again = _part_roots(spark, path)
-    wrong = manifest.join(again.select("part", F.col("root").alias("r"), F.col("tokens").alias("t")), "part", "full").filter("not (root <=> r and tokens <=> t)")
-    if not wrong.isEmpty():
-        raise ValueError("the recipes do not agree with the manifest")
-    recipes = spark.read.parquet(f"{path}/recipes")
+    manifest, recipes = spark.read.parquet(f"{path}/manifest"), _checked(spark, path)
     entries = recipes.select("row", F.posexplode("chunks").alias("seq", "chunk")).join(_scanned(spark, path, width), "chunk")
     after = F.sum("n").over(Window.partitionBy("row").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)) * 4
 
@@ -209,14 +228,26 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     here = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("doc_id", "row").rowsBetween(Window.unboundedPreceding, -1))
     placed = recipes.select("row", "doc_id", "part", "n_tokens", F.coalesce(here, F.lit(0)).alias("before"))
     placed = placed.join(F.broadcast(manifest.select("part", "tokens_before")), "part")  # a row for each part
-    n = F.when(F.col("got") == F.col("n_tokens"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe does not agree with its chunks")).cast("long"))
-    return placed.join(whole, "row").select("row", "doc_id", (F.col("tokens_before") + F.col("before")).alias("start"), n.alias("n_tokens"), "ids_crc32")
+    n = F.when(F.col("got").eqNullSafe(F.col("n_tokens")), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe does not agree with its chunks")).cast("long"))
+    return placed.join(whole, "row", "left").select("row", "doc_id", (F.col("tokens_before") + F.col("before")).alias("start"), n.alias("n_tokens"), "ids_crc32")
 
 
 def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """row, doc_id, ids (binary, as stored): the documents put together again from their recipes."""
-    recipes = spark.read.parquet(f"{path}/recipes").select("row", "doc_id", F.posexplode("chunks").alias("seq", "chunk"))
-    chunks = spark.read.parquet(f"{path}/chunks").filter("ids is not null").select("chunk", "ids")
-    got = recipes.join(chunks, "chunk").groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("c"))
-    joined = F.aggregate("c.ids", F.lit(b""), lambda a, x: F.concat(a, x))
-    return got.select("row", "doc_id", joined.alias("ids"))
+    """row, doc_id, ids (binary, as stored): the documents put together again from their recipes, verified as in read_digests."""
+    recipes = _checked(spark, path)
+    entries = recipes.select("row", "doc_id", "n_tokens", F.posexplode("chunks").alias("seq", "chunk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if hashlib.sha256(data).digest() != key:
+                    raise ValueError(f"chunk {key.hex()} is damaged")
+            yield b
+
+    chunks = spark.read.parquet(f"{path}/chunks").filter("ids is not null").select("chunk", "ids").mapInArrow(run, "chunk binary, ids binary")
+    # a chunk that is missing leaves a null, which the length shows
+    got = entries.join(chunks, "chunk", "left").groupBy("row", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "ids"))).alias("c"))
+    joined = F.unhex(F.array_join(F.transform("c.ids", lambda x: F.hex(x)), ""))
+    whole = got.select("row", "doc_id", "n_tokens", joined.alias("ids"))
+    right = F.octet_length("ids") == F.col("n_tokens") * width
+    return whole.select("row", "doc_id", F.when(right, F.col("ids")).otherwise(F.raise_error(F.lit("a recipe does not agree with its chunks")).cast("binary")).alias("ids"))

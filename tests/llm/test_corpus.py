@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tallgrass.llm import decontam, idstore, licenses, lines, packing, pii, quality, queries, substrings, urls
@@ -230,6 +231,52 @@ def test_store(spark, docs, sf, tmp_path):
     assert idstore.read_digests(spark, f"{out}0").count() == 0
 
 
+def test_store_finds_damage(spark, docs, sf, tmp_path):
+    """Each part of a store, changed behind its back, is an error on reading; ids rows with nulls and repeats come back."""
+    rows = [(k, " ".join(f"w{(k * 31 + j) % 977}" for j in range(3000))) for k in range(6)] + [(None, "a b"), (None, None), (1, "a b"), (1, "a b")]
+    path, out = public_tokenizers.path("byte_bpe_50k.json"), f"file://{tmp_path}/store"
+    idstore.write_store(docs(rows), out, path)
+    assert idstore.read_digests(spark, out).count() == len(rows) == idstore.read_ids(spark, out).count()
+    tables = {n: spark.read.parquet(f"{out}/{n}") for n in ("chunks", "recipes", "manifest")}
+    held = {n: (t.collect(), t.schema) for n, t in tables.items()}
+
+    def changed(name, f):
+        rows, schema = held[name]
+        new = f"file://{tmp_path}/{name}-{f.__name__}"
+        for n, (r, s) in held.items():
+            spark.createDataFrame(f([x.asDict(True) for x in r]) if n == name else r, s).write.mode("overwrite").parquet(f"{new}/{n}")
+        return new
+
+    def swapped(rows):
+        long = next(r for r in rows if len(r["chunks"]) > 1)
+        long["chunks"] = long["chunks"][::-1]
+        return rows
+
+    def rewritten(rows):  # the root is made to fit, the manifest tells
+        long = next(r for r in rows if len(r["chunks"]) > 1)
+        long["chunks"] = long["chunks"][::-1]
+        long["root"] = idstore.merkle(long["chunks"])
+        return rows
+
+    def bent(rows):
+        one = next(r for r in rows if r["ids"] is not None)
+        one["ids"] = bytes([one["ids"][0] ^ 1]) + bytes(one["ids"][1:])
+        return rows
+
+    def lost(rows):
+        return [r for r in rows if r is not next(x for x in rows if x["ids"] is not None)]
+
+    def counted(rows):
+        rows[0]["tokens"] += 1
+        return rows
+
+    for name, f in (("recipes", swapped), ("recipes", rewritten), ("chunks", bent), ("chunks", lost), ("manifest", counted)):
+        new = changed(name, f)
+        for read in (idstore.read_digests, idstore.read_ids):
+            with pytest.raises(Exception, match="damaged|agree"):
+                read(spark, new).collect()
+
+
 def test_contamination(spark, docs):
     item = " ".join(f"q{k}" for k in range(40))
     near = item.replace("q7 ", "other ")
