@@ -73,7 +73,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
 
 _GAP = np.zeros(256, bool)
 _GAP[list(SPACE.encode())] = True
-_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD1342543DE82EF95
 _powers = {1: np.ones(1, np.uint64), -1: np.ones(1, np.uint64)}
 
@@ -87,7 +86,7 @@ def _power(sign: int, n: int) -> np.ndarray:
     return _powers[sign][:n]
 
 
-def tokens(text: bytes, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def tokens(text: bytes, part: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Places of the words of a text and their 64-bit hashes, for all words at once.
 
     A word's hash is a polynomial in its bytes, taken from running sums over the text; it is worked out in parts of about
@@ -104,11 +103,13 @@ def tokens(text: bytes, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
                 gaps = np.flatnonzero(_GAP[data[end:]])
                 end = end + int(gaps[0]) + 1 if len(gaps) else len(data)
         own = data[at:end]
-        gap = np.concatenate([[True], _GAP[own], [True]])
-        first, last = np.flatnonzero(gap[:-1] & ~gap[1:]), np.flatnonzero(gap[1:] & ~gap[:-1])
+        low = np.flatnonzero(own <= 32)  # few bytes besides the gaps
+        gaps = np.concatenate([[-1], low[_GAP[own[low]]], [len(own)]])
+        long = np.flatnonzero(gaps[1:] - gaps[:-1] > 1)
+        first, last = gaps[long] + 1, gaps[long + 1]
         with np.errstate(over="ignore"):
             total = np.zeros(len(own) + 1, np.uint64)
-            np.cumsum(_BYTES[own] * _power(1, len(own)), out=total[1:])
+            np.cumsum(own.astype(np.uint64) * _power(1, len(own)), out=total[1:])
             hashes.append(mixed((total[last] - total[first]) * _power(-1, len(own))[first] + (last - first).astype(np.uint64)))
         places.append(first + at)
         at = end

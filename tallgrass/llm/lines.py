@@ -5,10 +5,10 @@ a Jaccard similarity of ``similar`` or more with it; lines are judged on the inp
 fewer than ``least`` words are left alone.
 
 1. Words are counted into a fixed number of buckets; the counts' logarithms (a byte each) order words by rarity.
-2. Lines with equal sets (128 bits) are one set, held by the first of them; sets are numbered in the order of lines.
+2. Lines with equal sets (128 bits) are one set, held by the first of them.
 3. Each set is posted under the words of its prefix: two similar sets share one of their rarest words.
-4. Under each word, sorted by size, pairs pass the length filter, the positional filter, and a bound from 64-bit
-   sketches (each word that only one set has flips one bit). Each set passes on its nearest earlier partner under each of its
+4. Under each word, sorted by size, pairs pass the length filter, the positional filter, and a bound from sketches of
+   64 bits, or 128 for large sets (each word that only one set has flips one bit). Each set passes on its nearest earlier partner under each of its
    words, not all pairs. Words that hold a noticeable share of all postings are dealt out in cells of block pairs, as many
    as it takes.
 5. Pairs are verified on the sets themselves, made again from the texts of the lines concerned.
@@ -25,17 +25,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.llm._common import as_bytes, mixed, slices, tokens, written
 
 LAST = (1 << 63) - 1  # stands for a null doc_id
 BUCKETS, WIDTH = 1 << 22, 4096  # buckets of words; buckets moved together
-HOT = 4096  # postings under one word that are compared in one cell
+HOT = 1024  # postings under one word that are compared in one cell
 SHARE = 50_000  # a word or a set with over one in so many of all postings or lines is dealt with apart
 TASK = 500_000  # postings of a task
 SIEVE = 1 << 20  # buckets by which rows without a match are left out before a shuffle
+LARGE = 80  # words of a set from which on it has a sketch of 128 bits
 SIMILAR = Fraction(4, 5)
 
 
@@ -101,8 +102,8 @@ def _lists(flat: np.ndarray, size: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
 
 
-_POSTED = "k long, row long, line int, n int, copies long, sa long, sb long, bits long, prefix array<int>, at array<int>, las array<long>, lbs array<long>"
-_SETS = pa.schema([("k", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("sa", pa.int64()), ("sb", pa.int64()), ("bits", pa.int64()), ("prefix", pa.list_(pa.int32()))])
+_POSTED = "k long, row long, line int, n int, copies long, sa long, sb long, bits long, more_bits long, prefix array<int>, at array<int>, las array<long>, lbs array<long>"
+_SETS = pa.schema([("k", pa.int64()), ("row", pa.int64()), ("line", pa.int32()), ("n", pa.int32()), ("copies", pa.int64()), ("sa", pa.int64()), ("sb", pa.int64()), ("bits", pa.int64()), ("more_bits", pa.int64()), ("prefix", pa.list_(pa.int32()))])
 _ROWS = pa.schema([*_SETS, ("at", pa.list_(pa.int32())), ("las", pa.list_(pa.int64())), ("lbs", pa.list_(pa.int64()))])
 
 
@@ -134,11 +135,15 @@ def _posted(docs: DataFrame, level: np.ndarray, least: int, similar: Fraction) -
             of = np.searchsorted(first, where, side="right") - 1
             with np.errstate(over="ignore"):
                 m = mixed(h + np.uint64(0x9E3779B97F4A7C15))
-                sa, sb, bits = (f.reduceat(x, start).view(np.int64) if len(start) else np.zeros(0, np.int64) for f, x in ((np.add, m), (np.add, mixed(m ^ h)), (np.bitwise_xor, np.uint64(1) << (m >> np.uint64(58)))))
+                half = (m & np.uint64(1)).astype(bool)
+                bit = np.uint64(1) << (m >> np.uint64(58))
+                sums = ((np.add, m), (np.add, mixed(m ^ h)), (np.bitwise_xor, np.where(half, 0, bit)), (np.bitwise_xor, np.where(half, bit, 0)))
+                sa, sb, bits, more = (f.reduceat(x, start).view(np.int64) if len(start) else np.zeros(0, np.int64) for f, x in sums)
+            bits, more = np.where(n < LARGE, bits ^ more, bits), np.where(n < LARGE, 0, more)
             within = (where - first[of]).astype(np.int32)
             per = np.bincount(of, minlength=len(texts))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(np.full(len(texts), -1, np.int32)), pa.array(n_lines), *[pa.nulls(len(texts), f.type) for f in list(_ROWS)[4:9]], _lists(within, per), _lists(sa, per), _lists(sb, per)],
+                [b.column(0), b.column(2), pa.array(np.full(len(texts), -1, np.int32)), pa.array(n_lines), *[pa.nulls(len(texts), f.type) for f in list(_ROWS)[4:10]], _lists(within, per), _lists(sa, per), _lists(sb, per)],
                 schema=_ROWS,
             )
             order = np.lexsort((within, row[of], k[of], sb, sa))
@@ -150,7 +155,7 @@ def _posted(docs: DataFrame, level: np.ndarray, least: int, similar: Fraction) -
                 pick = np.repeat(start[one] - np.cumsum(size) + size, size) + np.arange(size.sum())
                 key = (h[pick] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (k[of[one]], row[of[one]], within[one], n[one].astype(np.int32), copies.astype(np.int64), sa[one], sb[one], bits[one])] + [_lists(key, size)] + [pa.nulls(len(one), f.type) for f in list(_ROWS)[9:]],
+                    [pa.array(x) for x in (k[of[one]], row[of[one]], within[one], n[one].astype(np.int32), copies.astype(np.int64), sa[one], sb[one], bits[one], more[one])] + [_lists(key, size)] + [pa.nulls(len(one), f.type) for f in list(_ROWS)[10:]],
                     schema=_ROWS,
                 )
 
@@ -158,35 +163,33 @@ def _posted(docs: DataFrame, level: np.ndarray, least: int, similar: Fraction) -
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by set and line: one for each set, the first, with the copies of all."""
-    last = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        b = pa.concat_batches([last, b]) if last is not None else b
-        sa, sb, copies = (b.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 4))
-        new = np.flatnonzero(np.concatenate([[True], (sa[1:] != sa[:-1]) | (sb[1:] != sb[:-1])]))
-        one = b.take(pa.array(new)).set_column(4, "copies", pa.array(np.add.reduceat(copies, new)))
-        yield one.slice(0, one.num_rows - 1)
-        last = one.slice(one.num_rows - 1)
-    if last is not None:
-        yield last
+    """One row for each set, with an id: that of its first line (by k, line and row), with the copies of all."""
+    held = [b for b in batches if b.num_rows]
+    if held:
+        b = pa.concat_batches(held)
+        k, row, line, _, copies, sa, sb = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+        order = np.lexsort((row, line, k, sb, sa))
+        new = np.flatnonzero(np.concatenate([[True], (sa[order[1:]] != sa[order[:-1]]) | (sb[order[1:]] != sb[order[:-1]])]))
+        one = b.take(pa.array(order[new])).set_column(4, "copies", pa.array(np.add.reduceat(copies[order], new)))
+        at = TaskContext.get().partitionId() << 33
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + one.num_rows)), *one.columns], ["id", *one.schema.names])
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    at = TaskContext.get().partitionId() << 33
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + b.num_rows)), *b.columns], ["id", *b.schema.names])
-        at += b.num_rows
+def _sets(posted: DataFrame) -> DataFrame:
+    """The distinct sets, each with a number of its own."""
+    some = posted.filter("line >= 0").select(_SETS.names)
+    tasks = max(int(posted.sparkSession.conf.get("spark.sql.shuffle.partitions")), some.count() // TASK + 1)
+    dealt = some.repartition(tasks, "sa", "sb")  # a task holds its rows: their number grows with the sets
+    return written(dealt.mapInArrow(_first_of_each, "id long, " + _POSTED.split(", at ")[0]), "sets")
 
 
-def _sets(posted: DataFrame) -> DataFrame:
-    """The distinct sets with id, which rises with k, row and line of their first lines."""
-    columns = _SETS.names
-    dealt = posted.filter("line >= 0").select(columns).repartition("sa", "sb").sortWithinPartitions("sa", "sb", "k", "row", "line")
-    schema = _POSTED.split(", at ")[0]
-    ranged = dealt.mapInArrow(_first_of_each, schema).repartitionByRange("k", "row", "line").sortWithinPartitions("k", "row", "line")
-    return written(ranged.mapInArrow(_numbered, "id long, " + schema), "sets")
+def _sifted(df: DataFrame, key: Column, wanted: DataFrame, of: Column) -> DataFrame:
+    """df without rows whose key cannot be in wanted, as far as SIEVE buckets tell: fewer rows to shuffle for a join that follows.
+
+    The table that is broadcast has no more rows than there are buckets.
+    """
+    some = wanted.select(of.bitwiseAND(SIEVE - 1).alias("bucket_")).distinct()
+    return df.join(F.broadcast(some), key.bitwiseAND(SIEVE - 1) == F.col("bucket_"), "left_semi")
 
 
 def _blocks(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -207,52 +210,56 @@ def _blocks(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(sets: DataFrame, blocks: tuple[np.ndarray, np.ndarray], sieve: np.ndarray | None = None) -> DataFrame:
-    """Postings key, cell, id, size (n, place, side), bits, asks.
+    """Postings at (word and line), k, id, size (n, place, asks, side), bits, more_bits.
 
-    cell is 0, or for words of many postings a pair of blocks, one of them the set's own; side tells which. With a sieve
-    only words in its buckets are posted.
+    Words of many postings are dealt into pairs of blocks, one of them the set's own; side tells which. Each pair counts as
+    a word of its own. With a sieve only words in its buckets are posted.
     """
     shared = sets.sparkSession.sparkContext.broadcast((*blocks, sieve))  # bounded by SHARE and SIEVE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, many, only = shared.value
         for b in slices(batches, 2 << 20):
-            size = b.column(3).value_lengths().to_numpy(zero_copy_only=False)
-            key = b.column(3).flatten().to_numpy(zero_copy_only=False)
+            prefix = b.column(b.num_columns - 1)
+            size = prefix.value_lengths().to_numpy(zero_copy_only=False)
+            key = prefix.flatten().to_numpy(zero_copy_only=False)
             of = np.repeat(np.arange(b.num_rows), size)
             pos = np.arange(len(key)) - np.repeat(np.cumsum(size) - size, size)
             if only is not None:
                 keep = only[key & (SIEVE - 1)]
                 key, of, pos = key[keep], of[keep], pos[keep]
-            id_, n, bits, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
-            cell, side = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+            id_, k, line, n, bits, more, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            side = np.full(len(key), 2)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                 count = np.where(hot[at] == key, many[at], 1)
                 again = np.repeat(np.arange(len(key)), count)
-                other = np.arange(len(again)) - np.repeat(np.cumsum(count) - count, count)
-                mine = (mixed(id_[of[again]].view(np.uint64)) % count[again].astype(np.uint64)).astype(np.int64)
-                cell = np.where(count[again] > 1, (np.minimum(mine, other) << 31 | np.maximum(mine, other)) + 1, 0)
-                side = np.where(mine == other, 2, mine > other).astype(np.int64)
+                count = count[again]
+                other = np.arange(len(again)) - np.searchsorted(again, again)
+                mine = (mixed(id_[of[again]].view(np.uint64)) % count.astype(np.uint64)).astype(np.int64)
                 key, of, pos = key[again], of[again], pos[again]
-            packed = n[of].astype(np.int64) << 32 | pos << 2 | np.where(cell > 0, side, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, cell, id_[of], packed, bits[of], asks[of])], ["key", "cell", "id", "size", "bits", "asks"])
+                cell = np.minimum(mine, other) << 31 | np.maximum(mine, other)
+                named = mixed(key.astype(np.uint64) << np.uint64(32) ^ mixed(cell.view(np.uint64))).astype(np.uint32).view(np.int32)
+                key = np.where(count > 1, named, key)
+                side = np.where((count == 1) | (mine == other), 2, mine > other)
+            packed = n[of].astype(np.int64) << 32 | pos << 3 | asks[of].astype(np.int64) << 2 | side
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.astype(np.int64) << 32 | line[of], k[of], id_[of], packed, bits[of], more[of])], ["at", "k", "id", "size", "bits", "more_bits"])
 
-    return sets.select("id", "n", "bits", "prefix", "asks").mapInArrow(run, "key int, cell long, id long, size long, bits long, asks boolean")
+    return sets.select("id", "k", "line", "n", "bits", "more_bits", "asks", "prefix").mapInArrow(run, "at long, k long, id long, size long, bits long, more_bits long")
 
 
-def partners(key: np.ndarray, cell: np.ndarray, id_: np.ndarray, size: np.ndarray, bits: np.ndarray, asks: np.ndarray, similar: Fraction, every: bool) -> Iterator[pa.RecordBatch]:
-    """x, y, more: under each word (and cell) the nearest earlier partner of each set that asks (more: it has others), or every one."""
+def partners(at: np.ndarray, k: np.ndarray, id_: np.ndarray, size: np.ndarray, bits: np.ndarray, more: np.ndarray, similar: Fraction, every: bool) -> Iterator[pa.RecordBatch]:
+    """x, y, more: under each word the nearest earlier partner of each set that asks (more: it has others), or every one."""
     num, den = similar.numerator, similar.denominator
-    with np.errstate(over="ignore"):
-        group = mixed(key.astype(np.uint64) + cell.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(group)
-    same = group[order[1:]] == group[order[:-1]]
+    word = at >> 32
+    order = np.argsort(word)
+    same = word[order[1:]] == word[order[:-1]]
     order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])] if len(order) else order
     n = size >> 32
-    order = order[np.lexsort((id_[order], n[order], group[order]))]
-    group, id_, n, pos, side, asks = group[order], id_[order], n[order], (size[order] & 0xFFFFFFFF) >> 2, size[order] & 3, asks[order]
-    bits = bits[order].view(np.uint64)
+    order = order[np.lexsort((id_[order], n[order], word[order]))]
+    word, line, k, id_, n = word[order], at[order] & 0xFFFFFFFF, k[order], id_[order], n[order]
+    pos, asks, side = (size[order] & 0xFFFFFFFF) >> 3, size[order] & 4 > 0, size[order] & 3
+    bits, more = bits[order].view(np.uint64), more[order].view(np.uint64)
     best, dist, count = np.full(len(order), -1), np.full(len(order), 1 << 30), np.zeros(len(order), np.int64)
     tie = np.zeros(len(order), np.uint64)
 
@@ -263,7 +270,7 @@ def partners(key: np.ndarray, cell: np.ndarray, id_: np.ndarray, size: np.ndarra
     while True:
         x = x[x >= d]
         y = x - d
-        near = (group[x] == group[y]) & (n[x] * num <= n[y] * den)  # sorted by size: if this one is too small, so are those before it
+        near = (word[x] == word[y]) & (n[x] * num <= n[y] * den)  # sorted by size: if this one is too small, so are those before it
         x, y = x[near], y[near]
         if not len(x):
             break
@@ -272,8 +279,10 @@ def partners(key: np.ndarray, cell: np.ndarray, id_: np.ndarray, size: np.ndarra
         spare = both - 2 * -(-num * both // (num + den))  # words that one of the sets alone may have
         ok = (2 * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= both - spare) & ((side[x] == 2) | (side[x] != side[y])) & (id_[x] != id_[y])
         p, q, spare = x[ok], y[ok], spare[ok]
-        flips = np.bitwise_count(bits[p] ^ bits[q]).astype(np.int64)
-        later = id_[p] > id_[q]
+        one, two = bits[p] ^ bits[q], more[p] ^ more[q]
+        small = (n[p] < LARGE) | (n[q] < LARGE)  # compared by 64 bits, to which those of a large set are folded
+        flips = np.where(small, np.bitwise_count(one ^ two), np.bitwise_count(one).astype(np.int64) + np.bitwise_count(two)).astype(np.int64)
+        later = (k[p] > k[q]) | (k[p] == k[q]) & ((line[p] > line[q]) | (line[p] == line[q]) & (id_[p] > id_[q]))
         p, q = np.where(later, p, q), np.where(later, q, p)
         ok = (flips <= spare) & asks[p]
         p, q, flips, later = p[ok], q[ok], flips[ok], later[ok]
@@ -304,18 +313,17 @@ def _pairs(postings: DataFrame, total: int, similar: Fraction, every: bool) -> D
             yield from partners(*map(np.concatenate, zip(*held)), similar, every)
 
     tasks = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK + 1)
-    found = postings.repartition(tasks, "key", "cell").mapInArrow(run, "x long, y long, more boolean")
+    found = postings.repartition(tasks, F.shiftright("at", 32)).mapInArrow(run, "x long, y long, more boolean")
     return written(found.groupBy("x", "y").agg(F.bool_or("more").alias("more")), "pairs")
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: Fraction) -> DataFrame:
     """x with sa, sb, k, row, line of its set, if one of its pairs is similar."""
     ends = pairs.select(F.col("x").alias("id")).unionAll(pairs.select(F.col("y").alias("id"))).distinct()
-    held = written(sets.select("id", "k", "row", "line", "sa", "sb").join(ends, "id"), "ends")
+    ends = written(ends, "ends")
+    held = written(_sifted(sets.select("id", "k", "row", "line", "sa", "sb"), F.xxhash64("id"), ends, F.xxhash64("id")).join(ends, "id"), "held")
     wanted = held.groupBy("k", "row").agg(F.collect_list(F.struct("line", "id")).alias("lines"))
-    bucket = F.col("row").bitwiseAND(SIEVE - 1)
-    # texts without such a line are not shuffled, as far as SIEVE buckets tell: the table broadcast has no more rows
-    some = docs.join(F.broadcast(held.select(bucket.alias("bucket")).distinct()), bucket == F.col("bucket"), "left_semi")
+    some = _sifted(docs, F.col("row"), held, F.col("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2 << 20):
@@ -356,7 +364,7 @@ def removed_lines(docs: DataFrame, least: int = 1, similar: Fraction = SIMILAR)
     open_ = written(pairs.filter("more").select(F.col("x").alias("id")).distinct().join(found.select(F.col("x").alias("id")), "id", "left_anti"), "open")
     if not open_.isEmpty():
         asked = sets.join(open_.withColumn("asks", F.lit(True)), "id", "left").withColumn("asks", F.coalesce("asks", F.lit(False)))
-        asked = written(asked.select("id", "n", "bits", "prefix", "asks"), "asked")
+        asked = written(asked.select("id", "k", "line", "n", "bits", "more_bits", "prefix", "asks"), "asked")
         sieve = np.zeros(SIEVE, bool)
         buckets = asked.filter("asks").select(F.explode("prefix").alias("key")).select(F.col("key").bitwiseAND(SIEVE - 1).alias("b")).distinct()
         sieve[buckets.toArrow().column(0).to_numpy()] = True  # at most SIEVE numbers
@@ -368,6 +376,7 @@ def removed_lines(docs: DataFrame, least: int = 1, similar: Fraction = SIMILAR)
     which = ["sa", "sb", "fk", "frow", "fline"]
     marked = written(several.unionAll(near).groupBy(*which).agg(F.max("copies").alias("copies"), F.bool_or("near").alias("near")), "marked")
     lines = texts.select("k", "row", F.explode(F.arrays_zip(F.col("at").alias("line"), F.col("las").alias("sa"), F.col("lbs").alias("sb"))).alias("l")).select("k", "row", "l.*")
+    lines = _sifted(lines, F.col("sa"), marked, F.col("sa"))
     often = F.col("copies") > (size.lines or 0) / SHARE  # of less than SHARE sets
     seldom = lines.join(marked.filter(~often).drop("copies"), ["sa", "sb"])
     if marked.filter(often).isEmpty():
@@ -381,8 +390,7 @@ def removed_lines(docs: DataFrame, least: int = 1, similar: Fraction = SIMILAR)
 def dedup_lines(docs: DataFrame, least: int = 1, similar: Fraction = SIMILAR) -> DataFrame:
     """documents -> doc_id, n_lines (with a word), n_equal and n_near (lines removed), removed (their numbers from 0).
 
-    Null and empty texts have no lines. Different texts under one doc_id are judged each for itself, in the order of
-    their hashes; repeated rows (equal in doc_id and text) are one document, judged alike, and keep each other's lines.
+    Null and empty texts have no lines. Different texts under one doc_id are judged each for itself, line by line; repeated rows (equal in doc_id and text) are one document, judged alike, and keep each other's lines.
     Rows without a doc_id come last. An empty table gives no rows; other columns are ignored.
     """
     rows, gone = removed_lines(_keyed(docs), least, similar)
