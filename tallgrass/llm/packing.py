@@ -1,7 +1,8 @@
 """Vector bin packing of examples into training sequences.
 
 An example needs tokens, one segment, and loss-bearing tokens; a sequence has a limit on each. Whole multiples of the
-sequence length are cut from long examples first. What remains is packed from a bounded pool by the dot-product
+sequence length are cut from long examples first. Unless a limit on segments is given there is none besides that of tokens
+(a segment has a token), so that very short texts fill their sequences too. What remains is packed from a bounded pool by the dot-product
 heuristic: of the pool's items that fit, the next is the one whose needs have the greatest dot product with the
 sequence's free capacity, both as shares of the limits. When nothing fits whole, a piece that fills the sequence
 exactly is cut from the item of most tokens (if examples may be cut). The last sequences of a partition are cut to powers of two,
@@ -31,9 +32,9 @@ POOL = 512
 class Packer:
     """Places items into sequences; an item is (key, tokens, loss), the key being anything."""
 
-    def __init__(self, tokens: int = 2048, segments: int = 64, loss: int | None = None, cut: bool = True, pool: int = POOL, first: int = 0):
-        self.limit = np.array([tokens, segments, loss or tokens], np.int64)
-        self.tokens, self.segments, self.cut, self.most, self.sequence = tokens, segments, cut, pool, first
+    def __init__(self, tokens: int = 2048, segments: int | None = None, loss: int | None = None, cut: bool = True, pool: int = POOL, first: int = 0):
+        self.limit = np.array([tokens, segments or tokens, loss or tokens], np.int64)
+        self.tokens, self.cut, self.most, self.sequence = tokens, cut, pool, first
         self.keys, self.need = [], np.zeros((pool + 1, 3), np.int64)  # the pool: (key, start, tokens, loss-bearing from)
         self.used = 0
 
@@ -103,49 +104,54 @@ class Packer:
             yield from self._fill(None if left >= self.tokens or not self.cut else 1 << (left.bit_length() - 1))
 
 
-def packed_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: int = 2048, segments: int = 64, loss: int | None = None, keeps_space: bool = False, ids: bool = False) -> DataFrame:
-    """documents -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
+def packed_ids(docs: DataFrame, vocabulary: str, end_id: int = 1, tokens: int = 2048, segments: int | None = None, loss: int | None = None, keeps_space: bool = False, ids: bool = False, prompt: str | None = None) -> DataFrame:
+    """documents -> pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (loss_tokens and ids if asked for).
 
-    Texts are encoded whole with the tokenizer file named and end with end_id; all their tokens bear loss. A null text
-    is empty, so it holds end_id alone. Repeated rows are packed each; an empty table gives no rows; other columns are
-    ignored. The schema of ids is binary, unsigned 32-bit little-endian.
+    Texts are encoded whole with the tokenizer file named and end with end_id. A column named by ``prompt`` holds what
+    stands before the text and bears no loss (instruction data): both are encoded, one after the other, and loss_tokens
+    tells how many of a piece's tokens bear loss; without it all do. A null text or prompt is empty, so an empty row holds
+    end_id alone. Repeated rows are packed each; of equally good examples the first in the pool is taken; an empty table
+    gives no rows; other columns are ignored. The schema of ids is binary, unsigned 32-bit little-endian.
     """
+    names = NAMES + ["loss_tokens"] * bool(prompt) + ["ids"] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(tokens, segments, loss, first=TaskContext.get().partitionId() << 33)
-        held: dict[int, list] = {}  # texts with pieces to come: doc_id, ids, tokens left
+        held: dict[int, list] = {}  # texts with pieces to come: doc_id, ids, tokens left, loss from
         tail = np.uint32(end_id).tobytes()
 
         def out(pieces: list[tuple]) -> pa.RecordBatch:
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(9)]
             for key, start, length, sequence, offset in pieces:
                 item = held[key]
                 part = memoryview(item[1])[4 * start : 4 * (start + length)]
-                for c, x in zip(cols, (item[0], start, length, zlib.crc32(part), len(item[1]) // 4, sequence, offset, bytes(part) if ids else None)):
+                bears = start + length - min(start + length, max(start, item[3]))
+                for c, x in zip(cols, (item[0], start, length, zlib.crc32(part), len(item[1]) // 4, sequence, offset, bears, bytes(part) if ids else None)):
                     c.append(x)
                 item[2] -= length
                 if not item[2]:
                     del held[key]
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)][: 7 + ids], NAMES[: 7 + ids])
+            kept = cols[:7] + cols[7:8] * bool(prompt) + cols[8:] * ids
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, kept)], names)
 
         n = 0
         for b in slices(batches, 4 << 20):
             pieces: list[tuple] = []
-            encoded = encoder(vocabulary, keeps_space).encode(as_bytes(b.column(1)))
-            for doc_id, x in zip(b.column(0).to_pylist(), encoded):
-                x += tail
-                held[n] = [doc_id, x, len(x) // 4]
-                pieces += packer.add(n, len(x) // 4)
+            encode = encoder(vocabulary, keeps_space).encode
+            before = encode(as_bytes(b.column(2))) if prompt else [b""] * b.num_rows
+            for doc_id, p, x in zip(b.column(0).to_pylist(), before, encode(as_bytes(b.column(1)))):
+                x = p + x + tail
+                held[n] = [doc_id, x, len(x) // 4, len(p) // 4]
+                pieces += packer.add(n, len(x) // 4, len(p) // 4)
                 n += 1
             yield out(pieces)
         yield out(list(packer.rest()))
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    schema = ", ".join(f"{n} {'binary' if n == 'ids' else 'long'}" for n in names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.col(prompt).alias("prompt")] if prompt else [])).mapInArrow(run, schema)
 
 
-NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def padding(pieces: DataFrame, tokens: int = 2048) -> DataFrame:

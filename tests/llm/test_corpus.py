@@ -8,6 +8,8 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallgrass.llm import decontam, idstore, licenses, lines, packing, pii, quality, queries, substrings, urls
@@ -129,6 +131,68 @@ def test_packing(spark, docs, sf):
     assert packing.packed_ids(docs([]), path).count() == 0
 
 
+def test_packing_of_short_and_repeated_texts(spark, docs):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rows = [(k % 3000, f"five short words make {k % 7}") for k in range(6000)] + [(None, "x y")] * 2 + [(None, None)]
+    p = packing.packed_ids(docs(rows), path)
+    r = packing.padding(p).first()
+    assert r.padding <= 0.02 * r.tokens and p.count() >= len(rows)
+    # equal rows are packed each: every row's tokens are there once
+    want = Counter()
+    tok = Tokenizer.from_file(path)
+    for i, t in rows:
+        want[i] += len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    assert {x.doc_id: x.n for x in p.groupBy("doc_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").collect()} == want
+
+
+def test_packing_of_instruction_data(spark):
+    """Conversations: the turns before an answer are its prompt; sequences keep three limits at once."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    c = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    own = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("prompt", F.array_join(F.collect_list("text").over(own), " ")).filter("role = 'assistant'")
+    c = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", "prompt")
+    rows = {r.doc_id: r for r in c.collect()}
+    out = packing.packed_ids(c, path, tokens=512, segments=6, loss=300, prompt="prompt", ids=True).collect()
+    tok, got, size, bear, n = Tokenizer.from_file(path), {}, Counter(), Counter(), Counter()
+    ids = lambda t: tok.encode(t or "", add_special_tokens=False).ids
+    for r in sorted(out, key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, []) + np.frombuffer(r.ids, "<u4").tolist()
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, len(ids(rows[r.doc_id].prompt))))
+        size[r.sequence_id] += r.length
+        bear[r.sequence_id] += r.loss_tokens
+        n[r.sequence_id] += 1
+    assert rows and got == {i: ids(r.prompt) + ids(r.text) + [1] for i, r in rows.items()}
+    assert max(size.values()) <= 512 and max(bear.values()) <= 300 and max(n.values()) <= 6
+    assert sum(bear.values()) == sum(len(ids(r.text)) + 1 for r in rows.values())
+
+
+def test_packer_takes_the_greatest_dot_product():
+    """Against a plain version of the heuristic: no cutting, one sequence after another from a pool that holds all."""
+    rng = np.random.default_rng(3)
+    limit = np.array([100, 5, 60])
+    items = [(k, int(t), int(rng.integers(0, t + 1))) for k, t in enumerate(rng.integers(1, 60, 40))]
+    k = packing.Packer(tokens=100, segments=5, loss=60, cut=False, pool=100)
+    out = [p for n, t, f in items for p in k.add(n, t, f)] + list(k.rest())
+    left, want = [(n, np.array([t, 1, t - f])) for n, t, f in items], []
+    sequence = 0
+    while left:
+        free = limit.copy()
+        while True:
+            fits = [(float((need / limit) @ (free / limit)), n, need) for n, need in left if (need <= free).all()]
+            if not fits:
+                break
+            best = max(x[0] for x in fits)
+            fits = [x for x in fits if abs(x[0] - best) < 1e-12]
+            mine = {p[0] for p in out if p[3] == sequence}
+            _, n, need = next((x for x in fits if x[1] in mine), fits[0])
+            want.append((n, sequence))
+            free = free - need
+            left = [x for x in left if x[0] != n]
+        sequence += 1
+    assert sorted((p[0], p[3]) for p in out) == sorted(want)
+
+
 def test_packer_keeps_all_limits():
     rng = np.random.default_rng(5)
     k = packing.Packer(tokens=100, segments=4, loss=60, pool=32)
