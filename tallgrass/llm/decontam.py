@@ -24,8 +24,8 @@ BLOCK = 64  # places of shingles that are windowed together
 RADIUS = BLOCKS * BLOCK_BITS + BLOCKS - 1
 #: Benchmark shingles are broadcast up to this many (8 bytes and two numbers each), and shuffled beyond.
 MOST_BROADCAST = 200_000
-#: One bit in every 16: bits k, k+16, k+32 and k+48 of a hash are counted in one number, up to 65535 shingles.
-_LANES = 0x0001000100010001
+#: Bits k, k+16, k+32 and k+48 of a hash are counted in one number, up to this many shingles; beyond, bits k and k+32.
+MOST_NARROW = 65535
 
 
 def _shingled(df: DataFrame, key: str, k: int) -> DataFrame:
@@ -38,12 +38,14 @@ def _shingled(df: DataFrame, key: str, k: int) -> DataFrame:
     return hashed.select(key, h.alias("h"), w.alias("w"))
 
 
-def simhash(h: Column) -> Column:
-    """64 bits, each 1 if set in over half of the hashes."""
+def simhash(h: Column, wide: bool = False) -> Column:
+    """64 bits, each 1 if set in over half of the hashes: of MOST_NARROW hashes at most, or if wide of any number."""
+    lane = 32 if wide else 16
+    mask = sum(1 << k for k in range(0, 64, lane))
     right = lambda x, k: F.call_function("shiftrightunsigned", x, k)
     zero = F.lit(0).cast("long")
-    lanes = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.aggregate(h, zero, lambda s, x: s + right(x, k).bitwiseAND(F.lit(_LANES))))
-    ones = lambda s, i: right(F.get(s, i % 16), (F.floor(i / 16) * 16).cast("int")).bitwiseAND(F.lit(0xFFFF))
+    lanes = F.transform(F.sequence(F.lit(0), F.lit(lane - 1)), lambda k: F.aggregate(h, zero, lambda s, x: s + right(x, k).bitwiseAND(F.lit(mask))))
+    ones = lambda s, i: right(F.get(s, i % lane), (F.floor(i / lane) * lane).cast("int")).bitwiseAND(F.lit((1 << lane) - 1))
     bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
     fold = lambda s: F.aggregate(F.sequence(F.lit(0), F.lit(63)), zero, lambda b, i: b.bitwiseOR(F.when(2 * ones(s, i) > F.size(h), bit(i)).otherwise(zero)))
     return F.get(F.transform(F.array(lanes), fold), 0)
@@ -82,39 +84,40 @@ def _of_size(docs: DataFrame, bench: DataFrame, k: int, exactly: bool, similar:
     n = F.size(words_of(F.lower("text")))
     mine = bench.select("item_id", "text", n.alias("m")).filter(F.col("m") == k if exactly else F.col("m") >= k)
     items = _shingled(mine.withColumn("id", F.struct("item_id", "m")), "id", k)
-    items = items.select("id.item_id", "id.m", "h", "w", simhash(F.col("h")).alias("fp"), _counted(F.col("h"), F.col("w")).alias("counted"), _total(F.col("w")).alias("item_weight"))
+    wide = (mine.agg(F.max("m")).first()[0] or 0) > MOST_NARROW
+    items = items.select("id.item_id", "id.m", "h", "w", simhash(F.col("h"), wide).alias("fp"), _counted(F.col("h"), F.col("w")).alias("counted"), _total(F.col("w")).alias("item_weight"))
     items = written(items, "items")
     grams = items.select("m", F.explode("h").alias("gram")).distinct()
-    widest = items.agg(F.coalesce(F.max("m"), F.lit(k))).first()[0] - k  # shingles that a window has beyond its first
     shingled = _shingled(docs.select("doc_id", "text", F.xxhash64("text").alias("row")).withColumn("id", F.struct("doc_id", "row")), "id", k)
     shingled = shingled.select("id.doc_id", "id.row", F.size("h").alias("size"), "h", "w")
     # windows of m words that hold the shingle at pos start from a to b; a document of fewer words is one window, from 0
     first = F.greatest(F.lit(0), F.col("pos") - (F.col("m") - k))
     last = F.greatest(F.lit(0), F.least(F.col("pos"), F.col("size") - (F.col("m") - k) - 1))
     reach = [F.floor(F.col("pos") / BLOCK).cast("int").alias("block"), "m", first.alias("a"), last.alias("b")]
-    begin = F.greatest(F.lit(0), F.col("block") * BLOCK - widest)
-    around = [F.slice(c, begin + 1, BLOCK + 2 * widest).alias(c) for c in ("h", "w")]
+    # for each size of items that a block meets: its shingles, and as many around it as such a window has beyond its first
+    begin = F.greatest(F.lit(0), F.col("block") * BLOCK - (F.col("m") - k))
+    around = [F.slice(c, begin + 1, BLOCK + 2 * (F.col("m") - k)).alias(c) for c in ("h", "w")]
     # explode_outer, as the filter that Spark infers for explode repeats the whole expression below it
     if grams.count() <= MOST_BROADCAST:
         # the arrays ride along by reference up to the join; of a block's hits one keeps the shingles around it
         at = shingled.select("doc_id", "row", "size", "h", "w", F.posexplode_outer("h").alias("pos", "gram"))
         hits = at.join(F.broadcast(grams), "gram").select("doc_id", "row", *reach, "h", "w").filter("a <= b")
-        blocks = hits.select("doc_id", "row", "block", begin.alias("begin"), *around, F.struct("m", "a", "b").alias("r"))
-        blocks = blocks.groupBy("doc_id", "row", "block", "begin").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.collect_set("r").alias("reach"))
+        blocks = hits.select("doc_id", "row", "block", "m", begin.alias("begin"), *around, F.struct("a", "b").alias("r"))
+        blocks = blocks.groupBy("doc_id", "row", "block", "m", "begin").agg(F.first("h").alias("h"), F.first("w").alias("w"), F.collect_set("r").alias("reach"))
     else:
         sized = shingled.select("doc_id", "row", "size", "h")
         at = sized.select("doc_id", "row", "size", F.posexplode_outer("h").alias("pos", "gram"))
         hits = at.join(grams, "gram").select("doc_id", "row", *reach).filter("a <= b")
-        per = hits.groupBy("doc_id", "row", "block").agg(F.collect_set(F.struct("m", "a", "b")).alias("reach"))
+        per = hits.groupBy("doc_id", "row", "block", "m").agg(F.collect_set(F.struct("a", "b")).alias("reach"))
         texts = shingled.select("doc_id", "row", "h", "w").dropDuplicates(["doc_id", "row"])
-        blocks = per.join(texts, ["doc_id", "row"]).select("doc_id", "row", begin.alias("begin"), *around, "reach")
+        blocks = per.join(texts, ["doc_id", "row"]).select("doc_id", "row", "m", begin.alias("begin"), *around, "reach")
     # each start once: windows near one another overlap
-    starts = lambda r: F.transform(F.sequence(r["a"], r["b"]), lambda s: F.struct(r["m"].alias("m"), s.alias("start")))
-    placed = blocks.select("doc_id", "begin", "h", "w", F.array_distinct(F.flatten(F.transform("reach", starts))).alias("places"))
-    part = lambda a, p: F.slice(a, p["start"] - F.col("begin") + 1, p["m"] - (k - 1))
-    window = lambda p: F.struct(p["m"].alias("m"), p["start"].alias("start"), part("h", p).alias("h"), _total(part("w", p)).alias("weight"))
+    starts = lambda r: F.transform(F.sequence(r["a"], r["b"]), lambda s: F.struct(s.alias("start")))
+    placed = blocks.select("doc_id", "m", "begin", "h", "w", F.array_distinct(F.flatten(F.transform("reach", starts))).alias("places"))
+    part = lambda a, p: F.slice(a, p["start"] - F.col("begin") + 1, F.col("m") - (k - 1))
+    window = lambda p: F.struct(F.col("m").alias("m"), p["start"].alias("start"), part("h", p).alias("h"), _total(part("w", p)).alias("weight"))
     cut = written(placed, "places").select("doc_id", F.explode_outer(F.transform("places", window)).alias("c")).select("doc_id", "c.*")
-    windows = cut.select("*", simhash(F.col("h")).alias("fp"))
+    windows = cut.select("*", simhash(F.col("h"), wide).alias("fp"))
     probes = windows.select("*", F.explode_outer(F.array(*[F.struct(F.lit(i).alias("block"), _byte(F.col("fp"), i).alias("byte")) for i in range(BLOCKS)])).alias("e")).select("doc_id", "m", "start", "h", "weight", "fp", "e.block", "e.byte")
     entries = index(items.select("item_id", "m", "fp"))
     near = probes.join(entries, ["m", "block", "byte"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)

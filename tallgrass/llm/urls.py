@@ -57,19 +57,20 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return name, verdict
 
 
-def template_verdicts(urls: DataFrame, max_depth: int = 6, fanout: int = 12, share: float = 0.05, z: float = 1.64, weight: float = 4.0, threshold: float = 0.5) -> DataFrame:
-    """(host, shape, blocked labels) -> (host, shape, template, purity, rejected).
+def template_verdicts(urls: DataFrame, fanout: int = 12, share: float = 0.05, z: float = 1.64, weight: float = 4.0, threshold: float = 0.5) -> DataFrame:
+    """(host, segs, n, labelled, blocked) -> (host, segs, template, purity, rejected).
 
-    urls: host, segs (array of path segments), label (1 blocked, 0 allowed, null none), n (urls). Segments beyond
-    max_depth are the part ``**`` of a template.
+    urls: host, segs (array of path segments), n (urls), labelled and blocked (of them). Each round goes one segment
+    down, as deep as the paths are; where a node holds one path alone, the rest of that path is taken at once, as no
+    sibling can change it.
     """
     node = urls.groupBy("host", "segs").agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    now = written(node.withColumn("template", F.lit("")), "templates")
-    deepest = now.agg(F.max(F.size("segs"))).first()[0] or 0
-    for d in range(min(max_depth, deepest)):
-        here = now.filter(F.size("segs") > d).withColumn("seg", F.get("segs", F.lit(d)))
-        child = here.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
-        parent = child.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
+    now, d = written(node.select("*", F.lit("").alias("template"), F.lit(False).alias("done")), "templates"), 0
+    while (now.filter("not done").agg(F.max(F.size("segs"))).first()[0] or 0) > d:
+        going = (F.size("segs") > d) & ~F.col("done")
+        here = now.filter(going).withColumn("seg", F.get("segs", F.lit(d)))
+        child = here.groupBy("host", "template", "seg").agg(F.sum("n").alias("n"), F.sum("labelled").alias("l"), F.sum("blocked").alias("b"), F.count("*").alias("paths"))
+        parent = child.groupBy("host", "template").agg(F.count("*").alias("fan"), F.sum("paths").alias("alone"), F.sum("n").alias("pn"), F.sum("l").alias("pl"), F.sum("b").alias("pb"))
         c = child.join(parent, ["host", "template"])
         variable = numeric(F.col("seg")) | (F.col("fan") > fanout) & (F.col("n") < share * F.col("pn"))
         rest_l, rest_b = F.col("pl") - F.col("l"), F.col("pb") - F.col("b")
@@ -77,10 +78,11 @@ def template_verdicts(urls: DataFrame, max_depth: int = 6, fanout: int = 12, sha
         gap = F.abs(F.col("b") / F.nullif("l", F.lit(0)) - rest_b / F.nullif(rest_l, F.lit(0)))
         spread = F.sqrt(pooled * (1 - pooled) * (1 / F.nullif("l", F.lit(0)) + 1 / F.nullif(rest_l, F.lit(0))))
         similar = F.coalesce(gap <= z * spread, F.lit(False))
-        step = c.select("host", "template", "seg", F.when(variable | similar, "*").otherwise(F.col("seg")).alias("step"))
-        grown = here.join(step, ["host", "template", "seg"]).withColumn("template", F.concat("template", F.lit("/"), "step")).select(now.columns)
-        now = written(grown.unionByName(now.filter(F.size("segs") <= d)), "templates")
-    now = now.withColumn("template", F.when(F.size("segs") > max_depth, F.concat("template", F.lit("/**"))).otherwise(F.col("template")))
+        step = c.select("host", "template", "seg", F.when(variable | similar, "*").otherwise(F.col("seg")).alias("step"), (F.col("alone") == 1).alias("alone"))
+        rest = F.transform(F.slice("segs", d + 2, F.greatest(F.size("segs"), F.lit(1))), lambda s: F.concat(F.lit("/"), F.when(numeric(s), "*").otherwise(s)))
+        longer = F.concat("template", F.lit("/"), "step", F.when(F.col("alone"), F.array_join(rest, "")).otherwise(""))
+        grown = here.join(step, ["host", "template", "seg"]).withColumns({"template": longer, "done": F.col("alone")}).select(now.columns)
+        now, d = written(grown.unionByName(now.filter(~going)), "templates"), d + 1
     own = now.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
     anywhere = own.groupBy("template").agg(F.sum("l").alias("gl"), F.sum("b").alias("gb"))
     base = own.agg((F.coalesce(F.sum("b"), F.lit(0)) + 1) / (F.coalesce(F.sum("l"), F.lit(0)) + 2)).first()[0]

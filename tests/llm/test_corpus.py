@@ -439,6 +439,72 @@ def test_urls(spark):
     assert urls.filter_urls(p).count() == len(rows) and urls.filter_urls(p.limit(0)).count() == 0
 
 
+def slow_templates(rows, fanout=12, share=0.05, z=1.64, weight=4.0, threshold=0.5):
+    """The tree walked in plain Python: (host, segs) -> (template, rejected)."""
+    numeric = lambda s: bool(re.search("[0-9]", s)) and len(re.sub("[0-9]", "", s)) * 2 <= len(s)
+    now = {(h, s): (n, la, bl, "") for h, s, n, la, bl in rows}
+    for d in range(max(len(s) for _, s in now)):
+        child = {}
+        for (h, s), (n, la, bl, t) in now.items():
+            if len(s) > d:
+                c = child.setdefault((h, t), {}).setdefault(s[d], [0, 0, 0])
+                c[0], c[1], c[2] = c[0] + n, c[1] + la, c[2] + bl
+        new = {}
+        for (h, s), (n, la, bl, t) in now.items():
+            if len(s) > d:
+                kids = child[h, t]
+                pn, pl, pb = (sum(c[i] for c in kids.values()) for i in range(3))
+                cn, cl, cb = kids[s[d]]
+                star = numeric(s[d]) or len(kids) > fanout and cn < share * pn
+                if cl and pl - cl:
+                    p = pb / pl
+                    star |= abs(cb / cl - (pb - cb) / (pl - cl)) <= z * (p * (1 - p) * (1 / cl + 1 / (pl - cl))) ** 0.5
+                t += "/" + ("*" if star else s[d])
+            new[h, s] = (n, la, bl, t)
+        now = new
+    own, every = Counter(), Counter()
+    for (h, _), (_, la, bl, t) in now.items():
+        own[h, t, 0] += la
+        own[h, t, 1] += bl
+        every[t, 0] += la
+        every[t, 1] += bl
+    base = (sum(v[2] for v in now.values()) + 1) / (sum(v[1] for v in now.values()) + 2)
+    out = {}
+    for (h, s), (_, _, _, t) in now.items():
+        prior = (every[t, 1] + weight * base) / (every[t, 0] + weight)
+        out[h, s] = (t, (own[h, t, 1] + weight * prior) / (own[h, t, 0] + weight) > threshold)
+    return out
+
+
+def test_url_templates(spark):
+    """Against a plain walk, on paths of up to 40 segments with many, few, numeric and similar branches."""
+    rng = np.random.default_rng(11)
+    rows = {}
+    for k in range(400):
+        h = f"h{rng.integers(4)}.net"
+        s = [f"a{rng.integers(3)}x", str(rng.integers(50)), ["new", "old", "tag"][rng.integers(3)], f"slug{'abcdefghijklmnopqrst'[rng.integers(20)]}"][: rng.integers(0, 5)]
+        la = int(rng.integers(0, 6))
+        rows[h, tuple(s)] = (int(rng.integers(la, 9)) + 1, la, int(rng.integers(0, la + 1)))
+    rows["h0.net", tuple("deep" for _ in range(40))] = (1, 1, 1)
+    rows["h0.net", (*("deep" for _ in range(38)), "x", "7")] = (2, 2, 0)
+    table = [(h, list(s), *v) for (h, s), v in rows.items()]
+    df = spark.createDataFrame(table, "host string, segs array<string>, n long, labelled long, blocked long")
+    got = {(r.host, tuple(r.segs)): (r.template, r.rejected) for r in urls.template_verdicts(df).collect()}
+    assert got == slow_templates([(h, s, *v) for (h, s), v in rows.items()])
+
+
+def test_contamination_of_very_large_items(spark, docs, monkeypatch):
+    """Counters of 32 bits give the fingerprints that those of 16 bits give, and the items of all sizes their windows."""
+    item = " ".join(f"q{k * 7919 % 1009}" for k in range(900))
+    rows = [(1, "start " + item + " end"), (2, " ".join(item.split()[:880])), (3, "short item of just nine words that stands here"), (None, item), (1, "x y " * 400)]
+    bench = spark.createDataFrame([(10, item), (11, "short item of just nine words that stands here"), (12, "x y " * 4)], "item_id long, text string")
+    found = lambda: sorted(((r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontam.contaminated(docs(rows), bench).collect()), key=repr)
+    want = found()
+    assert {(a, b) for a, b, _ in want} == {(1, 10), (2, 10), (3, 11), (None, 10), (1, 12)}
+    monkeypatch.setattr(decontam, "MOST_NARROW", 3)
+    assert found() == want
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as c
 
