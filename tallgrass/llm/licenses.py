@@ -22,7 +22,7 @@ from collections import Counter
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Notices by which texts name their licence.
@@ -139,22 +139,20 @@ def _words(line: Column) -> Column:
     return F.filter(trimmed, lambda w: w != "")
 
 
-_MARK, _END = "\x01", "\x02"
-
-
 def paragraphs(docs: DataFrame, known: list[str]) -> DataFrame:
     """doc_id, row (hash of the text), paragraph (number of its first line), words.
 
-    Lines without a word of ``known`` are blanked; each other one is marked with its number; what then stands between
-    blank lines is a paragraph. No row is compared with another.
+    Lines without a word of ``known`` go first; only the few others are shuffled, and those of a text that follow one
+    another are a paragraph (a blank line has no word, so it parts them). Repeated rows give theirs once.
     """
     single = F.array(*map(F.lit, known))
-    clean = F.translate(F.col("text"), _MARK + _END, "  ")
-    numbered = F.transform(F.split(clean, "\n"), lambda x, i: F.when(F.arrays_overlap(_words(x), single), F.concat(F.lit(_MARK), i, F.lit(_END), x)).otherwise(""))
-    blocks = F.filter(F.split(F.array_join(numbered, "\n"), r"\n{2,}"), lambda x: x.contains(_MARK))
-    found = docs.filter("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), F.explode(blocks).alias("block"))
-    first = F.regexp_extract("block", _MARK + "([0-9]+)" + _END, 1).cast("long")
-    return found.select("doc_id", "row", first.alias("paragraph"), _words(F.regexp_replace("block", _MARK + "[0-9]+" + _END, " ")).alias("words"))
+    # posexplode_outer, as the filter that Spark infers for posexplode repeats the expression below it
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row"), "text")
+    lines = keyed.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
+    kept = lines.withColumn("words", _words(F.col("words"))).filter(F.arrays_overlap("words", single))
+    island = F.col("line") - F.dense_rank().over(Window.partitionBy("doc_id", "row").orderBy("line"))
+    runs = kept.withColumn("island", island).groupBy("doc_id", "row", "island").agg(F.min("line").cast("long").alias("paragraph"), F.sort_array(F.collect_set(F.struct("line", "words"))).alias("l"))
+    return runs.select("doc_id", "row", "paragraph", F.flatten("l.words").alias("words"))
 
 
 def scan(docs: DataFrame, weights: dict[str, list[float]], sure: float = 0.5, alike: float = 0.5) -> DataFrame:
