@@ -28,6 +28,7 @@ def ladder(x: Column, steps: list[tuple[float, str]], otherwise: str | None) ->
     return out
 
 
+#: Thresholds and names, and weights by category.
 PRIORITY = [(2.0, "Critical"), (1.5, "High"), (1.0, "Medium"), (0.5, "Low")]
 COMPLEXITY = [(25.0, "Critical"), (15.0, "High"), (10.0, "Moderate")]
 

@@ -22,13 +22,13 @@ def shingles(toks: Column, k: int) -> Column:
 
     toks should be a column of its own: an expression here would be evaluated for each window.
     """
-    made = F.transform(F.sequence(F.lit(1), F.size(toks) - (k - 1)), lambda i: F.array_join(F.slice(toks, i, k), " "))
+    made = F.transform(F.slice(toks, 1, F.greatest(F.lit(0), F.size(toks) - (k - 1))), lambda t, i: F.concat_ws(" ", t, *[F.get(toks, i + j) for j in range(1, k)]))
     return F.when(F.size(toks) >= k, made).otherwise(F.array().cast("array<string>"))
 
 
-def hash28(s: Column) -> Column:
-    """The first 28 bits of md5: a hash that other engines share."""
-    return F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("bigint")
+def hash60(s: Column) -> Column:
+    """The first 60 bits of md5: a hash that other engines share."""
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("bigint")
 
 
 def name_tokens(name: Column) -> Column:

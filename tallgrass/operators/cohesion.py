@@ -23,9 +23,45 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def sums(vectors: DataFrame) -> DataFrame:
-    """(grp, n, s): count and sum of the unit vectors, a mergeable state."""
-    d = vectors.select("grp", F.posexplode(unit(F.col("v"))).alias("i", "x")).groupBy("grp", "i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    return d.groupBy("grp").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("s"))
+    """(grp, n, s): count and sum of the unit vectors, a mergeable state. All vectors have the first one's length."""
+    units = vectors.select("grp", unit(F.col("v")).alias("u"))
+    first = units.select(F.size("u").alias("n")).first()
+    d = first.n if first else 0
+    parts = units.groupBy("grp").agg(F.count("*").alias("n"), *[F.sum(F.get("u", i)).alias(f"s{i}") for i in range(d)])
+    return parts.select("grp", "n", (F.array(*[f"s{i}" for i in range(d)]) if d else F.array().cast("array<double>")).alias("s"))
+
+
+def weighted_sums(states: DataFrame, weight: Column) -> DataFrame:
+    """States (key, grp, n, s) of several groups under one key, added with a weight of each."""
+    w = states.withColumn("w", weight)
+    first = w.select(F.size("s").alias("n")).first()
+    d = first.n if first else 0
+    total = w.groupBy("key").agg(F.sum("w").alias("weight"), F.sum("n").alias("n"), *[F.sum(F.col("w") * F.get("s", i)).alias(f"s{i}") for i in range(d)])
+    s = F.array(*[f"s{i}" for i in range(d)]) if d else F.array().cast("array<double>")
+    return total.select("key", "n", "weight", s.alias("s"))
+
+
+def merged_cohesion(states: DataFrame) -> DataFrame:
+    """Length of the weighted sum over the weight; 1 for a weight below two."""
+    return states.select("key", "n", "weight", F.when(F.col("weight") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.sqrt(dot(F.col("s"), F.col("s"))) / F.col("weight"))).alias("cohesion"))
+
+
+def alignment(a: Column, b: Column) -> Column:
+    """Cosine, from 0 on."""
+    return F.greatest(F.lit(0.0), cosine(a, b))
+
+
+def issues(files: DataFrame, outliers_: DataFrame) -> DataFrame:
+    """(grp, code): COH004 for each outlier below .2, COH006 for a cohesion below .3 of five and more, COH001 for a documentation alignment below .4."""
+    low = outliers_.filter("similarity < 0.2").select("grp", F.col("id").cast("string").alias("what"), F.lit("COH004").alias("code"))
+    loose = files.filter("cohesion < 0.3 and n >= 5").select("grp", F.lit("").alias("what"), F.lit("COH006").alias("code"))
+    apart = files.filter("doc < 0.4").select("grp", F.lit("").alias("what"), F.lit("COH001").alias("code"))
+    return low.unionAll(loose).unionAll(apart)
+
+
+def overview(files: DataFrame) -> DataFrame:
+    """One row: mean cohesion, and the mean of the alignments there are; 1 where there is nothing."""
+    return files.agg(F.coalesce(F.avg("cohesion"), F.lit(1.0)).alias("cohesion"), F.coalesce(F.avg("doc"), F.lit(1.0)).alias("doc"))
 
 
 def centroids(vectors: DataFrame) -> DataFrame:

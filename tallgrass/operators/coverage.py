@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.operators import ranges
+
 
 def upsert(lines: DataFrame) -> DataFrame:
     """One row for each (path, line): most hits, covered if any report says so."""
@@ -31,11 +33,13 @@ def percent(lines: DataFrame) -> DataFrame:
     return lines.groupBy("path").agg(F.count("*").alias("lines"), (100 * F.avg(F.col("covered").cast("int"))).alias("percent"))
 
 
-def contained(spans_: DataFrame, points: DataFrame) -> DataFrame:
+def contained(spans_: DataFrame, points: DataFrame, width: int = 64) -> DataFrame:
     """Decision points (path, line, nesting) inside each span: cyclomatic 1 + n and cognitive sum(1 + nesting), 0 if none."""
-    j = spans_.join(points, (spans_["path"] == points["path"]) & (points["line"] >= spans_["start"]) & (points["line"] <= spans_["stop"]), "left").select(spans_["path"], "start", "stop", "nesting")
-    n = F.count("nesting")
-    return j.groupBy("path", "start", "stop").agg(F.when(n > 0, 1 + n).otherwise(0).alias("cyclomatic"), F.coalesce(F.sum(1 + F.col("nesting")), F.lit(0)).alias("cognitive"))
+    s = spans_.select(F.col("path").alias("file"), F.col("start").alias("s"), F.col("stop").alias("e"))
+    p = points.select(F.col("path").alias("file"), F.col("line").alias("p_s"), F.col("line").alias("p_e"), "nesting")
+    n = ranges.contained(s, p, width).groupBy(F.col("file").alias("path"), F.col("s").alias("start"), F.col("e").alias("stop")).agg((1 + F.count("*")).alias("c"), F.sum(1 + F.col("nesting")).alias("g"))
+    zero = F.lit(0).cast("long")
+    return spans_.select("path", "start", "stop").join(n, ["path", "start", "stop"], "left").select("path", "start", "stop", F.coalesce("c", zero).alias("cyclomatic"), F.coalesce("g", zero).alias("cognitive"))
 
 
 def gap_scores(gaps: DataFrame) -> DataFrame:
@@ -49,9 +53,10 @@ def gap_scores(gaps: DataFrame) -> DataFrame:
 def with_fallback(entities: DataFrame, exact: DataFrame, files: DataFrame) -> DataFrame:
     """(id, path, start, stop): coverage of exactly that range, else one that overlaps by half, else the file's."""
     e = entities.join(exact.withColumnRenamed("percent", "own"), ["path", "start", "stop"], "left")
-    x = exact.select("path", F.col("start").alias("s"), F.col("stop").alias("t"), F.col("percent").alias("p"))
-    shared = F.least("stop", "t") - F.greatest("start", "s") + 1
-    near = entities.join(x, "path").filter((F.col("start") <= F.col("t")) & (F.col("s") <= F.col("stop"))).filter(2 * shared >= F.col("stop") - F.col("start") + 1)
+    x = exact.select(F.col("path").alias("file"), F.col("start").alias("s2"), F.col("stop").alias("e2"), F.col("percent").alias("p"))
+    shared = F.least("e", "e2") - F.greatest("s", "s2") + 1
+    met = ranges.overlapping(entities.select("id", F.col("path").alias("file"), F.col("start").alias("s"), F.col("stop").alias("e")), x)
+    near = met.filter(2 * shared >= F.col("e") - F.col("s") + 1)
     near = near.groupBy("id").agg(F.min("p").alias("near"))
     out = e.join(near, "id", "left").join(files.select("path", F.col("percent").alias("whole")), "path", "left")
     level = F.when(F.col("own").isNotNull(), "range").when(F.col("near").isNotNull(), "overlap").when(F.col("whole").isNotNull(), "file").otherwise("none")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.session import written
+
 
 def token_pairs(tokens: DataFrame, most: int = 256) -> DataFrame:
     """(a, b, shared) from (id, token): entities that share tokens held by 2 to ``most`` entities (part of the operator)."""
@@ -21,26 +23,86 @@ def jaccard_edges(tokens: DataFrame, shared: int = 2, least: float = 0.2, most:
     return p.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).filter(F.col("jaccard") >= least).select("a", "b", "shared", "jaccard")
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): least id reachable, by label propagation; each round is checkpointed in the shared folder."""
-    spark = edges.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallgrass-"))
-    both = edges.select("src", "dst").unionAll(edges.select("dst", "src")).distinct().checkpoint()
-    label = both.select(F.col("src").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(label, both["dst"] == label["id"]).groupBy("src").agg(F.min("component").alias("near"))
-        # pointer jumping: the label of the label
-        step = label.join(near, label["id"] == near["src"]).select("id", "component", F.least("component", "near").alias("low"))
-        jump = label.select(F.col("id").alias("low"), F.col("component").alias("lower"))
-        new = step.join(jump, "low").select("id", "component", F.least("low", "lower").alias("new")).checkpoint()
-        done = new.filter("new <> component").isEmpty()
-        label = new.select("id", F.col("new").alias("component"))
-        if done:
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): least id reachable, by alternating star steps until nothing moves; each round is written to the shared folder.
+
+    A large-star step links each node's larger neighbours to its least neighbour, a small-star step links a node and its
+    smaller neighbours to the least of them; both only join and take minima, and long chains shrink by halves.
+    """
+    e = edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).filter("u <> v").distinct()
+    loops = edges.filter("src = dst").select(F.col("src").alias("id"))
+    e, before = written(e, "edges"), None
+    while True:
+        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        if now == before or not now.n:
+            break
+        before = now
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        e = written(small.distinct(), "edges")
+    rooted = e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    alone = loops.distinct().join(rooted, "id", "left_anti").select("id", F.col("id").alias("component"))
+    return rooted.unionAll(alone)
+
+
+def _labels(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, label): the least label of all nodes that reach a node, by rounds of propagation to the fixed point."""
+    while True:
+        come = edges.join(label.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("come"))
+        new = written(label.join(come, "node", "left").select("node", F.least("label", F.coalesce("come", "label")).alias("label"), (F.col("come") < F.col("label")).alias("moved")), "labels")
+        label = new.select("node", "label")
+        if new.filter("moved").isEmpty():
+            return label
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component, cyclic): the least node of the strongly connected component; cyclic if it has a cycle (a loop is one).
+
+    Nodes without an edge in or out (among those left) are components of their own and go first. Then each node takes the
+    least node that reaches it; the nodes of that colour which reach the colour's node again are a component. Both run
+    until nothing is left, in joins and minima over tables in the shared folder.
+    """
+    loops = edges.filter("src = dst").select(F.col("src").alias("node")).distinct()
+    nodes = edges.select(F.col("src").alias("node")).unionAll(edges.select(F.col("dst").alias("node"))).distinct()
+    left, found, alone = written(edges.filter("src <> dst").distinct(), "left"), [], None
+    nodes = written(nodes, "nodes")
+    rest = nodes
+    while True:
+        while True:  # trim
+            inner = left.select(F.col("src").alias("node")).distinct().intersect(left.select(F.col("dst").alias("node")).distinct())
+            inner = written(inner, "inner")
+            n = rest.count()
+            gone = rest.join(inner, "node", "left_anti")
+            found.append(gone.select("node", F.col("node").alias("component")))
+            rest = inner
+            left = written(left.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "left")
+            if n == rest.count():
+                break
+        if rest.isEmpty():
             break
-    return label
+        colour = _labels(left, rest.select("node", F.col("node").alias("label")))
+        a, b = colour.select(F.col("node").alias("src"), F.col("label").alias("a")), colour.select(F.col("node").alias("dst"), F.col("label").alias("b"))
+        inside = written(left.join(a, "src").join(b, "dst").filter("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "inside")
+        # backwards within each colour: those that the colour's node is reached from
+        start = colour.select("node", F.when(F.col("node") == F.col("label"), F.col("label")).alias("label"))
+        reach, front = start.filter("label is not null"), start.filter("label is not null")
+        while not front.isEmpty():
+            step = inside.join(front.select(F.col("node").alias("src"), "label"), "src").select(F.col("dst").alias("node"), "label").distinct()
+            front = written(step.join(reach, "node", "left_anti"), "front")
+            reach = written(reach.unionAll(front), "reach")
+        found.append(reach.select("node", F.col("label").alias("component")))
+        rest = written(rest.join(reach, "node", "left_anti"), "rest")
+        left = written(left.join(rest.withColumnRenamed("node", "src"), "src", "left_semi").join(rest.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "left")
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionAll(f)
+    every = written(every, "strong")
+    size = every.groupBy("component").agg(F.count("*").alias("n"))
+    out = every.join(size, "component").join(loops.withColumn("loop", F.lit(True)), "node", "left")
+    return out.select("node", "component", ((F.col("n") > 1) | F.col("loop").isNotNull()).alias("cyclic"))
 
 
 def chunks(members: DataFrame, size: int = 48) -> DataFrame:
@@ -60,20 +122,19 @@ def degrees(edges: DataFrame) -> DataFrame:
     return d.withColumn("choke", F.col("fan_in") * F.col("fan_out"))
 
 
-def distances(edges: DataFrame, directed: bool = False, most: int = 64) -> DataFrame:
-    """(node, other, d) shortest paths by a frontier that grows a step a round; for graphs of groups, not of entities."""
-    e = edges.select("src", "dst") if directed else edges.select("src", "dst").unionAll(edges.select("dst", "src"))
-    e = e.filter("src <> dst").distinct()
-    known = e.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("d")).checkpoint()
-    front = known
-    for d in range(2, most):
-        step = front.join(e, front["other"] == e["src"]).select("node", F.col("dst").alias("other")).distinct()
-        if not directed:
-            step = step.filter("node <> other")
-        front = step.join(known, ["node", "other"], "left_anti").withColumn("d", F.lit(d)).checkpoint()
-        if front.isEmpty():
-            break
-        known = known.unionAll(front).checkpoint()
+def distances(edges: DataFrame) -> DataFrame:
+    """(node, other, d) shortest undirected paths, by frontiers that grow a step a round until none is left.
+
+    As many rows as there are pairs of connected nodes: meant for graphs of groups, such as chunks of components.
+    """
+    e = written(edges.select("src", "dst").unionAll(edges.select("dst", "src")).filter("src <> dst").distinct(), "both")
+    known = front = e.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit(1).alias("d"))
+    d = 1
+    while not front.isEmpty():
+        d += 1
+        step = front.join(e, front["other"] == e["src"]).select("node", F.col("dst").alias("other")).filter("node <> other").distinct()
+        front = written(step.join(known, ["node", "other"], "left_anti").withColumn("d", F.lit(d)), "front")
+        known = known.unionAll(front)
     return known
 
 
@@ -83,11 +144,8 @@ def closeness(edges: DataFrame) -> DataFrame:
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    """Nodes on a directed cycle: those that reach themselves (a loop is a cycle)."""
-    loops = edges.filter("src = dst").select(F.col("src").alias("node"))
-    far = distances(edges, directed=True)
-    back = far.select(F.col("other").alias("node"), F.col("node").alias("other"))
-    return far.select("node", "other").join(back, ["node", "other"]).select("node").unionAll(loops).distinct()
+    """Nodes on a directed cycle (a loop is a cycle)."""
+    return strong_components(edges).filter("cyclic").select("node")
 
 
 def rolled_up(edges: DataFrame, group: DataFrame) -> DataFrame:

@@ -6,18 +6,20 @@ membership is a table of its own: groups of copies cost nothing, and no pair of
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.functions.text import hash28, normalized
-from tallgrass.operators.textstats import grams
+from tallgrass.functions.text import hash60, normalized, shingles, tokens
+from tallgrass.session import written
 
-PRIME = 2147483647
+SLOTS, BANDS = 128, 8
 
 
-def family(i: int) -> tuple[int, int]:
-    """Coefficients of the i-th hash function, by a rule."""
-    return (1_000_003 * (i + 1)) % PRIME, (7_777_777 * (i + 1)) % PRIME
+def mask(i: int) -> int:
+    """60 bits for the i-th slot, by a rule. The order of hashes after an exclusive-or with it is a permutation of its own."""
+    return int(hashlib.md5(f"slot{i}".encode()).hexdigest()[:15], 16)
 
 
 def exact_groups(entities: DataFrame) -> DataFrame:
@@ -27,18 +29,27 @@ def exact_groups(entities: DataFrame) -> DataFrame:
     return e.join(rep, "fp").select("id", "rep", "size")
 
 
-def signatures(entities: DataFrame, k: int = 3, n: int = 32) -> DataFrame:
-    """(id, sig): minima of n universal hashes over the distinct k-token shingles; texts with none are left out."""
-    h = grams(entities, k).select("id", hash28(F.col("gram")).alias("h"))
-    minima = [F.min((F.lit(a) * F.col("h") + F.lit(b)) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(family(i) for i in range(n))]
-    return h.groupBy("id").agg(*minima).select("id", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
+def signatures(entities: DataFrame, k: int = 3, n: int = SLOTS) -> DataFrame:
+    """(id, sig): for each slot the least masked hash of the text's shingles; texts with none are left out."""
+    made = entities.select("id", tokens(normalized(F.col("text"))).alias("tokens")).select("id", shingles(F.col("tokens"), k).alias("grams"))
+    # explode_outer, as the filter that Spark infers for explode would build the array twice
+    hashed = made.select("id", F.explode_outer(F.transform("grams", hash60)).alias("h")).filter("h is not null")
+    # minima are combined within a task, so only signatures are shuffled
+    minima = hashed.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(mask(i)))).alias(f"m{i}") for i in range(n)])
+    return minima.select("id", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
+
+
+def weighted_signatures(bag: DataFrame, n: int = SLOTS) -> DataFrame:
+    """(id, sig): least masked hash / weight over (id, gram, weight)."""
+    h = bag.select("id", hash60(F.col("gram")).alias("h"), F.greatest("weight", F.lit(1e-8)).alias("w"))
+    minima = h.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(mask(i))) / F.col("w")).alias(f"m{i}") for i in range(n)])
+    return minima.select("id", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
 
 
-def weighted_signatures(bag: DataFrame, n: int = 16) -> DataFrame:
-    """(id, sig): minima of hash / weight over (id, gram, weight)."""
-    h = bag.select("id", hash28(F.col("gram")).alias("h"), F.greatest("weight", F.lit(1e-8)).alias("w"))
-    minima = [F.min(((F.lit(a) * F.col("h") + F.lit(b)) % PRIME) / F.col("w")).alias(f"m{i}") for i, (a, b) in enumerate(family(i) for i in range(n))]
-    return h.groupBy("id").agg(*minima).select("id", F.array(*[f"m{i}" for i in range(n)]).alias("sig"))
+def signature_groups(sigs: DataFrame) -> DataFrame:
+    """(id, rep): rep is the least id with an equal signature, so that a group of copies is one member of its buckets."""
+    s = sigs.select("id", F.sha2(F.to_json("sig"), 256).alias("fp"))
+    return s.join(s.groupBy("fp").agg(F.min("id").alias("rep")), "fp").select("id", "rep")
 
 
 def slot_similarity(a: Column, b: Column) -> Column:
@@ -46,21 +57,37 @@ def slot_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), same / F.size(a)).otherwise(0.0)
 
 
+def slot_match(a: Column, b: Column) -> Column:
+    """As slot_similarity, but null where the lengths differ."""
+    return F.when(F.size(a) == F.size(b), slot_similarity(a, b))
+
+
+def weighted_similarity(a: Column, b: Column) -> Column:
+    """Share of slots less than 1e-6 apart; 0 for empty or unequally long signatures."""
+    same = F.aggregate(F.zip_with(a, b, lambda x, y: (F.abs(x - y) < 1e-6).cast("int")), F.lit(0), lambda s, x: s + x)
+    return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), same / F.size(a)).otherwise(0.0)
+
+
 def bands(sigs: DataFrame, b: int, rows: int) -> DataFrame:
     """(id, band, bucket)."""
     cut = F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda i: F.struct(i.alias("band"), F.md5(F.array_join(F.slice("sig", i * rows + 1, rows).cast("array<string>"), ",")).alias("bucket")))
     return sigs.select("id", F.explode(cut).alias("x")).select("id", "x.band", "x.bucket")
 
 
-def pairs(sigs: DataFrame, b: int = 8, rows: int = 4, least: float = 0.7) -> DataFrame:
-    """(a, b, similarity) of signatures that share a bucket and are similar enough, a < b."""
-    x = bands(sigs, b, rows)
-    # buckets with one member cannot give pairs: drop them before the join
+def pairs(sigs: DataFrame, b: int = BANDS, rows: int = SLOTS // BANDS, least: float = 0.7) -> DataFrame:
+    """(a, b, similarity) of representatives that share a bucket and are similar enough, a < b.
+
+    Of ids with equal signatures the least stands for all (signature_groups gives the others). Signatures are worked out
+    once; only buckets with two members and more are joined.
+    """
+    held = written(sigs, "signatures")
+    reps = held.join(signature_groups(held).filter("id = rep").select("id"), "id")
+    x = bands(reps, b, rows)
     full = x.groupBy("band", "bucket").agg(F.count("*").alias("c")).filter("c > 1").select("band", "bucket")
-    x = x.join(full, ["band", "bucket"])
+    x = written(x.join(full, ["band", "bucket"]), "buckets")
     y = x.select("band", "bucket", F.col("id").alias("b"))
     met = x.join(y, ["band", "bucket"]).filter("id < b").select(F.col("id").alias("a"), "b").distinct()
-    left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
+    left, right = held.select(F.col("id").alias("a"), F.col("sig").alias("sa")), held.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     return met.join(left, "a").join(right, "b").select("a", "b", slot_similarity(F.col("sa"), F.col("sb")).alias("similarity")).filter(F.col("similarity") >= least)
 
 

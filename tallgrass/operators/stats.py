@@ -2,34 +2,53 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.scores import clamp, finite
+from tallgrass.session import written
 
 EPS = 1e-12
 CONFIDENCE = {"High": 0.9, "Medium": 0.7, "Low": 0.5, "VeryLow": 0.3, "Insufficient": 0.1}
-#: Name, Beta(a, b) by group, expected least, most and mean.
+#: Beta(a, b) by group of features.
 PRIOR_GROUPS = {"complexity": (2.0, 5.0), "centrality": (1.0, 10.0), "cycles": (1.0, 4.0), "clones": (1.0, 8.0)}
 
 
+def moments(features: DataFrame) -> DataFrame:
+    """n, mean, variance, std, min and max of each feature: sums alone, combined before the shuffle."""
+    v = F.col("value")
+    return features.groupBy("feature").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+
+def quantiles(features: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """Exact quantiles by linear interpolation at share * (n - 1): feature and a column for each name.
+
+    Distinct values are counted and dealt out by range; each part's running counts, moved by the counts of the parts before
+    it (a row for each part and feature), are ranks, so that no task holds a feature's values.
+    """
+    c = features.groupBy("feature", "value").agg(F.count("*").alias("c")).repartitionByRange("feature", "value")
+    c = written(c.withColumn("part", F.spark_partition_id()), "counts")
+    parts = c.groupBy("feature", "part").agg(F.sum("c").alias("in_part"))
+    before = parts.select("feature", "part", (F.sum("in_part").over(Window.partitionBy("feature").orderBy("part")) - F.col("in_part")).alias("before"), F.sum("in_part").over(Window.partitionBy("feature")).alias("n"))
+    upto = F.sum("c").over(Window.partitionBy("feature", "part").orderBy("value"))
+    ranked = c.select("feature", "part", "value", "c", upto.alias("upto")).join(before, ["feature", "part"])
+    last, n = F.col("before") + F.col("upto"), F.col("n")
+    picked = []
+    for name, share in shares.items():
+        at = F.floor(share * (n - 1) + 1e-9)
+        for end, rank in (("low", at), ("high", F.least(at + 1, n - 1))):
+            hit = (rank >= last - F.col("c")) & (rank < last)
+            picked.append(F.max(F.when(hit, F.col("value"))).alias(f"{name}_{end}"))
+    rows = ranked.groupBy("feature").agg(F.max("n").alias("n"), *picked)
+    part = lambda share: share * (F.col("n") - 1) - F.floor(share * (F.col("n") - 1) + 1e-9)
+    return rows.select("feature", *[(F.col(f"{k}_low") + (F.col(f"{k}_high") - F.col(f"{k}_low")) * F.greatest(F.lit(0.0), part(v))).alias(k) for k, v in shares.items()])
+
+
 def fit(features: DataFrame) -> DataFrame:
     """n, mean, variance, std, min, max, median, q1, q3, iqr and mad of each feature."""
-    v = F.col("value")
-    base = features.groupBy("feature").agg(
-        F.count("*").alias("n"),
-        F.avg(v).alias("mean"),
-        F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"),
-        F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
-    )
-    base = base.select("feature", "n", "mean", "variance", "std", "min", "max", F.get("q", 1).alias("median"), F.get("q", 0).alias("q1"), F.get("q", 2).alias("q3"))
-    base = base.withColumn("iqr", F.col("q3") - F.col("q1"))
-    # one row for each feature: Spark broadcasts it if small
-    mad = features.join(base.select("feature", "median"), "feature").groupBy("feature").agg(F.percentile(F.abs(v - F.col("median")), F.lit(0.5)).alias("mad"))
-    return base.join(mad, "feature")
+    q = written(quantiles(features, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "quartiles")  # one row for each feature
+    away = features.join(q, "feature").select("feature", F.abs(F.col("value") - F.col("median")).alias("value"))
+    return moments(features).join(q.withColumn("iqr", F.col("q3") - F.col("q1")), "feature").join(quantiles(away, {"mad": 0.5}), "feature")
 
 
 def scaled(x: Column, low: Column, high: Column, empty: float = 0.5) -> Column:
@@ -84,7 +103,7 @@ def clamped(features: DataFrame, definitions: DataFrame) -> DataFrame:
     v = F.col("value")
     bad = F.isnan(v) | (F.abs(v) == float("inf"))
     x = F.when(bad, F.col("default")).otherwise(F.greatest("low", F.least("high", v)))
-    return features.join(F.broadcast(definitions), "feature").select(*features.columns, x.alias("clamped"))
+    return features.join(definitions, "feature").select(*features.columns, x.alias("clamped"))
 
 
 def norms(features: DataFrame) -> DataFrame:

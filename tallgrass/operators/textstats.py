@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.text import literal_kind, normalized, shingles, tokens
@@ -20,19 +20,32 @@ def exploded(tokenized: DataFrame, k: int) -> DataFrame:
 
 
 def document_frequency(entities: DataFrame, k: int) -> DataFrame:
-    return grams(entities, k).distinct().groupBy("gram").agg(F.count("*").alias("df"))
+    """Entities that hold each gram. Repeats within a text go before the shuffle, which is the only one."""
+    made = entities.select("id", tokens(normalized(F.col("text"))).alias("tokens")).select(F.array_distinct(shingles(F.col("tokens"), k)).alias("grams"))
+    return made.select(F.explode_outer("grams").alias("gram")).filter("gram is not null").groupBy("gram").agg(F.count("*").alias("df"))
+
+
+def _weight(df: Column, total: Column) -> Column:
+    return F.ln((1 + total) / (1 + df)) + 1
 
 
 def idf(entities: DataFrame, k: int) -> DataFrame:
     """ln((1 + N) / (1 + df)) + 1, N being all entities."""
-    n = entities.agg(F.count("*").alias("total"))  # one row
-    return document_frequency(entities, k).crossJoin(F.broadcast(n)).select("gram", "df", (F.ln((1 + F.col("total")) / (1 + F.col("df"))) + 1).alias("idf"))
+    n = entities.count()
+    return document_frequency(entities, k).select("gram", "df", _weight(F.col("df"), F.lit(n)).alias("idf"))
 
 
 def weighted_bag(entities: DataFrame, k: int) -> DataFrame:
-    """tf * idf of each gram of each entity."""
-    tf = grams(entities, k).groupBy("id", "gram").agg(F.count("*").alias("tf"))
-    return tf.join(idf(entities, k), "gram").select("id", "gram", (F.col("tf") * F.col("idf")).alias("weight"))
+    """tf * idf of each gram of each entity.
+
+    Grams are counted in their texts once; the same shuffle gives document frequencies. Most grams stand in one text
+    alone, so only those of several are joined.
+    """
+    n = entities.count()
+    tf = grams(entities, k).groupBy("gram", "id").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("gram").agg(F.count("*").alias("df")).filter("df > 1")
+    both = tf.join(df, "gram", "left")
+    return both.select("id", "gram", (F.col("tf") * _weight(F.coalesce("df", F.lit(1)), F.lit(n))).alias("weight"))
 
 
 def top_share(df: DataFrame, share: float = 0.01) -> DataFrame:

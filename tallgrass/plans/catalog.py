@@ -57,7 +57,7 @@ def feature_stats(spark, sf):
 
 def normalized(spark, sf, scheme):
     f = features(spark, sf)
-    return stats.normalize(f, stats.fit(f), scheme)
+    return stats.normalize(f, stats.fit(f) if scheme == "robust" else stats.moments(f), scheme)
 
 
 @query(f"WITH {NORMS} SELECT entity_id, feature, round(norm, 6) AS norm FROM z")
@@ -80,13 +80,13 @@ CONFIDENCE = """k AS (SELECT *, CASE WHEN n < 2 OR variance < 1e-12 THEN 'Insuff
 
 @query(f"WITH {STATS}, {CONFIDENCE} SELECT feature, n, confidence, CASE confidence WHEN 'High' THEN 0.9::DOUBLE WHEN 'Medium' THEN 0.7::DOUBLE WHEN 'Low' THEN 0.5::DOUBLE WHEN 'VeryLow' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS confidence_weight FROM k")
 def bayes_confidence(spark, sf):
-    return stats.confidence(stats.fit(features(spark, sf))).select("feature", "n", "confidence", "confidence_weight")
+    return stats.confidence(stats.moments(features(spark, sf))).select("feature", "n", "confidence", "confidence_weight")
 
 
 def _posterior(spark, sf):
     groups = {"cyclomatic": "complexity", "fan_in": "centrality"}
     priors = spark.createDataFrame([(f, *stats.PRIOR_GROUPS[g]) for f, g in groups.items()], "feature string, alpha double, beta double")
-    return stats.posterior(stats.confidence(stats.fit(features(spark, sf))), priors)
+    return stats.posterior(stats.confidence(stats.moments(features(spark, sf))), priors)
 
 
 POSTERIOR = f"""{STATS}, {CONFIDENCE}, a AS (SELECT *, CASE feature WHEN 'cyclomatic' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS a, CASE feature WHEN 'cyclomatic' THEN 5.0::DOUBLE WHEN 'fan_in' THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END AS b FROM k), b AS (SELECT *, a / (a + b) AS prior_mean, a * b / ((a + b) * (a + b) * (a + b + 1)) AS prior_variance FROM a), g AS (SELECT *, 1 / (1 / prior_variance + n / greatest(variance, 1e-12)) AS posterior_variance FROM b), h AS (SELECT *, posterior_variance * (prior_mean / prior_variance + n * mean / greatest(variance, 1e-12)) AS posterior_mean, greatest(0.05, least(0.95, CASE confidence WHEN 'High' THEN 0.1 WHEN 'Medium' THEN 0.3 WHEN 'Low' THEN 0.5 WHEN 'VeryLow' THEN 0.7 ELSE 0.9 END / (1 + ln(n)))) AS prior_weight FROM g)"""
@@ -212,9 +212,9 @@ def loc_variants(spark, sf):
     return entities(spark, sf).select("id", T.loc(t).alias("loc1"), T.loc(t, ("//", "#")).alias("loc2"), T.loc(t, ("//",)).alias("loc3"))
 
 
-@query(f"WITH {SHINGLES} SELECT gram, count(DISTINCT id) AS df FROM g GROUP BY 1 HAVING count(DISTINCT id) > 1")
+@query(f"WITH {SHINGLES} SELECT gram, count(DISTINCT id) AS df FROM g GROUP BY 1")
 def doc_freq(spark, sf):
-    return textstats.document_frequency(entities(spark, sf), 3).filter("df > 1")
+    return textstats.document_frequency(entities(spark, sf), 3)
 
 
 @query(f"WITH {SHINGLES}, d AS (SELECT gram, count(DISTINCT id) AS df FROM g GROUP BY 1) SELECT gram, df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1, 6) AS idf FROM d")
@@ -241,8 +241,8 @@ def tfidf_select(spark, sf):
 
 
 @query(f"""WITH {TOKENS}, k AS (SELECT id, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN 'INT_LIT' WHEN regexp_matches(x, '^[0-9]+\\.[0-9]+$') THEN 'FLOAT_LIT' WHEN regexp_matches(x, '^["''].*["'']$') THEN 'STR_LIT' WHEN length(x) <= 3 AND regexp_matches(x, '[a-z]') THEN 'LOCAL_VAR' ELSE x END) AS t FROM e),
-g AS (SELECT unnest(list_transform(generate_series(1, len(t) - 8), lambda i: array_to_string(t[i:i + 8], ' '))) AS gram FROM k WHERE len(t) >= 9),
-c AS (SELECT gram, count(*) AS support FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY support DESC) AS k, count(*) OVER () AS n FROM c)
+g AS MATERIALIZED (SELECT unnest(list_transform(generate_series(1, len(t) - 8), lambda i: array_to_string(t[i:i + 8], ' '))) AS gram FROM k WHERE len(t) >= 9),
+c AS MATERIALIZED (SELECT gram, count(*) AS support FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY support DESC) AS k, count(*) OVER () AS n FROM c)
 SELECT gram, support, round(ln((SELECT count(*) FROM documents) / support), 6) AS idf FROM c WHERE support >= (SELECT min(support) FROM r WHERE k <= greatest(1, ceil(n * 0.5::DOUBLE / 100)))""")
 def stop_motifs(spark, sf):
     return rounded(textstats.stop_motifs(entities(spark, sf)))
@@ -255,13 +255,7 @@ def tokenize_name(spark, sf):
 
 # ---- near-duplicates ------------------------------------------------------------------------------------------------
 
-HASH = "('0x' || substr(md5(gram), 1, 7))::BIGINT"
-REPS = f"{TOKENS}, u AS (SELECT id, md5(array_to_string(t, ' ')) AS fp, t FROM e), v AS (SELECT min(id) AS id FROM u GROUP BY fp)"
-
-
-def representatives(spark: SparkSession, sf: str) -> DataFrame:
-    e = entities(spark, sf)
-    return e.join(lsh.exact_groups(e).filter("id = rep").select("id"), "id")
+HASH = "('0x' || substr(md5(gram), 1, 15))::BIGINT"
 
 
 @query(f"WITH d AS (SELECT doc_id AS id, md5({NORMALIZED}) AS fp FROM documents) SELECT id, min(id) OVER (PARTITION BY fp) AS rep, count(*) OVER (PARTITION BY fp) AS size FROM d")
@@ -269,26 +263,31 @@ def exact_dup_groups(spark, sf):
     return lsh.exact_groups(entities(spark, sf))
 
 
-def _signature_sql(n: int) -> str:
-    columns = ", ".join(f"min(({a} * h + {b}) % {lsh.PRIME})" for a, b in (lsh.family(i) for i in range(n)))
-    return f"{SHINGLES}, hh AS (SELECT DISTINCT id, {HASH} AS h FROM g), sig AS (SELECT id, [{columns}] AS sig FROM hh GROUP BY id)"
+MASKS = f"[{', '.join(str(lsh.mask(i)) for i in range(lsh.SLOTS))}]"
+SIGNATURES = f"{SHINGLES}, hh AS (SELECT id, list(DISTINCT {HASH}) AS hs FROM g GROUP BY id), sig AS (SELECT id, list_transform({MASKS}, lambda m: list_min(list_transform(hs, lambda h: xor(h, m::BIGINT)))) AS sig FROM hh)"
 
 
-@query(f"WITH {_signature_sql(32)} SELECT id, md5(array_to_string(sig, ',')) AS digest FROM sig")
+@query(f"WITH {SIGNATURES} SELECT id, md5(array_to_string(sig, ',')) AS digest FROM sig")
 def minhash_sig(spark, sf):
     return lsh.signatures(entities(spark, sf)).select("id", F.md5(F.array_join(F.col("sig").cast("array<string>"), ",")).alias("digest"))
 
 
-@query(f"WITH {_signature_sql(32)}, b AS (SELECT id, unnest(generate_series(0, 7)) AS band, sig FROM sig) SELECT id, band::INT AS band, md5(array_to_string(sig[band * 4 + 1:band * 4 + 4], ',')) AS bucket FROM b")
+@query(f"WITH {SIGNATURES}, b AS (SELECT id, unnest(generate_series(0, 7)) AS band, sig FROM sig) SELECT id, band::INT AS band, md5(array_to_string(sig[band * 16 + 1:band * 16 + 16], ',')) AS bucket FROM b")
 def lsh_bands(spark, sf):
-    return lsh.bands(lsh.signatures(entities(spark, sf)), 8, 4)
+    return lsh.bands(lsh.signatures(entities(spark, sf)), 8, 16)
 
 
-_PAIRS = f"""{_signature_sql(32)}, md AS (SELECT doc_id AS id, min(doc_id) OVER (PARTITION BY md5({NORMALIZED})) AS rep FROM documents), rs AS (SELECT sig.* FROM sig JOIN md USING (id) WHERE id = rep), b AS (SELECT id, band, md5(array_to_string(sig[band * 4 + 1:band * 4 + 4], ',')) AS bucket FROM (SELECT id, sig, unnest(generate_series(0, 7)) AS band FROM rs)), m AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id), pr AS (SELECT a, b, len(list_filter(generate_series(1, 32), lambda i: s.sig[i] = t.sig[i])) / 32.0::DOUBLE AS similarity FROM m JOIN rs s ON s.id = a JOIN rs t ON t.id = b), pairs AS (SELECT * FROM pr WHERE similarity >= 0.7), ways AS (SELECT a AS id, b AS other, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)"""
+_PAIRS = f"""{SIGNATURES}, md AS (SELECT id, sig, min(id) OVER (PARTITION BY sig) AS rep FROM sig), rs AS (SELECT id, sig FROM md WHERE id = rep), b AS (SELECT id, band, md5(array_to_string(sig[band * 16 + 1:band * 16 + 16], ',')) AS bucket FROM (SELECT id, sig, unnest(generate_series(0, 7)) AS band FROM rs)), m AS (SELECT DISTINCT x.id AS a, y.id AS b FROM b x JOIN b y ON x.band = y.band AND x.bucket = y.bucket AND x.id < y.id), pr AS (SELECT a, b, len(list_filter(generate_series(1, 128), lambda i: s.sig[i] = t.sig[i])) / 128.0::DOUBLE AS similarity FROM m JOIN rs s ON s.id = a JOIN rs t ON t.id = b), pairs AS (SELECT * FROM pr WHERE similarity >= 0.7), ways AS (SELECT a AS id, b AS other, similarity FROM pairs UNION ALL SELECT b, a, similarity FROM pairs)"""
 
 
 def _pairs(spark, sf):
-    return lsh.pairs(lsh.signatures(representatives(spark, sf)))
+    return lsh.pairs(lsh.signatures(entities(spark, sf)))
+
+
+@query(f"WITH {_PAIRS} SELECT id, rep FROM md")
+def lsh_members(spark, sf):
+    """Which representative stands for each entity in the pairs."""
+    return lsh.signature_groups(lsh.signatures(entities(spark, sf)))
 
 
 @query(f"WITH {_PAIRS} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
@@ -306,22 +305,21 @@ def sim_summary(spark, sf):
     return rounded(lsh.summary(_pairs(spark, sf)))
 
 
-@query(f"WITH {SHINGLES}, d AS (SELECT gram, count(DISTINCT id) AS df FROM g GROUP BY 1), w AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY 1, 2), hw AS (SELECT id, {HASH} AS h, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM w JOIN d USING (gram)) SELECT id, {', '.join(f'round(min((({a} * h + {b}) % {lsh.PRIME}) / w), 2) AS m{i}' for i, (a, b) in enumerate(lsh.family(i) for i in range(4)))} FROM hw GROUP BY 1")
+@query(f"WITH {SHINGLES}, d AS (SELECT gram, count(DISTINCT id) AS df FROM g GROUP BY 1), w AS (SELECT id, gram, count(*) AS tf FROM g GROUP BY 1, 2), hw AS (SELECT id, {HASH} AS h, tf * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS w FROM w JOIN d USING (gram)), wl AS (SELECT id, list({{'h': h, 'w': greatest(w, 1e-8)}}) AS xs FROM hw GROUP BY 1), ws AS (SELECT id, unnest(generate_series(0, 127)) AS slot, unnest(list_transform({MASKS}, lambda m: list_min(list_transform(xs, lambda x: xor(x.h, m::BIGINT) / x.w)))) AS v FROM wl) SELECT id, slot::INT AS slot, round(log2(1 + v), 6) AS v FROM ws")
 def weighted_minhash_sig(spark, sf):
-    s = lsh.weighted_signatures(textstats.weighted_bag(entities(spark, sf), 3), 4)
-    return s.select("id", *[F.round(F.get("sig", i), 2).alias(f"m{i}") for i in range(4)])
+    s = lsh.weighted_signatures(textstats.weighted_bag(entities(spark, sf), 3))
+    return s.select("id", F.posexplode("sig").alias("slot", "v")).select("id", "slot", F.round(F.log2(1 + F.col("v")), 6).alias("v"))
 
 
 # ---- graphs ---------------------------------------------------------------------------------------------------------
 
 def dependency_edges(spark: SparkSession, sf: str) -> DataFrame:
-    """Customer nations to supplier nations, from expensive order lines of a market segment's small quantities."""
-    li = table(spark, sf, "lineitem").filter("l_quantity <= 3 and l_returnflag = 'R'").select("l_orderkey", "l_suppkey")
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    return li.join(o, "l_orderkey").select(F.concat(F.lit("c"), F.col("o_custkey") % 200).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("dst"))
+    """Customers to the suppliers of their order lines."""
+    li, o = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey"), table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return li.join(o, "l_orderkey").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst"))
 
 
-EDGES = "ed AS (SELECT 'c' || (o_custkey % 200) AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_quantity <= 3 AND l_returnflag = 'R'), ee AS (SELECT DISTINCT * FROM ed)"
+EDGES = "ee AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 DEGREES = f"{EDGES}, fo AS (SELECT src AS node, count(*) AS fan_out FROM ee GROUP BY 1), fi AS (SELECT dst AS node, count(*) AS fan_in FROM ee GROUP BY 1), dg AS (SELECT node, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, coalesce(fan_in, 0) * coalesce(fan_out, 0) AS choke FROM fo FULL JOIN fi USING (node))"
 
 
@@ -330,25 +328,31 @@ def degree_metrics(spark, sf):
     return graph.degrees(dependency_edges(spark, sf))
 
 
-def event_edges(spark, sf):
-    """Event types that follow one another in a user's day."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf, "events").select("event_type", F.lead("event_type").over(w).alias("next"))
-    return e.filter("next is not null").select(F.col("event_type").alias("src"), F.col("next").alias("dst"))
+def part_edges(spark, sf):
+    """Parts to the part on the next line of an order, where that is a smaller one or the order is returned: cycles and long chains."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity", "l_returnflag")
+    e = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_returnflag", "l_quantity")
+    return e.filter("dst is not null and (dst > src or l_returnflag = 'R' and l_quantity < 3)").select("src", "dst")
 
 
-EVENT_EDGES = "ev AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), vv AS (SELECT DISTINCT src, dst FROM ev WHERE dst IS NOT NULL)"
+PART_EDGES = "pe AS (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS dst, l_returnflag, l_quantity FROM lineitem), vv AS (SELECT DISTINCT src, dst FROM pe WHERE dst IS NOT NULL AND (dst > src OR l_returnflag = 'R' AND l_quantity < 3))"
+REACH = f"{PART_EDGES}, re AS (SELECT src, dst FROM vv UNION SELECT re.src, v.dst FROM re JOIN vv v ON v.src = re.dst), sc AS (SELECT a.src AS node, least(a.src, min(a.dst)) AS component FROM re a JOIN re b ON b.src = a.dst AND b.dst = a.src GROUP BY a.src), nn AS (SELECT src AS node FROM vv UNION SELECT dst FROM vv), co AS (SELECT node, coalesce(component, node) AS component, component IS NOT NULL AS cyclic FROM nn LEFT JOIN sc USING (node))"
 
 
-@query(f"WITH {EVENT_EDGES}, a AS (SELECT src AS node, count(*) AS o FROM vv GROUP BY 1), b AS (SELECT dst AS node, count(*) AS i FROM vv GROUP BY 1) SELECT node, i * o AS choke FROM a JOIN b USING (node) WHERE i * o > 0 ORDER BY choke DESC, node LIMIT 10")
+@query(f"WITH {PART_EDGES}, a AS (SELECT src AS node, count(*) AS o FROM vv GROUP BY 1), b AS (SELECT dst AS node, count(*) AS i FROM vv GROUP BY 1) SELECT node, i * o AS choke FROM a JOIN b USING (node) WHERE i * o > 0 ORDER BY choke DESC, node LIMIT 10")
 def chokepoints(spark, sf):
     """The ten nodes with the greatest product of degrees (a report)."""
-    return graph.degrees(event_edges(spark, sf)).filter("choke > 0").orderBy(F.desc("choke"), "node").limit(10).select("node", "choke")
+    return graph.degrees(part_edges(spark, sf)).filter("choke > 0").orderBy(F.desc("choke"), "node").limit(10).select("node", "choke")
 
 
-@query(f"WITH RECURSIVE {EVENT_EDGES}, r AS (SELECT src, dst FROM vv UNION SELECT r.src, v.dst FROM r JOIN vv v ON v.src = r.dst) SELECT src AS node FROM r WHERE src = dst")
+@query(f"WITH RECURSIVE {REACH} SELECT node FROM co WHERE cyclic")
 def cycle_members(spark, sf):
-    return graph.cycle_members(event_edges(spark, sf))
+    return graph.cycle_members(part_edges(spark, sf))
+
+
+@query(f"WITH RECURSIVE {REACH} SELECT node, component, cyclic FROM co")
+def strong_components(spark, sf):
+    return graph.strong_components(part_edges(spark, sf))
 
 
 @query("SELECT a.r AS a, b.r AS b, count(*) AS weight FROM (SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey) e JOIN (SELECT c_custkey, n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey) a ON a.c_custkey = o_custkey JOIN (SELECT s_suppkey, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey) b ON b.s_suppkey = l_suppkey GROUP BY 1, 2")
@@ -361,40 +365,44 @@ def module_graph(spark, sf):
     return graph.rolled_up(e, c.unionAll(s))
 
 
-BENCH_TOKENS = r"""bt AS (SELECT item_id AS id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), lambda w: trim(substr(w, 1, 64), '_')), lambda w: length(w) >= 3 AND w NOT IN ('fn', 'def', 'the', 'and')))) AS token FROM benchmark)"""
+STOP = "fn function def let var const class struct impl interface return true false null none self this super from use import mod pub private protected static async await match with case switch elif else for while".split()
+DOC_TOKENS = f"""rn AS (SELECT doc_id AS id, unnest(r) AS w, unnest(generate_series(1, len(r))) AS i FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), lambda w: trim(substr(w, 1, 64), '_')) AS r FROM documents)), fi AS (SELECT id, w, min(i) AS i FROM rn WHERE length(w) >= 3 AND w NOT IN ('{"', '".join(STOP)}') GROUP BY 1, 2), bt AS (SELECT id, w AS token FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM fi) WHERE k <= 128)"""
 
 
-def bench_tokens(spark, sf):
-    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text")
-    return b.select("id", F.explode(T.identifiers(F.col("text"), ["fn", "def", "the", "and"], most=100_000)).alias("token"))
+def doc_tokens(spark, sf):
+    """The first 128 distinct identifiers of each document, as the operator has it."""
+    b = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return b.select("id", F.explode(T.identifiers(F.col("text"), STOP)).alias("token"))
 
 
-TOKEN_EDGES = f"{BENCH_TOKENS}, ok AS (SELECT token FROM bt GROUP BY 1 HAVING count(*) BETWEEN 2 AND 256), sh AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM bt x JOIN ok USING (token) JOIN bt y ON y.token = x.token AND x.id < y.id GROUP BY 1, 2), sz AS (SELECT id, count(*) AS n FROM bt GROUP BY 1), je AS (SELECT a, b, shared, shared / (p.n + q.n - shared)::DOUBLE AS jaccard FROM sh JOIN sz p ON p.id = a JOIN sz q ON q.id = b WHERE shared >= 2), ke AS (SELECT * FROM je WHERE jaccard >= 0.08)"
+TOKEN_EDGES = f"{DOC_TOKENS}, ok AS (SELECT token FROM bt GROUP BY 1 HAVING count(*) BETWEEN 2 AND 256), sh AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM bt x JOIN ok USING (token) JOIN bt y ON y.token = x.token AND x.id < y.id GROUP BY 1, 2), sz AS (SELECT id, count(*) AS n FROM bt GROUP BY 1), je AS (SELECT a, b, shared, shared / (p.n + q.n - shared)::DOUBLE AS jaccard FROM sh JOIN sz p ON p.id = a JOIN sz q ON q.id = b WHERE shared >= 2), ke AS MATERIALIZED (SELECT * FROM je WHERE jaccard >= 0.2)"
 
 
 @query(f"WITH {TOKEN_EDGES} SELECT a, b, shared, round(jaccard, 6) AS jaccard FROM ke")
 def token_pairs_capped(spark, sf):
-    return rounded(graph.jaccard_edges(bench_tokens(spark, sf), least=0.08))
+    return rounded(graph.jaccard_edges(doc_tokens(spark, sf)))
+
+
+def token_edges(spark, sf):
+    return graph.jaccard_edges(doc_tokens(spark, sf)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-CC = f"""{TOKEN_EDGES}, cc AS (SELECT a AS id, b AS other FROM ke UNION SELECT b, a FROM ke), w(id, reach) AS (SELECT DISTINCT id, id FROM cc UNION SELECT w.id, cc.other FROM w JOIN cc ON cc.id = w.reach), lab AS (SELECT id, min(reach) AS component FROM w GROUP BY 1)"""
+CC = f"""{TOKEN_EDGES}, cc AS MATERIALIZED (SELECT a AS id, b AS other FROM ke UNION SELECT b, a FROM ke), w(id, reach) AS (SELECT DISTINCT id, id FROM cc UNION SELECT w.id, cc.other FROM w JOIN cc ON cc.id = w.reach), lab AS (SELECT id, min(reach) AS component FROM w GROUP BY 1)"""
 
 
 @query(f"WITH RECURSIVE {CC} SELECT id, component FROM lab")
 def similarity_components(spark, sf):
-    e = graph.jaccard_edges(bench_tokens(spark, sf), least=0.08)
-    return graph.components(e.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return graph.components(token_edges(spark, sf))
 
 
-@query(f"WITH RECURSIVE {CC}, ch AS (SELECT id, component, (row_number() OVER (PARTITION BY component ORDER BY id) - 1) // 4 AS chunk FROM lab) SELECT id, component, chunk::BIGINT AS chunk, size FROM ch JOIN (SELECT component, chunk, count(*) AS size FROM ch GROUP BY 1, 2 HAVING count(*) > 1) USING (component, chunk)")
+@query(f"WITH RECURSIVE {CC}, ch AS (SELECT id, component, (row_number() OVER (PARTITION BY component ORDER BY id) - 1) // 48 AS chunk FROM lab) SELECT id, component, chunk::BIGINT AS chunk, size FROM ch JOIN (SELECT component, chunk, count(*) AS size FROM ch GROUP BY 1, 2 HAVING count(*) > 1) USING (component, chunk)")
 def component_chunks(spark, sf):
-    return graph.chunks(similarity_components(spark, sf), 4).select("id", "component", F.col("chunk").cast("long").alias("chunk"), "size")
+    return graph.chunks(similarity_components(spark, sf), 48).select("id", "component", F.col("chunk").cast("long").alias("chunk"), "size")
 
 
-@query(f"WITH RECURSIVE {TOKEN_EDGES}, u AS (SELECT a AS x, b AS y FROM ke UNION SELECT b, a FROM ke), bfs(node, other, d) AS (SELECT x, y, 1 FROM u UNION SELECT node, y, d + 1 FROM bfs JOIN u ON x = other WHERE y <> node AND d < 12), sp AS (SELECT node, other, min(d) AS d FROM bfs GROUP BY 1, 2) SELECT node, round(count(*) / sum(d), 6) AS closeness FROM sp GROUP BY 1")
+@query(f"WITH RECURSIVE {TOKEN_EDGES}, u AS MATERIALIZED (SELECT a AS x, b AS y FROM ke UNION SELECT b, a FROM ke), bfs(node, other, d) AS (SELECT x, y, 1 FROM u UNION SELECT node, y, d + 1 FROM bfs JOIN u ON x = other WHERE y <> node AND d < 12), sp AS (SELECT node, other, min(d) AS d FROM bfs GROUP BY 1, 2) SELECT node, round(count(*) / sum(d), 6) AS closeness FROM sp GROUP BY 1")
 def closeness(spark, sf):
-    e = graph.jaccard_edges(bench_tokens(spark, sf), least=0.08)
-    return rounded(graph.closeness(e.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    return rounded(graph.closeness(token_edges(spark, sf)))
 
 
 # ---- structure ------------------------------------------------------------------------------------------------------
@@ -506,11 +514,11 @@ def coverage_upsert(spark, sf):
 
 
 def _contained(spark, sf):
-    points = coverage_lines(spark, sf).filter("hits % 5 = 0").select("path", "line", (F.col("hits") % 3).alias("nesting"))
+    points = coverage_lines(spark, sf).select("path", "line", (F.col("hits") % 3).alias("nesting"))
     return coverage.contained(coverage.spans(coverage_lines(spark, sf)), points)
 
 
-CONTAINED = f"{LINES}, co AS (SELECT sp.path, start, stop, count(line) AS n, coalesce(sum(1 + hits % 3), 0)::BIGINT AS cognitive FROM sp LEFT JOIN (SELECT * FROM ln WHERE hits % 5 = 0) p ON p.path = sp.path AND line BETWEEN start AND stop GROUP BY 1, 2, 3)"
+CONTAINED = f"{LINES}, co AS (SELECT sp.path, start, stop, count(line) AS n, coalesce(sum(1 + hits % 3), 0)::BIGINT AS cognitive FROM sp LEFT JOIN ln p ON p.path = sp.path AND line BETWEEN start AND stop GROUP BY 1, 2, 3)"
 
 
 @query(f"WITH {CONTAINED} SELECT path, start, stop, CASE WHEN n > 0 THEN 1 + n ELSE 0 END AS cyclomatic, cognitive FROM co")

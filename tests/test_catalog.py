@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tallgrass.plans import catalog, catalog2  # noqa: F401
+from tallgrass.plans import catalog, catalog2, catalog3  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -37,4 +37,5 @@ def test_query(name, spark, sf, con):
     want = sorted((tuple(plain(r[names.index(c)]) for c in columns) for r in ran.fetchall()), key=repr)
     assert len(got) == len(want)
     for a, b in zip(got, want):
-        assert a == pytest.approx(b, abs=2e-6) if all(isinstance(x, (int, float)) for x in a + b) else a == b
+        for x, y in zip(a, b):
+            assert x == pytest.approx(y, abs=2e-6) if isinstance(x, float) and isinstance(y, float) else x == y

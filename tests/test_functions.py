@@ -1,8 +1,9 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallgrass.functions import scores as S
 from tallgrass.functions import text as T
-from tallgrass.operators import bundle, cohesion, coverage, graph, lsh
+from tallgrass.operators import bundle, cohesion, coverage, graph, lsh, rules, stats
 from tallgrass.sources import files, parsers
 
 
@@ -12,8 +13,9 @@ def one(spark, column, **values):
 
 
 def test_names(spark):
-    assert one(spark, T.name_tokens(F.col("s")), s="getUserName") == ["get", "user", "name"]
-    assert one(spark, T.name_tokens(F.col("s")), s="HTTPRequestHandler") == ["http", "request", "handler"]
+    assert one(spark, T.name_tokens(F.col("s")), s="readBlockSize") == ["read", "block", "size"]
+    assert one(spark, T.name_tokens(F.col("s")), s="XMLFeedWriter") == ["xml", "feed", "writer"]
+    assert one(spark, T.name_tokens(F.col("s")), s="tide_table-v2.x") == ["tide", "table", "v2"]
     assert one(spark, T.literal_kind(F.col("s")), s="3.14") == "FLOAT_LIT"
     assert one(spark, T.code_of(F.col("s")), s="--") == "GENERIC"
     assert one(spark, T.normalized(F.col("s")), s=" A  b\n# c\n\n// d\nE") == "a b e"
@@ -45,10 +47,10 @@ def test_spans(spark):
 
 
 def test_parsers(spark):
-    r = parsers.lcov(spark.createDataFrame([("TN:\nSF:src/lib.rs\nDA:1,1\nDA:2,0\nend_of_record\n",)], "content string"))
-    assert sorted((x.path, x.line, x.hits, x.covered) for x in r.filter("path = 'src/lib.rs'").collect()) == [("src/lib.rs", 1, 1, True), ("src/lib.rs", 2, 0, False)]
-    r = parsers.istanbul(spark.createDataFrame([('{"src/app.js":{"path":"src/app.js","l":{"1":0,"2":3}}}',)], "content string"))
-    assert sorted((x.line, x.covered) for x in r.collect()) == [(1, False), (2, True)]
+    r = parsers.lcov(spark.createDataFrame([("SF:lib/tide.go\nDA:7,12\nDA:9,0\nDA:11,3\nend_of_record\nSF:lib/moon.go\nDA:1,0\nend_of_record\n",)], "content string"))
+    assert sorted((x.path, x.line, x.hits, x.covered) for x in r.collect()) == [("lib/moon.go", 1, 0, False), ("lib/tide.go", 7, 12, True), ("lib/tide.go", 9, 0, False), ("lib/tide.go", 11, 3, True)]
+    r = parsers.istanbul(spark.createDataFrame([('{"web/sail.ts":{"path":"web/sail.ts","l":{"14":5,"20":0,"21":1}}}',)], "content string"))
+    assert sorted((x.line, x.covered) for x in r.collect()) == [(14, True), (20, False), (21, True)]
     r = parsers.python_entities(spark.createDataFrame([(1, "class A:\n  def f(self):\n    if x: pass\n"), (2, "not python at all")], "id long, text string"))
     assert sorted((x.kind, x.name, x.points) for x in r.collect()) == [("class", "A", 1), ("function", "f", 1)]
 
@@ -61,6 +63,47 @@ def test_files_and_budgets(spark):
 
 
 def test_components(spark):
-    e = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "src long, dst long")
-    assert {r.id: r.component for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+    e = spark.createDataFrame([(1, 2), (2, 3), (7, 8), (9, 9)], "src long, dst long")
+    assert {r.id: r.component for r in graph.components(e).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 9}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "src long, dst long")
+    assert {r.component for r in graph.components(chain).collect()} == {0}
     assert [r.node for r in graph.cycle_members(spark.createDataFrame([("a", "a"), ("a", "b")], "src string, dst string")).collect()] == ["a"]
+
+
+def test_strong_components(spark):
+    """Two rings joined one way, a tail, a loop and a pair, against reachability worked out in Python."""
+    edges = [(k, (k + 1) % 12) for k in range(12)] + [(5, 20)] + [(20 + k, 20 + (k + 1) % 5) for k in range(5)] + [(24, 30), (30, 31), (40, 40), (50, 51), (51, 50), (3, 9)]
+    reach = {}
+    for a in {x for e in edges for x in e}:
+        seen, todo = set(), [a]
+        while todo:
+            x = todo.pop()
+            new = {d for s, d in edges if s == x} - seen
+            seen |= new
+            todo += new
+        reach[a] = seen
+    want = {a: (min([a] + [b for b in reach[a] if a in reach[b]]), a in reach[a]) for a in reach}
+    got = graph.strong_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert {r.node: (r.component, r.cyclic) for r in got} == want and len(got) == len(want)
+
+
+def test_quantiles_and_ranges(spark):
+    rows = [(f, float((k * 37) % 11)) for f, n in (("a", 50), ("b", 7), ("c", 1)) for k in range(n)]
+    got = {r.feature: (r.lo, r.mid) for r in stats.quantiles(spark.createDataFrame(rows, "feature string, value double"), {"lo": 0.1, "mid": 0.5}).collect()}
+    for f in "abc":
+        v = [x for g, x in rows if g == f]
+        assert np.allclose(got[f], (np.quantile(v, 0.1), np.quantile(v, 0.5)))
+    a = spark.createDataFrame([(k, "f", k * 7 % 100, k * 7 % 100 + k % 90) for k in range(60)], "id long, file string, s long, e long")
+    pairs = {(r.a, r.b) for r in rules.overlaps(a, width=8).collect()}
+    own = [(r.id, r.s, r.e) for r in a.collect()]
+    assert pairs == {(x[0], y[0]) for x in own for y in own if x[0] < y[0] and x[1] <= y[2] and y[1] <= x[2]}
+
+
+def test_greedy_budget_is_the_fold(spark):
+    rows = [("g", k, float((k * 13) % 17), (k * 29) % 40 + 1) for k in range(40)]
+    used, ids = 0, []
+    for _, k, _, n in sorted(rows, key=lambda r: (-r[2], r[1])):
+        if used + n <= 100:
+            used, ids = used + n, ids + [str(k)]
+    got = bundle.greedy(spark.createDataFrame(rows, "key string, id long, priority double, tokens long"), "key", "id", 100).first()
+    assert (got.used, got.ids) == (used, ",".join(ids))
