@@ -120,6 +120,7 @@ def scored(entities: DataFrame) -> DataFrame:
     """Fixed 0-100 scoring of (id, loc, cyclomatic, cognitive, nesting, debt, maintainability, severity, issues)."""
     c = lambda x: clamp(x, 0.0, 100.0)
     cyc, cog, nest, owed, bad = c(F.col("cyclomatic") / 10.0 * 40), c(F.col("cognitive") / 15.0 * 30), c(F.col("nesting") * 6.0), c(F.col("debt")), c(100 - F.col("maintainability"))
+    # fixed values: the weights and curves
     overall = c(0.30 * cyc + 0.25 * cog + 0.15 * nest + 0.20 * owed + 0.10 * bad)
     s = entities.select("id", "loc", "severity", "issues", overall.alias("overall"))
     by_score = F.when(F.col("overall") >= 70, "Critical").when(F.col("overall") >= 55, "High").when(F.col("overall") >= 35, "Medium").when(F.col("overall") >= 20, "Low").otherwise("None")

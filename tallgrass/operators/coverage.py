@@ -44,6 +44,7 @@ def contained(spans_: DataFrame, points: DataFrame, width: int = 64) -> DataFram
 
 def gap_scores(gaps: DataFrame) -> DataFrame:
     """.40 size + .20 complexity + .15 fan-in, each on a saturating curve, plus .05 for missing documents."""
+    # fixed values: the weights and curves
     size = 1 - F.exp(-F.col("loc") / 20.0)
     complexity = 1 - F.exp(-F.col("cognitive") / 10.0)
     fan = F.col("fan_in") / (F.col("fan_in") + 5.0)
