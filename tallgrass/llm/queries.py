@@ -65,4 +65,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+ORACLE_SQL: dict[str, str] = {
+    # every window of 20 words by its text; a word goes if one of the 20 windows that hold it also starts earlier
+    "op3_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS j FROM d),
+k AS (SELECT doc_id, j, word, md5(string_agg(word, ' ') OVER o) AS g, count(*) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT g, min((doc_id, j)) AS first FROM k WHERE c = 20 GROUP BY g), h AS (SELECT k.doc_id, j, word, coalesce(c = 20 AND (k.doc_id, j) > first, FALSE) AS again FROM k LEFT JOIN f USING (g)),
+r AS (SELECT doc_id, j, word, max(again::INT) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone FROM h),
+a AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS kept FROM r GROUP BY 1)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)""",
+    # the same join in SQL: sets of words, prefixes by rarity, exact similarity
+    "op9_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(generate_series(0, len(ls) - 1)) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)),
+s AS MATERIALIZED (SELECT doc_id, i, list_sort(list_distinct({_WORDS.format('line')})) AS ws FROM l), t AS MATERIALIZED (SELECT * FROM s WHERE len(ws) > 0),
+u AS MATERIALIZED (SELECT ws, len(ws) AS n, row_number() OVER (ORDER BY first) AS id, first FROM (SELECT ws, min((doc_id, i)) AS first FROM t GROUP BY ws)),
+e AS MATERIALIZED (SELECT id, n, unnest(ws) AS word FROM u), c AS (SELECT word, count(*) AS c FROM e GROUP BY 1),
+p AS MATERIALIZED (SELECT id, n, word FROM (SELECT id, n, word, row_number() OVER (PARTITION BY id ORDER BY c, word) AS k FROM e JOIN c USING (word)) WHERE k <= n - (4 * n + 4) // 5 + 1),
+q AS (SELECT DISTINCT a.id, b.id AS y FROM p a JOIN p b ON a.word = b.word AND a.id > b.id AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+v AS (SELECT DISTINCT q.id FROM q JOIN u a ON a.id = q.id JOIN u b ON b.id = q.y WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
+m AS (SELECT t.doc_id, t.i, (t.doc_id, t.i) <> first AS later, v.id IS NOT NULL AS near FROM t JOIN u ON u.ws = t.ws LEFT JOIN v ON v.id = u.id),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (later) AS n_equal, count(*) FILTER (near AND NOT later) AS n_near, coalesce(string_agg(i, ',' ORDER BY i) FILTER (later OR near), '') AS removed FROM m GROUP BY 1)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_equal, 0) AS n_equal, coalesce(n_near, 0) AS n_near, coalesce(removed, '') AS removed FROM documents LEFT JOIN g USING (doc_id)""",
+}
