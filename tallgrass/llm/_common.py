@@ -49,6 +49,19 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Buckets by which rows without a match are left out before a shuffle.
+SIEVE = 1 << 20
+
+
+def sifted(df: DataFrame, key: Column, wanted: DataFrame, of: Column) -> DataFrame:
+    """df without rows whose key (a hash) cannot be in wanted, as far as SIEVE buckets tell: fewer rows to shuffle for a join that follows.
+
+    The table that is broadcast has no more rows than there are buckets, however large wanted is.
+    """
+    some = wanted.select(of.bitwiseAND(SIEVE - 1).alias("bucket_")).distinct()
+    return df.join(F.broadcast(some), key.bitwiseAND(SIEVE - 1) == F.col("bucket_"), "left_semi")
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string column as UTF-8 bytes, without decoding."""
     return column.cast(pa.binary()).to_pylist()

@@ -25,17 +25,16 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm._common import as_bytes, mixed, slices, tokens, written
+from tallgrass.llm._common import SIEVE, as_bytes, mixed, sifted, slices, tokens, written
 
 LAST = (1 << 63) - 1  # stands for a null doc_id
 BUCKETS, WIDTH = 1 << 22, 4096  # buckets of words; buckets moved together
 HOT = 1024  # postings under one word that are compared in one cell
 SHARE = 50_000  # a word or a set with over one in so many of all postings or lines is dealt with apart
 TASK = 500_000  # postings of a task
-SIEVE = 1 << 20  # buckets by which rows without a match are left out before a shuffle
 LARGE = 80  # words of a set from which on it has a sketch of 128 bits
 SIMILAR = Fraction(4, 5)
 
@@ -183,15 +182,6 @@ def _sets(posted: DataFrame) -> DataFrame:
     return written(dealt.mapInArrow(_first_of_each, "id long, " + _POSTED.split(", at ")[0]), "sets")
 
 
-def _sifted(df: DataFrame, key: Column, wanted: DataFrame, of: Column) -> DataFrame:
-    """df without rows whose key cannot be in wanted, as far as SIEVE buckets tell: fewer rows to shuffle for a join that follows.
-
-    The table that is broadcast has no more rows than there are buckets.
-    """
-    some = wanted.select(of.bitwiseAND(SIEVE - 1).alias("bucket_")).distinct()
-    return df.join(F.broadcast(some), key.bitwiseAND(SIEVE - 1) == F.col("bucket_"), "left_semi")
-
-
 def _blocks(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The words under which very many sets are posted, and the number of blocks these are dealt into.
 
@@ -321,9 +311,9 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, similar: Fract
     """x with sa, sb, k, row, line of its set, if one of its pairs is similar."""
     ends = pairs.select(F.col("x").alias("id")).unionAll(pairs.select(F.col("y").alias("id"))).distinct()
     ends = written(ends, "ends")
-    held = written(_sifted(sets.select("id", "k", "row", "line", "sa", "sb"), F.xxhash64("id"), ends, F.xxhash64("id")).join(ends, "id"), "held")
+    held = written(sifted(sets.select("id", "k", "row", "line", "sa", "sb"), F.xxhash64("id"), ends, F.xxhash64("id")).join(ends, "id"), "held")
     wanted = held.groupBy("k", "row").agg(F.collect_list(F.struct("line", "id")).alias("lines"))
-    some = _sifted(docs, F.col("row"), held, F.col("row"))
+    some = sifted(docs, F.col("row"), held, F.col("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2 << 20):
@@ -376,7 +366,7 @@ def removed_lines(docs: DataFrame, least: int = 1, similar: Fraction = SIMILAR)
     which = ["sa", "sb", "fk", "frow", "fline"]
     marked = written(several.unionAll(near).groupBy(*which).agg(F.max("copies").alias("copies"), F.bool_or("near").alias("near")), "marked")
     lines = texts.select("k", "row", F.explode(F.arrays_zip(F.col("at").alias("line"), F.col("las").alias("sa"), F.col("lbs").alias("sb"))).alias("l")).select("k", "row", "l.*")
-    lines = _sifted(lines, F.col("sa"), marked, F.col("sa"))
+    lines = sifted(lines, F.col("sa"), marked, F.col("sa"))
     often = F.col("copies") > (size.lines or 0) / SHARE  # of less than SHARE sets
     seldom = lines.join(marked.filter(~often).drop("copies"), ["sa", "sb"])
     if marked.filter(often).isEmpty():

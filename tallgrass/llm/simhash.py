@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallgrass.llm._common import as_bytes, slices, written
+from tallgrass.llm._common import as_bytes, sifted, slices, written
 from tallgrass.llm.components import components
 
 TILE = 16384  # fingerprints moved together
@@ -336,12 +336,14 @@ def _similar(docs: DataFrame, of: DataFrame, pairs: DataFrame, shingle: int, see
             sets = [_shingle_set(t, shingle, seed) for t in as_bytes(b.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([_set_id(h) for h in sets], np.uint64).view(np.int64)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["sh", "words"])
 
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_id"]) & (docs["row"] == wanted["_row"]), "left_semi").select("text")
-    sets = written(texts.mapInArrow(run, "sh long, words array<long>").dropDuplicates(["sh"]), "sets")
+    wanted = written(wanted, "wanted")
+    some = sifted(docs, F.col("row"), wanted, F.col("_row"))
+    texts = some.join(wanted, some["doc_id"].eqNullSafe(wanted["_id"]) & (some["row"] == wanted["_row"]), "left_semi").select("text")
+    sets = written(texts.mapInArrow(run, "sh long, words array<long>"), "sets")  # a repeated row gives its set again
     a, b = (sets.select(F.col("sh").alias(c), F.col("words").alias(f"{c}words")) for c in ("x", "y"))
     both = F.size(F.array_intersect("xwords", "ywords"))
     like = both * (similar.numerator + similar.denominator) >= similar.numerator * (F.size("xwords") + F.size("ywords"))
-    return pairs.select("x", "y").join(a, "x").join(b, "y").filter(like).select("x", "y")
+    return pairs.select("x", "y").join(a, "x").join(b, "y").filter(like).select("x", "y").distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = COVERS, similar: Fraction = SIMILAR, seed: int = 42, tile: int | None = None, most: int = MOST_EACH) -> DataFrame:
