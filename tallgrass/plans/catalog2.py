@@ -108,8 +108,10 @@ HEALTH = "(0.28 * mi + 0.25 * 100 + 0.18 * (100 - cx) + 0.19 * (100 - debt) + 0.
 @query(f"SELECT grp, file, count(*) AS n, round(avg({HEALTH}), 4) AS health FROM (SELECT n_regionkey AS grp, c_nationkey AS file, least(100, greatest(0, 50 + c_acctbal / 200)) AS mi, c_custkey % 100 AS cx, c_custkey % 37 AS debt FROM customer JOIN nation ON n_nationkey = c_nationkey) GROUP BY GROUPING SETS ((grp), (grp, file))")
 def health_grouping_sets(spark, sf):
     c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    m = c.select(F.col("n_regionkey").alias("grp"), F.col("c_nationkey").alias("file"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + F.col("c_acctbal") / 200)).alias("mi"), (F.col("c_custkey") % 100).alias("cx"), (F.col("c_custkey") % 37).alias("debt"))
-    return health.levels(m).withColumn("health", F.round("health", 4))
+    mi = F.least(F.lit(100.0), F.greatest(F.lit(0.0), 50 + F.col("c_acctbal") / 200))
+    half = F.col("c_custkey") % 100 / 4
+    m = c.select(F.col("n_regionkey").alias("dir"), F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("id"), mi.alias("maintainability"), half.alias("cyclomatic"), half.alias("cognitive"), (F.col("c_custkey") % 37).alias("debt"))
+    return health.levels(m).filter("level <> 'entity'").select(F.col("dir").alias("grp"), "file", "n", F.round("health", 4).alias("health"))
 
 
 @query("WITH m AS (SELECT avg(n_chars) / 100 AS complexity, 100.0::DOUBLE * count(DISTINCT source) / count(*) AS structure, max(n_chars) AS largest FROM documents), g(rule, metric, op, threshold) AS (VALUES ('complexity', 'complexity', '>', 20.0::DOUBLE), ('structure', 'structure', '<', 5.0::DOUBLE), ('largest', 'largest', '>', 1000000.0::DOUBLE)), v AS (SELECT rule, op, threshold, CASE metric WHEN 'complexity' THEN complexity WHEN 'structure' THEN structure ELSE largest END AS value FROM g, m) SELECT rule, round(value, 4) AS value, threshold, CASE op WHEN '>' THEN value > threshold ELSE value < threshold END AS violated FROM v")
