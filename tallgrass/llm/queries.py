@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import decontam, idstore, licenses, lines, packing, pii, quality, simhash, substrings, urls
+from tallgrass.llm import decontam, idstore, licenses, lines, packing, pieces, pii, quality, simhash, substrings, urls
 from tallgrass.llm._common import shared_dir, table
 
 
@@ -64,7 +64,14 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "host", "path", "rule", "verdict", "template")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup, op10_url_filter)}
+def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decoded(pieces.encoded(table(spark, sf_dir, "documents"), path), path)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup, op10_url_filter, op11_piece_codec)}
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 ORACLE_SQL: dict[str, str] = {
     # every window of 20 words by its text; a word goes if one of the 20 windows that hold it also starts earlier
