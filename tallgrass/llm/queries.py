@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import decontam, idstore, licenses, lines, packing, pieces, pii, quality, simhash, substrings, urls
+from tallgrass.llm import decontam, idstore, licenses, lines, manifest, packing, pieces, pii, quality, simhash, substrings, urls
 from tallgrass.llm._common import shared_dir, table
 
 
@@ -71,9 +71,37 @@ def op11_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup, op10_url_filter, op11_piece_codec)}
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lower).otherwise(F.col("text"))
+    found = manifest.manifest(table(spark, sf_dir, "documents"), changed=tampered)
+    again = manifest.folded(F.col("other"), F.col("proof"))
+    siblings = F.array_join(F.transform("proof", lambda s: F.concat(s["left"], s["right"])), "")
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), again.alias("folded_root"), (again == F.col("root")).alias("verified"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup, op10_url_filter, op11_piece_codec, op12_merkle_manifest)}
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 ORACLE_SQL: dict[str, str] = {
+    # level by level; the CRC by its table of 256 entries
+    "op12_merkle_manifest": """WITH RECURSIVE d AS (SELECT *, cast(doc_id AS VARCHAR) AS s FROM documents),
+crc AS (SELECT list(list_reduce(list_prepend(v, [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t FROM (SELECT unnest(range(256)) AS v)),
+z AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS hit FROM d, crc),
+y AS (SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM z),
+l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS bad FROM
+(SELECT *, coalesce(strlen(s) || ':' || s, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM y)),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM l),
+t AS (SELECT source, 0 AS level, i, leaf AS h, n FROM p UNION ALL SELECT source, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY source, level, i // 16, n),
+sub AS (SELECT source, h AS subroot, level AS top, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, subroot AS h, n FROM sub UNION ALL SELECT level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY level, i // 16, n),
+root AS (SELECT h AS root FROM u WHERE n = 1),
+st AS (SELECT source, level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt, n FROM t WINDOW w AS (PARTITION BY source, level, i // 16 ORDER BY i)),
+su AS (SELECT level, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS lft, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS rgt, n FROM u WINDOW w AS (PARTITION BY level, i // 16 ORDER BY i)),
+f AS (SELECT p.doc_id, p.source, p.leaf, p.i, p.n > 1 AS inner_, 0 AS level, p.i AS at, bad AS h, '' AS sib FROM p
+UNION ALL SELECT f.doc_id, f.source, f.leaf, f.i, st.n > 16, f.level + 1, f.at // 16, sha256(st.lft || f.h || st.rgt), f.sib || st.lft || st.rgt FROM f JOIN st ON st.source IS NOT DISTINCT FROM f.source AND st.level = f.level AND st.i = f.at WHERE f.inner_),
+g AS (SELECT f.doc_id, f.leaf, f.i AS id, sub.subroot, sub.n > 1 AS inner_, 0 AS level, sub.i AS at, f.h, f.sib, f.source FROM f JOIN sub ON sub.source IS NOT DISTINCT FROM f.source WHERE NOT f.inner_
+UNION ALL SELECT g.doc_id, g.leaf, g.id, g.subroot, su.n > 16, g.level + 1, g.at // 16, sha256(su.lft || g.h || su.rgt), g.sib || su.lft || su.rgt, g.source FROM g JOIN su ON su.level = g.level AND su.i = g.at WHERE g.inner_)
+SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified FROM g, root WHERE NOT inner_""",
     # every window of 20 words by its text; a word goes if one of the 20 windows that hold it also starts earlier
     "op3_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS j FROM d),
 k AS (SELECT doc_id, j, word, md5(string_agg(word, ' ') OVER o) AS g, count(*) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
