@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm import decontam, idstore, licenses, lines, manifest, packing, pieces, pii, quality, simhash, substrings, urls
+from tallgrass.llm import decontam, idstore, licenses, lines, manifest, packing, pieces, pii, quality, repair, simhash, substrings, urls
 from tallgrass.llm._common import shared_dir, table
 
 
@@ -80,13 +80,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.sha2(siblings, 256).alias("proof_sha256"), again.alias("folded_root"), (again == F.col("root")).alias("verified"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup, op10_url_filter, op11_piece_codec, op12_merkle_manifest)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations"))).drop("n_repaired")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_substring_dedup, op4_packing, op5_personal_data, op6_id_store, op7_simhash_near_dedup, op8_benchmark_decontamination, op9_line_dedup, op10_url_filter, op11_piece_codec, op12_merkle_manifest, op13_conversation_repair)}
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(v, [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t FROM (SELECT unnest(range(256)) AS v))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 ORACLE_SQL: dict[str, str] = {
     # level by level; the CRC by its table of 256 entries
-    "op12_merkle_manifest": """WITH RECURSIVE d AS (SELECT *, cast(doc_id AS VARCHAR) AS s FROM documents),
-crc AS (SELECT list(list_reduce(list_prepend(v, [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY v) AS t FROM (SELECT unnest(range(256)) AS v)),
-z AS (SELECT d.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(s, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 0 AS hit FROM d, crc),
+    "op12_merkle_manifest": f"""WITH RECURSIVE d AS (SELECT *, cast(doc_id AS VARCHAR) AS s FROM documents),
+{_CRC_TABLE},
+z AS (SELECT d.*, {_CRC} % 5 = 0 AS hit FROM d, crc),
 y AS (SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM z),
 l AS (SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(other) || ':' || other, '-')) AS bad FROM
 (SELECT *, coalesce(strlen(s) || ':' || s, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head FROM y)),
@@ -102,6 +108,26 @@ UNION ALL SELECT f.doc_id, f.source, f.leaf, f.i, st.n > 16, f.level + 1, f.at /
 g AS (SELECT f.doc_id, f.leaf, f.i AS id, sub.subroot, sub.n > 1 AS inner_, 0 AS level, sub.i AS at, f.h, f.sib, f.source FROM f JOIN sub ON sub.source IS NOT DISTINCT FROM f.source WHERE NOT f.inner_
 UNION ALL SELECT g.doc_id, g.leaf, g.id, g.subroot, su.n > 16, g.level + 1, g.at // 16, sha256(su.lft || g.h || su.rgt), g.sib || su.lft || su.rgt, g.source FROM g JOIN su ON su.level = g.level AND su.i = g.at WHERE g.inner_)
 SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified FROM g, root WHERE NOT inner_""",
+    # row by row: of each state the cheapest edits, with up to two insertions before each row and at the end
+    "op13_conversation_repair": f"""WITH RECURSIVE {_CRC_TABLE},
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(cast(conv_id AS VARCHAR), ' ') || ':' || coalesce(cast(turn AS VARCHAR), ' ') AS s FROM conversations),
+k AS (SELECT o.*, {_CRC} % 20 AS k FROM o, crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+n AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS MATERIALIZED (SELECT *, substr(role, 1, 1) AS r, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS two, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM n),
+g AS (SELECT conv_id, count(*) AS m, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (two IS NOT NULL AND two NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1),
+ins AS MATERIALIZED (SELECT * FROM (VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 0, 1, '', []::VARCHAR[]), (2, 0, 2, '', []::VARCHAR[]), (3, 0, 3, '', []::VARCHAR[]), (0, 5, 2, 'I', ['user:']), (1, 5, 2, 'I', ['user:']), (3, 5, 2, 'I', ['user:']), (2, 5, 3, 'I', ['assistant:']),
+(0, 10, 3, 'II', ['user:', 'assistant:']), (1, 10, 3, 'II', ['user:', 'assistant:']), (3, 10, 3, 'II', ['user:', 'assistant:'])) AS v(state, c, s, e, ls)),
+step AS MATERIALIZED (SELECT * FROM (VALUES (0, 's', 1, 'K'), (0, 'u', 2, 'K'), (1, 'u', 2, 'K'), (2, 'a', 3, 'K'), (3, 'u', 2, 'K'), (0, NULL, 2, 'R'), (1, NULL, 2, 'R'), (3, NULL, 2, 'R'), (2, NULL, 3, 'R'), (0, NULL, 0, 'D'), (1, NULL, 1, 'D'), (2, NULL, 2, 'D'), (3, NULL, 3, 'D')) AS v(s, r, s2, e2)),
+b AS (SELECT conv_id, 0 AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS ls FROM g UNION ALL
+SELECT conv_id, i, state, cast(substr(best, 1, 9) AS INT), substr(best, 10), ls FROM (SELECT b.conv_id, b.i + 1 AS i, s2 AS state, min(way) AS best, arg_min(lines, way) AS ls FROM (SELECT b.conv_id, b.i, s2, lpad(cast(cost + c + CASE e2 WHEN 'D' THEN 2 ELSE (e2 = 'R')::INT + CASE fault WHEN 3 THEN 5 ELSE 0 END END AS VARCHAR), 9, '0') || audit || e || e2 AS way,
+b.ls || ins.ls || CASE e2 WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [role || ':' || text] ELSE [CASE s2 WHEN 2 THEN 'user:' ELSE 'assistant:' END || text] END AS lines
+FROM b JOIN f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i + 1 JOIN ins ON ins.state = b.state JOIN step ON step.s = ins.s AND (e2 <> 'K' OR step.r = f.r) AND (e2 = 'D' OR fault IN (0, 3))) AS b GROUP BY b.conv_id, b.i, s2)),
+z AS (SELECT b.conv_id, min(lpad(cast(cost + c AS VARCHAR), 9, '0') || audit || e) AS best, arg_min(array_to_string(b.ls || ins.ls, chr(10)), lpad(cast(cost + c AS VARCHAR), 9, '0') || audit || e) AS whole
+FROM b JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = m JOIN ins ON ins.state = b.state AND ins.s IN (0, 3) GROUP BY b.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cast(substr(best, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id""",
     # every window of 20 words by its text; a word goes if one of the 20 windows that hold it also starts earlier
     "op3_substring_dedup": f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents), w AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS j FROM d),
 k AS (SELECT doc_id, j, word, md5(string_agg(word, ' ') OVER o) AS g, count(*) OVER o AS c FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
