@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from tallgrass.plans import catalog, catalog2, catalog3, catalog4  # noqa: F401
+from tallgrass.plans import catalog, catalog2, catalog3, catalog4, catalog5  # noqa: F401
 
 
 @pytest.fixture(scope="module")
