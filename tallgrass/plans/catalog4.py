@@ -193,12 +193,13 @@ def folder_complexity(spark, sf):
     return layout.totals(loc_files(spark, sf))
 
 
-WORDS = f"{C.DOC_TOKENS}, ws AS (SELECT source AS file, id, list(DISTINCT token) AS words FROM bt JOIN documents ON doc_id = id GROUP BY 1, 2), we AS (SELECT file, id, unnest(words) AS word, len(words) AS n FROM ws), wp AS (SELECT a.file, a.id, b.id AS other, count(*) AS shared, count(*) / (max(a.n) + max(b.n) - count(*)) AS similarity FROM we a JOIN we b ON b.file = a.file AND b.word = a.word AND a.id < b.id GROUP BY 1, 2, 3)"
+WORDS = f"{C.DOC_TOKENS}, ws AS (SELECT source AS file, doc_id AS id, coalesce(list(DISTINCT token) FILTER (token IS NOT NULL), []) AS words FROM documents LEFT JOIN bt ON doc_id = id GROUP BY 1, 2), we AS (SELECT file, id, unnest(words) AS word, len(words) AS n FROM ws), wp AS (SELECT a.file, a.id, b.id AS other, count(*) AS shared, count(*) / (max(a.n) + max(b.n) - count(*)) AS similarity FROM we a JOIN we b ON b.file = a.file AND b.word = a.word AND a.id < b.id GROUP BY 1, 2, 3 UNION ALL SELECT a.file, a.id, b.id, 0, 1 FROM ws a JOIN ws b ON b.file = a.file AND a.id < b.id WHERE len(a.words) = 0 AND len(b.words) = 0)"
 
 
 def words(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file"))
-    return C.doc_tokens(spark, sf).groupBy("id").agg(F.collect_set("token").alias("words")).join(d, "id").select("file", "id", "words")
+    t = C.doc_tokens(spark, sf).groupBy("id").agg(F.collect_set("token").alias("words"))
+    return d.join(t, "id", "left").select("file", "id", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
 @query(f"WITH {WORDS} SELECT file, id, other, shared, round(similarity, 6) AS similarity FROM wp WHERE similarity > 0.1")

@@ -149,3 +149,47 @@ def test_divided(spark, empty):
     n = spark.createDataFrame(nodes, NODES)
     got = division.divided(n, spark.createDataFrame(edges, EDGES))
     assert sorted((r.dir, r.node) for r in got.collect()) == sorted((d, x) for d, x, _ in nodes)
+
+
+def test_communities_are_the_greedy_ones(spark):
+    from tallgrass.operators import layout
+
+    rng = random.Random(11)
+    pairs = {}
+    for f, n, m in (("a", 40, 90), ("b", 300, 400), ("c", 4, 3)):
+        for _ in range(m):
+            x, y = sorted(rng.sample(range(n), 2))
+            pairs[f, x, y] = rng.choice([0.15, 0.2, 0.3, 0.5, 0.9])
+    pairs |= {("chain", k, k + 1): 0.2 + k / 1000 for k in range(200)}
+    want = {}
+    for f in ("a", "b", "c", "chain"):
+        comm, at = [], {}
+        for s, x, y in sorted((-s, x, y) for (g, x, y), s in pairs.items() if g == f):
+            if -s < 0.2:
+                break
+            if x in at and y not in at:
+                comm[at[x]].append(y)
+                at[y] = at[x]
+            elif y in at and x not in at:
+                comm[at[y]].append(x)
+                at[x] = at[y]
+            elif x not in at:
+                at[x] = at[y] = len(comm)
+                comm.append([x, y])
+        for k, c in enumerate([c for c in comm if len(c) >= 3][:3]):
+            want |= {(f, x): k for x in c}
+    df = spark.createDataFrame([(f, x, y, s) for (f, x, y), s in pairs.items()], "file string, id long, other long, similarity double")
+    assert {(r.file, r.id): r.community for r in layout.communities(df).collect()} == want
+
+
+def test_empty_sets_are_equal_and_files_are_split(spark):
+    from tallgrass.operators import layout
+
+    e = spark.createDataFrame([("f", 1, []), ("f", 2, []), ("f", 3, ["x"]), ("g", 4, [])], "file string, id long, words array<string>")
+    assert [(r.file, r.id, r.other, r.shared, r.similarity) for r in layout.identifier_pairs(e).collect()] == [("f", 1, 2, 0, 1.0)]
+    found = spark.createDataFrame([("f", k, k // 3) for k in range(6)] + [("g", 9, 0)], "file string, id long, community int")
+    names = ["readX", "api_y", "loader", "helper", "util", "core"]
+    ents = spark.createDataFrame([("f", k, names[k], 10 * k) for k in range(6)] + [("g", 9, "a", 1)], "file string, id long, name string, loc long")
+    files = spark.createDataFrame([("f", "src/big.ts", 900, 10), ("g", "g", 900, 10)], "file string, path string, loc long, bytes long")
+    got = {r.community: (r.name, r.members, r.loc) for r in layout.splits(found, ents, files).collect()}
+    assert got == {0: ("big_io.ts", 3, 30), 1: ("big_util.ts", 3, 120)}
