@@ -102,7 +102,7 @@ class _Tree:
         bounds = self.bounds
 
         def parts(pid: int, rows: Iterator) -> Iterator:
-            start, total, of_last = bounds[pid]
+            start, total, of_last = bounds[pid] if pid < len(bounds) else (0, 0, 0)
             held = None
             for grp, run in groupby(rows, lambda r: r[0]):
                 if held:
@@ -197,7 +197,10 @@ class _Tree:
 
         n = self.sorted.getNumPartitions()
         helps = help_.rdd.map(lambda r: (r.pid, (r.grp, r.level, r.run, r.nodes, r.proof))).partitionBy(n, int)
-        both = self.sorted.mapPartitions(lambda rows: [list(rows)]).zip(helps.mapPartitions(lambda rows: [[x for _, x in rows]]))
+        rows = self.sorted
+        if (more := helps.getNumPartitions() - n) > 0:  # a session may deal keys to more partitions than asked for
+            rows = rows.union(spark.sparkContext.parallelize([], more))
+        both = rows.mapPartitions(lambda held: [list(held)]).zip(helps.mapPartitions(lambda rows: [[x for _, x in rows]]))
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.rows.schema) + f", subroot string, root string, proof array<{STEP}>"
         return spark.createDataFrame(both.mapPartitionsWithIndex(given), schema, verifySchema=False)
 

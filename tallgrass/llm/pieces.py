@@ -12,6 +12,8 @@ holds. Cuts met again cost a look-up.
 from __future__ import annotations
 
 import re
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from itertools import groupby, islice
@@ -25,16 +27,28 @@ from tallgrass.llm._common import slices
 
 SPACE = "▁"
 #: Cuts remembered by a worker, how many of the first stay when the memory is full, and the longest that is remembered.
-MOST, STAY, LONGEST = 500_000, 250_000, 64
-_WORD = re.compile("[^▁]▁")
+MOST, STAY, LONGEST = 700_000, 500_000, 48
 _open: dict[str, "Model"] = {}
 
 
+class _Known(dict):
+    """Ids by part of a text; a part that is not there is encoded."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.learn(part)
+        if len(part) <= LONGEST:
+            self[part] = ids
+        return ids
+
+
 class Model:
     """A SentencePiece model of type BPE: identity normaliser, byte fallback, a dummy space before the text or not."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as messages
 
         spec = messages.ModelProto()
@@ -49,9 +63,21 @@ class Model:
         self.piece, self.kind = [p.piece for p in spec.pieces], kinds
         self.score = [p.score for p in spec.pieces]
         self.id = {p: k for k, p in enumerate(self.piece) if kinds[k] == 1}
+        self.marks = {k for k, kind in enumerate(kinds) if kind == 3}
+        # what decode() writes for each id; bytes are joined before they are read as text
+        self.bytes = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else p.replace(SPACE, " ").encode() for p, kind in zip(self.piece, kinds)]
+        self.known = _Known(self._part)
+        self.fits: dict[int, bool] = {}
+        self.automaton = None
+
+    def _learn(self) -> None:
+        """What encoding needs beside the pieces: how each is put together, the automaton, where texts may be cut."""
+        import ahocorasick
+
+        kinds = self.kind
         self.byte = {int(self.piece[k][3:5], 16): k for k, kind in enumerate(kinds) if kind == 6}
         self.long = [len(p) for p in self.piece]
-        self.ties = {s for s, n in _counts(self.score[k] for k in self.id.values() if self.long[k] > 1).items() if n > 1}
+        ties = {s for s, n in Counter(self.score[k] for k in self.id.values() if self.long[k] > 1).items() if n > 1}
         # how each token is put together last; None: a character; the token itself is left out where merging never gives it
         self.split: dict[int, tuple[int, int] | None] = {}
         self.direct: set[int] = set()  # tokens of a tied score, or whose parts are merged later than they: pairs are merged to see
@@ -59,22 +85,19 @@ class Model:
             last, alone = self._merged(text)
             if len(alone) == 1:
                 self.split[k] = last
-                if last and (self.score[k] in self.ties or any(self.long[x] > 1 and self.score[x] <= self.score[k] for x in last)):
+                if last and (self.score[k] in ties or any(self.long[x] > 1 and self.score[x] <= self.score[k] for x in last)):
                     self.direct.add(k)
-        self.automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton()
         for text, k in self.id.items():
             if k in self.split:
-                self.automaton.add_word(text, k)
-        self.automaton.make_automaton()
-        self.fits: dict[int, bool] = {}
-        self.known: dict[str, bytes] = {}
-        inside = any(_WORD.search(p) for p in self.id)
-        feed = "" if "\n" in "".join(self.id) else "\n"
-        #: None: tokens may lie across the end of a word, so texts are not cut
-        self.cut = None if inside else re.compile(f"{SPACE}*[^{SPACE}{feed}]+|{SPACE}+" + (f"|{feed}" if feed else ""))
-        # what decode() writes for each id; bytes are joined before they are read as text
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else p.replace(SPACE, " ").encode() for p, kind in zip(self.piece, kinds)]
-        self.marks = {k for k, kind in enumerate(kinds) if kind == 3}
+                automaton.add_word(text, k)
+        automaton.make_automaton()
+        beside = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        if any(b == SPACE and a != SPACE for a, b in beside):
+            self.cut = None  # tokens may lie across the end of a word, so texts are not cut
+        else:
+            self.cut = re.compile(" *[^ ]+| +" if any("\n" in p for p in self.id) else " *[^ \n]+| +|\n")
+        self.automaton = automaton
 
     def _merged(self, text: str) -> tuple[tuple[int, int] | None, list[str]]:
         """The last merge, and the symbols left, when the best pair (the leftmost of equal ones) is merged again and again."""
@@ -127,29 +150,14 @@ class Model:
     def _ids(self, text: str) -> list[int]:
         """The ids of a text whose spaces are escaped already."""
         n, fits, long = len(text), self.fits, self.long
-        last = [-1] * (n + 1)  # of each prefix: its last token; -2: a character without a token
-        end = 0
+        last = [-1] * (n + 1)  # of each prefix: its last token; -1: none, as before the first character and after one without a token
+        get = fits.get
         for e, k in self.automaton.iter(text):
             e += 1
-            if last[e] >= 0:
-                continue
-            while end < e - 1:  # places that no token ended at
-                end += 1
-                if last[end] < 0:
-                    last[end] = -2
-            begin = e - long[k]
-            if begin == 0 or (a := last[begin]) == -2:
-                last[e] = k
-                end = e
-            elif a >= 0:
-                pair = a << 32 | k
-                if (fit := fits.get(pair)) is None:
-                    if len(fits) > 1_000_000:
-                        fits.clear()
-                    fit = fits[pair] = self._together(a, k)
-                if fit:
+            if last[e] < 0:
+                a = last[e - long[k]]
+                if a < 0 or (self._fit(a, k) if (fit := get(a << 20 | k)) is None else fit):
                     last[e] = k
-                    end = e
         out, at = [], n
         while at:
             k = last[at]
@@ -162,25 +170,42 @@ class Model:
         out.reverse()
         return out
 
+    def _part(self, part: str) -> bytes:
+        """The ids of a part that was not met yet: those of the part before its last character, where the prefix table goes on from them."""
+        if not part[-1].isalnum() and part[-2:-1].isalnum() and (mark := self.id.get(part[-1])) is not None:
+            ids = self.known[part[:-1]]
+            if self._fit(array("i", ids[-4:])[0], mark):
+                ids += array("i", [mark]).tobytes()
+            else:
+                ids = array("i", self._ids(part.replace(" ", SPACE))).tobytes()
+        else:
+            ids = array("i", self._ids(part.replace(" ", SPACE))).tobytes()
+        return ids
+
+    def _fit(self, a: int, b: int) -> bool:
+        pair = a << 20 | b
+        if (fit := self.fits.get(pair)) is None:
+            if len(self.fits) > 300_000:
+                self.fits.clear()
+            # after a byte of a character without a token anything may follow
+            fit = self.fits[pair] = self.kind[a] == 6 or self._together(a, b)
+        return fit
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a whole text, without those of its begin and end."""
         if not text:
             return np.zeros(0, "<i4")
-        text = (SPACE if self.dummy else "") + text.replace(" ", SPACE)
+        if self.automaton is None:
+            self._learn()
+        text = (" " if self.dummy else "") + text.replace(SPACE, " ")  # the mark of a space in a text is read as a space
         if self.cut is None:
-            return np.array(self._ids(text), "<i4")
-        known = self.known
-        out = []
-        for part in self.cut.findall(text):
-            ids = known.get(part)
-            if ids is None:
-                ids = np.array(self._ids(part), "<i4").tobytes()
-                if len(part) <= LONGEST:
-                    known[part] = ids
-            out.append(ids)
-        if len(known) > MOST:
-            self.known = dict(islice(known.items(), STAY))
-        return np.frombuffer(b"".join(out), "<i4")
+            return np.array(self._ids(text.replace(" ", SPACE)), "<i4")
+        data = b"".join(map(self.known.__getitem__, self.cut.findall(text)))
+        if len(self.known) > MOST:
+            first = dict(islice(self.known.items(), STAY))
+            self.known.clear()
+            self.known.update(first)
+        return np.frombuffer(data, "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces in a row, bytes read as UTF-8 (each that is none: the replacement character), without the dummy space."""
@@ -214,13 +239,6 @@ def _read(data: bytes) -> str:
         return "".join(out)
 
 
-def _counts(values) -> dict:
-    out: dict = {}
-    for v in values:
-        out[v] = out.get(v, 0) + 1
-    return out
-
-
 def model(path: str) -> Model:
     """One model for each worker process and file, kept between tasks."""
     if path not in _open:
