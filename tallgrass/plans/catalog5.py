@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.operators import lsh, trees
+from tallgrass.operators import division, docscan, imports, layout, lsh, trees
 from tallgrass.plans.catalog import query, rounded
 from tallgrass.session import spread, table, written
 
@@ -39,3 +39,164 @@ def tree_similarity(spark, sf):
     found = lsh.pairs(lsh.signatures(spread(p)), b=32, rows=4, least=0.4)
     t = written(trees.trees(page_tags(spark, sf)), "trees")
     return rounded(trees.large_enough(trees.verified(found.select("a", "b", F.col("similarity").alias("score")), t), 10))
+
+
+# ---- divided folders and files --------------------------------------------------------------------------------------
+
+
+def order_files(spark, sf):
+    """Each order as a folder of its lines."""
+    li = table(spark, sf, "lineitem")
+    nodes = li.groupBy(F.col("l_orderkey").alias("dir"), F.col("l_linenumber").alias("node")).agg(F.sum("l_quantity").cast("long").alias("loc"))
+    to = [F.struct((F.col("l_linenumber") + 1).alias("dst"), (F.col("l_partkey") % 7 + 1).alias("w")), F.struct((F.col("l_linenumber") - 2).alias("dst"), (F.col("l_suppkey") % 3 + 1).alias("w"))]
+    e = li.select(F.col("l_orderkey").alias("dir"), F.col("l_linenumber").alias("src"), F.explode(F.array(*to)).alias("t"))
+    return nodes, e.select("dir", "src", F.col("t.dst").alias("dst"), F.col("t.w").cast("long").alias("weight"))
+
+
+@query("""WITH nd AS (SELECT l_orderkey AS dir, l_linenumber AS node, sum(l_quantity)::BIGINT AS loc FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY dir) AS c, sum(loc) OVER (PARTITION BY dir) AS total FROM nd),
+e AS (SELECT l_orderkey AS dir, l_linenumber AS src, l_linenumber + 1 AS dst, l_partkey % 7 + 1 AS w FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, l_linenumber - 2, l_suppkey % 3 + 1 FROM lineitem),
+f AS (SELECT e.dir, a.i, b.i AS j, sum(w) AS w FROM e JOIN n a ON a.dir = e.dir AND a.node = src JOIN n b ON b.dir = e.dir AND b.node = dst GROUP BY 1, 2, 3),
+m AS (SELECT dir, c, unnest(range(1, (1::BIGINT << c::INT) - 1)) AS mask FROM (SELECT DISTINCT dir, c FROM n WHERE c BETWEEN 2 AND 8)),
+s AS (SELECT m.dir, mask, abs(coalesce(sum(loc) FILTER ((mask >> i::INT) & 1 = 1), 0) / max(total)::DOUBLE - 0.5) AS uneven FROM m JOIN n ON n.dir = m.dir GROUP BY 1, 2),
+k AS (SELECT m.dir, mask, sum(w) FILTER ((mask >> i::INT) & 1 = 1 AND (mask >> j::INT) & 1 = 0) AS cut FROM m JOIN f ON f.dir = m.dir GROUP BY 1, 2),
+b AS (SELECT s.dir, mask, row_number() OVER (PARTITION BY s.dir ORDER BY coalesce(cut, 0), uneven, mask) AS r FROM s LEFT JOIN k USING (dir, mask) WHERE uneven <= 0.25)
+SELECT n.dir, n.node, CASE WHEN (coalesce(b.mask, (1 << (c // 2)::INT) - 1) >> i::INT) & 1 = 1 THEN 0 ELSE 1 END AS part FROM n LEFT JOIN b ON b.dir = n.dir AND b.r = 1 WHERE c BETWEEN 2 AND 8""")
+def folder_bipartition(spark, sf):
+    """Each order's lines in two parts with the lightest edges between them."""
+    return division.bipartitions(*order_files(spark, sf))
+
+
+def customer_files(spark, sf):
+    """Forty customers to a folder, importing each other by a rule."""
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    base = k - k % 40
+    d = F.concat(F.lit("d"), base)
+    name = lambda x: F.concat(d, F.lit("/f"), x)
+    nodes = c.select(d.alias("dir"), name(k).alias("node"), F.floor(F.abs("c_acctbal") / 200).cast("long").alias("loc"))
+    to = F.array(*[F.struct(name(base + x).alias("dst"), w.cast("long").alias("w")) for x, w in (((k * 7 + 3) % 40, k % 5 + 1), ((k * k) % 40, F.lit(1)), (k % 8, k % 3 + 1))])
+    e = c.select(d.alias("dir"), name(k).alias("src"), F.explode(to).alias("t"))
+    return nodes, e.select("dir", "src", F.col("t.dst").alias("dst"), F.col("t.w").alias("weight"))
+
+
+@query()
+def folder_division(spark, sf):
+    """Folders of customers divided by votes and moves: names, files and lines of the parts, and what the division costs."""
+    nodes, edges = customer_files(spark, sf)
+    parts = written(division.divided(nodes, edges), "divided")
+    return division.named(parts, nodes).join(division.crossing_edges(parts, edges), "dir")
+
+
+def buyers(spark, sf):
+    """Customers as entities of their nation's file, with the priorities and years of their orders as words; some have none."""
+    w = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set(F.concat_ws("-", "o_orderpriority", F.year("o_orderdate"))).alias("words"))
+    c = table(spark, sf, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("file"), F.col("c_custkey").alias("id"), F.concat_ws("_", F.element_at(F.array(*[F.lit(x) for x in ("read", "api", "tool", "core")]), (F.col("c_custkey") % 4 + 1).cast("int")), "c_mktsegment").alias("name"), F.floor(F.abs("c_acctbal") / 100).cast("long").alias("loc"))
+    return c.join(w, "id", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+
+
+BUYERS = """ws AS (SELECT 'n' || c_nationkey AS file, c_custkey AS id, coalesce(list(DISTINCT o_orderpriority || '-' || year(o_orderdate)) FILTER (o_orderkey IS NOT NULL), []) AS words FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), we AS (SELECT file, id, unnest(words) AS word, len(words) AS n FROM ws),
+wp AS (SELECT a.file, a.id, b.id AS other, count(*) / (max(a.n) + max(b.n) - count(*)) AS similarity FROM we a JOIN we b ON b.file = a.file AND b.word = a.word AND a.id < b.id GROUP BY 1, 2, 3 UNION ALL SELECT a.file, a.id, b.id, 1 FROM ws a JOIN ws b ON b.file = a.file AND a.id < b.id WHERE len(a.words) = 0 AND len(b.words) = 0),
+u AS (SELECT * FROM wp WHERE similarity >= 0.2), ends AS (SELECT file, id AS x, other AS y, similarity, id, other FROM u UNION ALL SELECT file, other, id, similarity, id, other FROM u),
+f AS MATERIALIZED (SELECT file, x, y, similarity, id, other FROM (SELECT *, row_number() OVER (PARTITION BY file, x ORDER BY similarity DESC, id, other) AS r FROM ends) WHERE r = 1),
+t AS (SELECT a.file, a.x AS root, a.x, a.similarity, a.id, a.other FROM f a JOIN f b ON b.file = a.file AND b.x = a.y AND b.y = a.x WHERE a.x < a.y UNION ALL SELECT f.file, t.root, f.x, t.similarity, t.id, t.other FROM t JOIN f ON f.file = t.file AND f.y = t.x AND f.x <> t.root),
+r AS (SELECT DISTINCT t.file, root, f.similarity, f.id, f.other FROM t JOIN f ON f.file = t.file AND f.x = t.root),
+c AS (SELECT r.file, r.root, row_number() OVER (PARTITION BY r.file ORDER BY r.similarity DESC, r.id, r.other) - 1 AS community FROM r JOIN (SELECT file, root FROM t GROUP BY 1, 2 HAVING count(*) >= 3) g ON g.file = r.file AND g.root = r.root),
+cm AS (SELECT t.file, t.x AS id, community FROM t JOIN c ON c.file = t.file AND c.root = t.root WHERE community < 3)"""
+
+
+@query(f"WITH RECURSIVE {BUYERS} SELECT * FROM cm")
+def entity_communities(spark, sf):
+    """Customers of a nation put together by shared words, the most similar pair first."""
+    return layout.communities(layout.identifier_pairs(buyers(spark, sf).select("file", "id", "words")))
+
+
+@query(f"""WITH RECURSIVE {BUYERS}, fl AS (SELECT 'n' || c_nationkey AS file, sum(floor(abs(c_acctbal) / 100)::BIGINT) AS loc FROM customer GROUP BY 1),
+ki AS (SELECT cm.file, community, CASE c_custkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS kind, floor(abs(c_acctbal) / 100)::BIGINT AS loc FROM cm JOIN customer ON c_custkey = cm.id),
+kc AS (SELECT file, community, kind, count(*) AS c, sum(loc) AS loc FROM ki GROUP BY 1, 2, 3), kp AS (SELECT file, community, arg_max(kind, c * 10 + kind) AS kind, sum(c) AS members, sum(loc) AS loc FROM kc GROUP BY 1, 2)
+SELECT kp.file, community, kp.file || ['_io', '_api', '_util', '_core'][kind + 1] || '.py' AS name, members::BIGINT AS members, kp.loc::BIGINT AS loc FROM kp JOIN fl USING (file) WHERE fl.loc >= 800 AND file IN (SELECT file FROM kp GROUP BY 1 HAVING count(*) >= 2)""")
+def file_splits(spark, sf):
+    """The parts that nations of 800 lines and more are divided into."""
+    e = written(buyers(spark, sf), "buyers")
+    files = e.groupBy("file").agg(F.sum("loc").alias("loc")).select("file", F.concat(F.lit("src/"), F.col("file"), F.lit(".py")).alias("path"), "loc", F.lit(0).cast("long").alias("bytes"))
+    return layout.splits(layout.communities(layout.identifier_pairs(e.select("file", "id", "words"))), e.select("file", "id", "name", "loc"), files)
+
+
+# ---- imports and documentation --------------------------------------------------------------------------------------
+
+
+def part_files(spark, sf):
+    k = F.col("p_partkey")
+    at = F.concat(F.lit("src/"), F.regexp_replace("p_type", "[^A-Za-z0-9]", ""), F.lit("/"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""))
+    return table(spark, sf, "part").select(k.alias("k"), F.concat(at, F.lit("/"), F.when(k % 50 == 0, F.concat(F.lit("s"), k, F.lit("/mod.rs"))).otherwise(F.concat(F.lit("m"), k, F.element_at(F.array(*[F.lit(x) for x in (".rs", ".py", ".ts", ".go")]), (k % 4 + 1).cast("int"))))).alias("path"))
+
+
+def part_imports(spark, sf):
+    """Seven imports of each file, of the file of another part in the forms of several languages."""
+    f = part_files(spark, sf)
+    last_key = f.agg(F.max("k")).first()[0] or 1
+    asked = f.select("path", ((F.col("k") * 7) % last_key + 1).alias("k"))
+    to = asked.join(f.select("k", F.col("path").alias("p")), "k").withColumn("m", F.regexp_replace("p", r"^src/|(/mod)?\.[a-z]+$", ""))
+    last, dots = F.regexp_extract("m", "[^/]+$", 0), F.replace("m", F.lit("/"), F.lit("."))
+    forms = F.array(F.concat(F.lit("crate::"), F.replace("m", F.lit("/"), F.lit("::")), F.lit("::Item")), dots, F.concat(F.lit("src."), dots), F.concat(F.lit("./"), "m"), F.concat(F.lit("self::"), last), F.concat(F.lit("super::x::"), last), F.concat(F.lit("nowhere."), F.lit("q"), "k"))
+    return to.select("path", F.explode(forms).alias("name"))
+
+
+@query(r"""WITH pf AS (SELECT p_partkey AS k, 'src/' || regexp_replace(p_type, '[^A-Za-z0-9]', '', 'g') || '/' || regexp_replace(p_brand, '[^A-Za-z0-9]', '', 'g') || '/' || CASE WHEN p_partkey % 50 = 0 THEN 's' || p_partkey || '/mod.rs' ELSE 'm' || p_partkey || ['.rs', '.py', '.ts', '.go'][p_partkey % 4 + 1] END AS path FROM part),
+ask AS (SELECT path, (k * 7) % (SELECT max(p_partkey) FROM part) + 1 AS k FROM pf), t AS (SELECT ask.path, ask.k, regexp_replace(pf.path, '^src/|(/mod)?\.[a-z]+$', '', 'g') AS m FROM ask JOIN pf USING (k)),
+im AS (SELECT DISTINCT path, unnest(['crate::' || replace(m, '/', '::') || '::Item', replace(m, '/', '.'), 'src.' || replace(m, '/', '.'), './' || m, 'self::' || regexp_extract(m, '[^/]+$'), 'super::x::' || regexp_extract(m, '[^/]+$'), 'nowhere.q' || k]) AS name FROM t),
+x AS (SELECT path, regexp_replace(path, '\.(rs|py|js|ts|tsx|jsx|go)$', '') AS bare, regexp_replace(path, '/?[^/]*$', '') AS up, regexp_replace(regexp_replace(path, '^.*/', ''), '\.[^.]*$', '') AS stem FROM pf),
+md AS (SELECT path, replace(regexp_replace(bare, '^src/', ''), '/', '::') AS m FROM x UNION ALL SELECT path, replace(regexp_replace(up, '^src/', ''), '/', '::') FROM x WHERE ends_with(path, 'mod.rs')),
+ke AS (SELECT path, unnest([m, replace(m, '::', '.'), 'crate::' || m, 'crate.' || replace(m, '::', '.')]) AS key FROM md UNION ALL SELECT path, stem FROM x WHERE stem NOT IN ('mod', 'lib', 'main') UNION ALL SELECT path, './' || regexp_replace(bare, '^src/', '') FROM x WHERE ends_with(path, '.ts') UNION ALL SELECT path, replace(bare, '/', '.') FROM x WHERE ends_with(path, '.py') UNION ALL SELECT path, up FROM x WHERE ends_with(path, '.go')),
+kt AS (SELECT key, min(path) AS target FROM ke GROUP BY 1),
+q AS (SELECT path, name, regexp_replace(path, '/?[^/]*$', '') AS up FROM im),
+r AS (SELECT *, ltrim(replace(replace(CASE WHEN starts_with(name, 'super::') AND up <> '' THEN replace(regexp_replace(regexp_replace(up, '/?[^/]*$', ''), '^src/', ''), '/', '::') || '::' || substr(name, 8) WHEN starts_with(name, 'self::') THEN replace(regexp_replace(up, '^src/', ''), '/', '::') || '::' || substr(name, 7) ELSE name END, '::', '.'), '/', '.'), '.') AS nm FROM q),
+s AS (SELECT *, string_split(nm, '.') AS ps FROM r),
+pre AS (SELECT path, name, ps, unnest(range(len(ps))) AS i FROM s),
+c AS (SELECT path, name, array_to_string(ps[1:len(ps) - i], '.') AS key, 2 * i AS rank FROM pre UNION ALL SELECT path, name, array_to_string(ps[1:len(ps) - i], '::'), 2 * i + 1 FROM pre
+UNION ALL SELECT path, name, up || '.' || ps[1], 1000000 FROM s WHERE len(ps) = 1 UNION ALL SELECT path, name, replace(regexp_replace(up, '^src/', ''), '/', '::') || '::' || ps[1], 1000001 FROM s WHERE len(ps) = 1 UNION ALL SELECT path, name, ps[-1], 1000002 FROM s)
+SELECT path, name, arg_min(target, rank) AS target, min(rank) AS rank FROM c JOIN kt USING (key) GROUP BY path, name""")
+def import_resolution(spark, sf):
+    """Imports of the parts' files, by the best key that a file bears."""
+    return imports.resolved(part_imports(spark, sf), part_files(spark, sf))
+
+
+def doc_lines(spark, sf):
+    """Documents as source files: even ones with quoted texts after definitions, odd ones with comments before."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).withColumn("n", F.col("i") + 1)
+    w = F.coalesce(F.nullif(F.regexp_extract("line", "([A-Za-z]+)", 1), F.lit("")), F.lit("x"))
+    n, line = F.col("n"), F.col("line")
+    py = F.when(n % 6 == 1, F.concat(F.when(F.col("doc_id") % 3 == 0, "class ").otherwise("def "), w, F.lit("():"))).when(n % 12 == 2, F.concat(F.lit('    """'), F.substring(line, 1, 9), F.lit('"""'))).when((n % 12).isin(8, 10), "    '''").when((n % 12 == 9) & (n % 5 < 2), "    Todo").otherwise(F.concat(F.lit("    "), line))
+    ts = F.when(n % 12 == 1, "/**").when(n % 12 == 7, F.concat(F.lit("/// "), line)).when(n % 12 == 2, F.concat(F.lit(" * "), F.substring(line, 1, 7))).when(n % 12 == 3, " */").when(n % 12 == 9, "///").when(n % 6 == 4, F.concat(F.lit("export function "), w, F.lit("(a) {"))).when(n % 6 == 5, "").when(n % 6 == 0, F.concat(F.lit("const "), w, F.lit(" = (x) => x"))).otherwise(line)
+    path = F.concat(F.lit("d"), "doc_id", F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".ts"))
+    return d.select("doc_id", path.alias("path"), "n", F.when(F.col("doc_id") % 2 == 0, py).otherwise(ts).alias("line"))
+
+
+DOC_LINES = r"""dl AS (SELECT doc_id, unnest(generate_series(1, len(ls))) AS n, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)), dw AS (SELECT *, coalesce(nullif(regexp_extract(line, '([A-Za-z]+)', 1), ''), 'x') AS w FROM dl),
+sl AS (SELECT doc_id, 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.ts' END AS path, n, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN n % 6 = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'class ' ELSE 'def ' END || w || '():' WHEN n % 12 = 2 THEN '    ' || repeat('"', 3) || substr(line, 1, 9) || repeat('"', 3) WHEN n % 12 IN (8, 10) THEN '    ''''''' WHEN n % 12 = 9 AND n % 5 < 2 THEN '    Todo' ELSE '    ' || line END
+ELSE CASE WHEN n % 12 = 1 THEN '/**' WHEN n % 12 = 7 THEN '/// ' || line WHEN n % 12 = 2 THEN ' * ' || substr(line, 1, 7) WHEN n % 12 = 3 THEN ' */' WHEN n % 12 = 9 THEN '///' WHEN n % 6 = 4 THEN 'export function ' || w || '(a) {' WHEN n % 6 = 5 THEN '' WHEN n % 6 = 0 THEN 'const ' || w || ' = (x) => x' ELSE line END END AS line FROM dw),
+sb AS (SELECT *, regexp_replace(line, '^\s+', '') AS bare FROM sl),
+qa AS (SELECT *, length(line) - length(bare) AS indent, len(regexp_extract_all(line, '"{3}|''{3}')) AS marks FROM sb WHERE doc_id % 2 = 0), qb AS (SELECT *, coalesce(sum(marks) OVER (PARTITION BY path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM qa),
+qc AS (SELECT *, b % 2 = 0 AND regexp_matches(bare, '^[A-Za-z]*("{3}|''{3})') AS opens, CASE WHEN bare <> '' AND NOT starts_with(bare, '#') THEN n END AS sig FROM qb),
+qd AS (SELECT *, min(sig) OVER (PARTITION BY path ORDER BY n DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nx FROM qc),
+qt AS (SELECT path, n, CASE WHEN opens THEN b + 1 ELSE b END AS block, opens, marks > opens::INT AS closes, string_split(replace(line, '''''''', repeat('"', 3)), repeat('"', 3))[CASE WHEN opens THEN 2 ELSE 1 END] AS said FROM qc WHERE opens OR b % 2 = 1),
+qe AS (SELECT path, block, bool_or(regexp_matches(said, '\S')) AS has, bool_or(regexp_matches(said, '(?i)todo|fixme|tbd')) AS todo FROM qt GROUP BY 1, 2 HAVING bool_or(closes) AND bool_or(opens)),
+qf AS (SELECT d.path, d.n, CASE WHEN starts_with(d.bare, 'class ') THEN 'Class' ELSE 'Function' END AS kind, regexp_extract(d.bare, '^(?:async def |def |class )([^(:\s]*)', 1) AS name, CASE WHEN e.opens AND e.indent > d.indent THEN e.b + 1 END AS block FROM qd d LEFT JOIN qc e ON e.path = d.path AND e.n = d.nx WHERE d.b % 2 = 0 AND regexp_matches(d.bare, '^(def |async def |class )')),
+qg AS (SELECT path, n, kind, name, CASE WHEN has IS NULL THEN 'missing' WHEN NOT has OR todo THEN 'incomplete' ELSE 'present' END AS state FROM qf LEFT JOIN qe USING (path, block)),
+ca AS (SELECT *, regexp_matches(bare, '^//[/!]') AS slash FROM sb WHERE doc_id % 2 = 1 AND bare <> '' AND NOT starts_with(bare, '#[')), cb AS (SELECT *, NOT slash AND regexp_matches(bare, '\*/\s*$') AS fin, sum((NOT slash)::INT) OVER w AS run, sum((NOT slash AND regexp_matches(bare, '/\*[*!]'))::INT) OVER w AS blk,
+CASE WHEN slash THEN regexp_replace(bare, '^/+!?', '') ELSE regexp_replace(bare, '/\*[*!]|\*/|^\*', '', 'g') END AS say FROM ca WINDOW w AS (PARTITION BY path ORDER BY n ROWS UNBOUNDED PRECEDING)),
+cc AS (SELECT *, regexp_matches(say, '\S') AS h, regexp_matches(say, '(?i)todo|fixme|tbd') AS td FROM cb),
+cd AS (SELECT *, CASE WHEN slash THEN bool_or(h) OVER r WHEN fin AND blk > 0 THEN bool_or(h) OVER k END AS has, CASE WHEN slash THEN bool_or(td) OVER r WHEN fin AND blk > 0 THEN bool_or(td) OVER k END AS todo FROM cc WINDOW r AS (PARTITION BY path, run, slash ORDER BY n ROWS UNBOUNDED PRECEDING), k AS (PARTITION BY path, blk ORDER BY n ROWS UNBOUNDED PRECEDING)),
+ce AS (SELECT *, lag(has) OVER (PARTITION BY path ORDER BY n) AS ph, lag(todo) OVER (PARTITION BY path ORDER BY n) AS pt, regexp_extract(bare, '(?:^|\s)function\s+(\S+)', 1) AS fu, regexp_extract(bare, '(?:^|\s)class\s+(\S+)', 1) AS cl, regexp_extract(bare, '^(?:const|let|var)\s+([A-Za-z0-9_$]+)[^=]*=.*=>', 1) AS ar FROM cd),
+cg AS (SELECT path, n, CASE WHEN fu <> '' THEN 'Function' WHEN cl <> '' THEN 'Class' ELSE 'Arrow' END AS kind, regexp_replace(CASE WHEN fu <> '' THEN fu WHEN cl <> '' THEN cl ELSE ar END, '[({].*$', '') AS name, CASE WHEN ph IS NULL THEN 'missing' WHEN NOT ph OR pt THEN 'incomplete' ELSE 'present' END AS state FROM ce WHERE (fu <> '' OR cl <> '' OR ar <> '') AND NOT regexp_matches(bare, '^(//|\*|/\*)')),
+ds AS (SELECT * FROM qg UNION ALL SELECT * FROM cg)"""
+
+
+@query(f"WITH {DOC_LINES} SELECT * FROM ds")
+def doc_scan(spark, sf):
+    """Definitions of the documents' lines and whether they are documented."""
+    x = doc_lines(spark, sf)
+    return docscan.quoted(x.filter("doc_id % 2 = 0").drop("doc_id")).unionByName(docscan.commented(x.filter("doc_id % 2 = 1").drop("doc_id")))
+
+
+@query(f"WITH {DOC_LINES} SELECT path, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'incomplete') AS incomplete, count(*) FILTER (state = 'present') AS present FROM ds GROUP BY path")
+def doc_scan_gaps(spark, sf):
+    return docscan.gaps(doc_scan(spark, sf))
