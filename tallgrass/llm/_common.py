@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where it is unset, as in tests."""
+    """The folder all executors share (spark.checkpoint.dir). One is made only for a local session that names none, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tallgrass-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -134,14 +137,20 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def rolled(h: np.ndarray, n: int, mult: int = 0x9E3779B97F4A7C15) -> np.ndarray:
-    """A 64-bit hash of each n consecutive word hashes (wrapping polynomial)."""
+    """A 64-bit hash of each n consecutive word hashes (wrapping polynomial), by doubling the number of words."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    m, out = np.uint64(mult), np.zeros(len(h) - n + 1, np.uint64)
+    out, held = h, 1  # out: the polynomials of `held` words each
     with np.errstate(over="ignore"):
-        for i in range(n):
-            out = out * m + h[i : i + len(out)]
-        out ^= out >> np.uint64(31)
+        for bit in bin(n)[3:]:
+            new = out[:-held] * np.uint64(pow(mult, held, 1 << 64))
+            new += out[held:]
+            out, held = new, 2 * held
+            if bit == "1":
+                out = out[:-1] * np.uint64(mult)
+                out += h[held : held + len(out)]
+                held += 1
+        out = out ^ (out >> np.uint64(31))
         out *= np.uint64(0xBF58476D1CE4E5B9)
         out ^= out >> np.uint64(29)
     return out

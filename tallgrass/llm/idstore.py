@@ -93,7 +93,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, ke
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, tail = TaskContext.get().partitionId() << 33, np.uint32(end_id).tobytes()
         seen: dict[bytes, list] = {}
-        size = 0
+        size = held = 0
 
         def out() -> pa.RecordBatch:
             refs = pa.array([[{"row": r, "doc_id": d, "seq": s} for r, d, s in x[2]] for x in seen.values()], pa.list_(REF))
@@ -111,11 +111,12 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, ke
                         seen[key] = [end - at, data, []]
                         size += len(data)
                     seen[key][2].append((row, doc_id, seq))
+                    held += 1
                     at = end
                 row += 1
-            if size > 32 << 20:
+            if size > 32 << 20 or held > 200_000:
                 yield out()
-                seen, size = {}, 0
+                seen, size, held = {}, 0, 0
         if seen:
             yield out()
 
@@ -153,17 +154,21 @@ REF = pa.struct([("row", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()
 
 
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    """The recipes; stops at one whose chunks are not those, or not in the order, of its Merkle root."""
+    """row, doc_id, n_tokens, seq, chunk: the recipes chunk by chunk; stops at one whose chunks are not those, or not in the order, of its Merkle root."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row, chunks, root in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("row", "chunks", "root"))):
+            of = b.column(3)
+            for row, chunks, root in zip(b.column(0).to_pylist(), of.to_pylist(), b.column(4).to_pylist()):
                 if merkle(chunks) != root:
                     raise ValueError(f"the recipe of row {row} is damaged")
-            yield b
+            n = of.value_lengths().to_numpy(zero_copy_only=False)
+            at = pa.array(np.repeat(np.arange(b.num_rows), n))
+            seq = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(3)], pa.array(seq.astype(np.int32)), of.flatten()], ["row", "doc_id", "n_tokens", "seq", "chunk"])
 
-    recipes = spark.read.parquet(f"{path}/recipes")
-    return recipes.mapInArrow(run, recipes.schema)
+    recipes = spark.read.parquet(f"{path}/recipes").select("row", "doc_id", "n_tokens", "chunks", "root")
+    return recipes.mapInArrow(run, "row long, doc_id long, n_tokens long, seq int, chunk binary")
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
@@ -198,14 +203,13 @@ def _scanned(spark: SparkSession, path: str, width: int) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks").filter("ids is not null").select("chunk", "ids").mapInArrow(run, "chunk binary, crc long, n long")
 
 
-def _checked(spark: SparkSession, path: str) -> DataFrame:
-    """The recipes, after their roots have been compared with the manifest; each is compared with its own root when read."""
-    manifest, recipes = spark.read.parquet(f"{path}/manifest"), _recipes(spark, path)
-    again = _part_roots(recipes)
+def _checked(spark: SparkSession, path: str) -> None:
+    """Compare the roots of all recipes with the manifest; a recipe's own chunks are compared with its root where they are read."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    again = _part_roots(spark.read.parquet(f"{path}/recipes"))
     wrong = manifest.join(again.select("part", F.col("root").alias("r"), F.col("tokens").alias("t"), F.col("documents").alias("d")), "part", "full").filter("not (root <=> r and tokens <=> t and documents <=> d)")
     if not wrong.isEmpty():
         raise ValueError("the recipes do not agree with the manifest")
-    return spark.read.parquet(f"{path}/recipes")  # all of them have been compared just now
 
 
 def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
@@ -214,8 +218,9 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     Chunks are compared with their hashes, recipes with the Merkle roots worked out again from their chunks, the parts'
     roots with the manifest, and each recipe's length with its chunks; whatever differs is an error.
     """
-    manifest, recipes = spark.read.parquet(f"{path}/manifest"), _checked(spark, path)
-    entries = recipes.select("row", F.posexplode("chunks").alias("seq", "chunk")).join(_scanned(spark, path, width), "chunk")
+    _checked(spark, path)
+    manifest, recipes = spark.read.parquet(f"{path}/manifest"), spark.read.parquet(f"{path}/recipes")
+    entries = _recipes(spark, path).select("row", "seq", "chunk").join(_scanned(spark, path, width), "chunk")
     after = F.sum("n").over(Window.partitionBy("row").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)) * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,8 +239,8 @@ def read_digests(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 def read_ids(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """row, doc_id, ids (binary, as stored): the documents put together again from their recipes, verified as in read_digests."""
-    recipes = _checked(spark, path)
-    entries = recipes.select("row", "doc_id", "n_tokens", F.posexplode("chunks").alias("seq", "chunk"))
+    _checked(spark, path)
+    entries = _recipes(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
