@@ -27,24 +27,10 @@ from tallgrass.llm._common import slices
 
 SPACE = "▁"
 #: Cuts remembered by a worker, how many of the first stay when the memory is full, and the longest that is remembered.
-MOST, STAY, LONGEST = 700_000, 500_000, 48
+MOST, STAY, LONGEST = 1_000_000, 700_000, 48
 _open: dict[str, "Model"] = {}
 
 
-class _Known(dict):
-    """Ids by part of a text; a part that is not there is encoded."""
-
-    def __init__(self, learn):
-        super().__init__()
-        self.learn = learn
-
-    def __missing__(self, part: str) -> bytes:
-        ids = self.learn(part)
-        if len(part) <= LONGEST:
-            self[part] = ids
-        return ids
-
-
 class Model:
     """A SentencePiece model of type BPE: identity normaliser, byte fallback, a dummy space before the text or not."""
 
@@ -66,7 +52,7 @@ class Model:
         self.marks = {k for k, kind in enumerate(kinds) if kind == 3}
         # what decode() writes for each id; bytes are joined before they are read as text
         self.bytes = [bytes([int(p[3:5], 16)]) if kind == 6 else b"" if kind == 3 else " ⁇ ".encode() if kind == 2 else p.replace(SPACE, " ").encode() for p, kind in zip(self.piece, kinds)]
-        self.known = _Known(self._part)
+        self.known: dict[str, bytes] = {}
         self.fits: dict[int, bool] = {}
         self.automaton = None
 
@@ -97,6 +83,8 @@ class Model:
             self.cut = None  # tokens may lie across the end of a word, so texts are not cut
         else:
             self.cut = re.compile(" *[^ ]+| +" if any("\n" in p for p in self.id) else " *[^ \n]+| +|\n")
+        held = set("".join(self.id))
+        self.bar = next(c for c in map(chr, range(0xE000, 0xF8FF)) if c not in held)
         self.automaton = automaton
 
     def _merged(self, text: str) -> tuple[tuple[int, int] | None, list[str]]:
@@ -147,40 +135,59 @@ class Model:
             else:
                 ends_b, b = score[b], y[0]
 
-    def _ids(self, text: str) -> list[int]:
-        """The ids of a text whose spaces are escaped already."""
-        n, fits, long = len(text), self.fits, self.long
-        last = [-1] * (n + 1)  # of each prefix: its last token; -1: none, as before the first character and after one without a token
-        get = fits.get
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part, a text whose spaces are escaped already; all of them are searched as one text, with a bar between that no token holds."""
+        text = self.bar.join(parts)
+        last = [-1] * (len(text) + 1)  # of each prefix: its last token; -1: none, as before the first character and after one without a token
+        long, get, fit = self.long, self.fits.get, self._fit
         for e, k in self.automaton.iter(text):
             e += 1
             if last[e] < 0:
                 a = last[e - long[k]]
-                if a < 0 or (self._fit(a, k) if (fit := get(a << 20 | k)) is None else fit):
+                if a < 0 or (fit(a, k) if (fits := get(a << 20 | k)) is None else fits):
                     last[e] = k
-        out, at = [], n
-        while at:
-            k = last[at]
-            if k >= 0:
-                out.append(k)
-                at -= long[k]
-            else:
-                out += [self.byte[x] for x in reversed(text[at - 1].encode())]
-                at -= 1
-        out.reverse()
+        out, begin = [], 0
+        for part in parts:
+            ids, at = [], begin + len(part)
+            while at > begin:
+                k = last[at]
+                if k >= 0:
+                    ids.append(k)
+                    at -= long[k]
+                else:
+                    ids += [self.byte[x] for x in reversed(text[at - 1].encode())]
+                    at -= 1
+            ids.reverse()
+            out.append(array("i", ids).tobytes())
+            begin += len(part) + 1
         return out
 
-    def _part(self, part: str) -> bytes:
-        """The ids of a part that was not met yet: those of the part before its last character, where the prefix table goes on from them."""
-        if not part[-1].isalnum() and part[-2:-1].isalnum() and (mark := self.id.get(part[-1])) is not None:
-            ids = self.known[part[:-1]]
-            if self._fit(array("i", ids[-4:])[0], mark):
-                ids += array("i", [mark]).tobytes()
-            else:
-                ids = array("i", self._ids(part.replace(" ", SPACE))).tobytes()
+    def _learned(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of parts that are not known, which are known afterwards.
+
+        Of a part that ends in a mark, the prefix table goes on from the part before the mark: where the mark fits what is
+        last there, it is one more token.
+        """
+        whole, marked = [], []
+        for part in parts:
+            if not part[-1].isalnum() and part[-2:-1].isalnum() and part[-1] in self.id:
+                marked.append(part)
+                part = part[:-1]
+                if part in self.known:
+                    continue
+            whole.append(part)
+        whole = list(dict.fromkeys(whole))
+        escaped = [p.replace(" ", SPACE) for p in whole]
+        if any(self.bar in p for p in whole):
+            new = {p: self._ids([e])[0] for p, e in zip(whole, escaped)}
         else:
-            ids = array("i", self._ids(part.replace(" ", SPACE))).tobytes()
-        return ids
+            new = dict(zip(whole, self._ids(escaped)))
+        for part in marked:
+            ids = new.get(part[:-1]) or self.known[part[:-1]]
+            mark = self.id[part[-1]]
+            new[part] = ids + array("i", [mark]).tobytes() if self._fit(array("i", ids[-4:])[0], mark) else self._ids([part.replace(" ", SPACE)])[0]
+        self.known.update((p, x) for p, x in new.items() if len(p) <= LONGEST)
+        return new
 
     def _fit(self, a: int, b: int) -> bool:
         pair = a << 20 | b
@@ -199,13 +206,17 @@ class Model:
             self._learn()
         text = (" " if self.dummy else "") + text.replace(SPACE, " ")  # the mark of a space in a text is read as a space
         if self.cut is None:
-            return np.array(self._ids(text.replace(" ", SPACE)), "<i4")
-        data = b"".join(map(self.known.__getitem__, self.cut.findall(text)))
-        if len(self.known) > MOST:
-            first = dict(islice(self.known.items(), STAY))
-            self.known.clear()
-            self.known.update(first)
-        return np.frombuffer(data, "<i4")
+            return np.frombuffer(self._ids([text.replace(" ", SPACE)])[0], "<i4")
+        parts = self.cut.findall(text)
+        found = list(map(self.known.get, parts))
+        if None in found:
+            at = [i for i, x in enumerate(found) if x is None]
+            new = self._learned(list(dict.fromkeys(parts[i] for i in at)))
+            for i in at:
+                found[i] = new[parts[i]]
+            if len(self.known) > MOST:
+                self.known = dict(islice(self.known.items(), STAY))
+        return np.frombuffer(b"".join(found), "<i4")
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces in a row, bytes read as UTF-8 (each that is none: the replacement character), without the dummy space."""
@@ -263,6 +274,20 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, ids, text: encoded() and then decoded(), in one pass through one worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for b in slices(batches):
+            ids = [m.encode(t) if t else np.zeros(0, "<i4") for t in b.column(1).to_pylist()]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            texts = pa.array([m.decode(x.tolist()) for x in ids], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, np.concatenate(ids)), texts], ["doc_id", "ids", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>, text string")
+
+
 def decoded(encodings: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, text of rows (doc_id, ids): what decode(ids) of the library gives; null or no ids: the empty text."""
 
