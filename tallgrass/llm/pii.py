@@ -161,10 +161,15 @@ def votes(c: Column) -> dict[str, Column]:
 def fit_labelers(counts: dict[tuple, float], rounds: int = 50, prior: float = 0.5, hold: float = 20.0) -> dict[tuple, float]:
     """P(personal) of each (family, votes) pattern by expectation-maximisation.
 
-    counts: documents' candidates by pattern. Reliabilities start at START, with the weight of ``hold`` candidates or as
-    many as there are, so that candidates neither turn a labeler round nor, if few, give certainty.
+    counts: documents' candidates by pattern. Each family has its own share of personal candidates; labelers have their
+    reliabilities in common, to which no family adds more than the median one has, so that a large family does not decide
+    for the others. Shares and reliabilities start at prior and START with
+    the weight of ``hold`` candidates, whatever the number of candidates: a few give no certainty, and many overrule the
+    start, also of a labeler that is mostly wrong.
     """
-    families, hold = {p[0] for p in counts}, max(hold, sum(counts.values()))
+    families = {f: sum(c for p, c in counts.items() if p[0] == f) for f in {p[0] for p in counts}}
+    middle = sorted(families.values())[len(families) // 2] if families else 0
+    weight = {f: min(1.0, max(middle, hold) / n) for f, n in families.items()}
     table = {(y, k, v): START[name][y][v] for y in (0, 1) for k, name in enumerate(VOTES) for v in (-1, 0, 1)}
     share, post = dict.fromkeys(families, prior), {}
     for _ in range(rounds):
@@ -173,14 +178,13 @@ def fit_labelers(counts: dict[tuple, float], rounds: int = 50, prior: float = 0.
             for k, v in enumerate(p[1:]):
                 a, b = a * table[1, k, v], b * table[0, k, v]
             post[p] = a / (a + b)
-        for f in families:
-            n = sum(c for p, c in counts.items() if p[0] == f)
+        for f, n in families.items():
             share[f] = (sum(c * post[p] for p, c in counts.items() if p[0] == f) + hold * prior) / (n + hold)
         for y in (0, 1):
             for k in range(len(VOTES)):
                 n = {v: hold * START[VOTES[k]][y][v] for v in (-1, 0, 1)}
                 for p, c in counts.items():
-                    n[p[1 + k]] += c * (post[p] if y else 1 - post[p])
+                    n[p[1 + k]] += c * weight[p[0]] * (post[p] if y else 1 - post[p])
                 total = sum(n.values())
                 table |= {(y, k, v): n[v] / total for v in n}
     return post

@@ -548,3 +548,24 @@ def test_pipeline_stages_with_null_and_repeated_ids(spark, docs, sf):
     rows = [(None, f"x {item} y"), (None, text("a")), (8, item), (8, text("b")), (None, None)]
     got = sorted(((r.doc_id, r.text) for r in c.decontamination(spark, docs(rows), sf).collect()), key=repr)
     assert got == sorted([rows[1], rows[3], rows[4]], key=repr)
+
+
+def test_labelers_that_lie_lose_their_weight():
+    """A labeler that is wrong in most cases is turned round, and a rare family gets its own share, beside a large one."""
+    rng = np.random.default_rng(4)
+    counts, truth = Counter(), {}
+    right = (0.9, 0.85, 0.9, 0.15, 0.85)  # the fourth labeler, context, lies
+    for family, n, share in ((4, 200_000, 0.5), (8, 1000, 0.1)):
+        personal = rng.random(n) < share
+        votes = np.stack([np.where(rng.random(n) < r, np.where(personal, 1, -1), np.where(personal, -1, 1)) for r in right], 1)
+        for y, v in zip(personal.tolist(), map(tuple, votes.tolist())):
+            counts[(family, *v)] += 1
+            truth.setdefault((family, *v), [0, 0])[y] += 1
+    post = pii.fit_labelers(dict(counts))
+    for family in (4, 8):
+        own = [p for p in counts if p[0] == family]
+        assert sum(truth[p][post[p] >= 0.5] for p in own) >= 0.95 * sum(counts[p] for p in own)
+        # with the other votes for and against, a vote for by the liar is a reason against
+        assert post[family, 1, -1, 1, 1, -1] < post[family, 1, -1, 1, -1, -1]
+    rare = sum(post[p] * c for p, c in counts.items() if p[0] == 8) / 1000
+    assert abs(rare - 0.1) < 0.04
