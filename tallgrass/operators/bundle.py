@@ -32,6 +32,6 @@ def ending_in(parts: DataFrame, keys: DataFrame) -> DataFrame:
     """Parts whose key is known and whose size is over 25, or whose name ends in a known key."""
     exact = parts.filter("p_size > 25").join(keys, "k", "left_semi").select("p_partkey")
     digits = parts.select("p_partkey", F.regexp_extract("p_name", "([0-9]+)$", 1).alias("d"))
-    ends = digits.select("p_partkey", F.explode(F.transform(F.sequence(F.lit(1), F.lit(2)), lambda n: F.when(F.length("d") >= n, F.right("d", n)))).alias("s"))
+    ends = digits.filter("d <> ''").select("p_partkey", F.explode(F.transform(F.sequence(F.lit(1), F.length("d")), lambda n: F.right("d", n))).alias("s"))
     named = ends.join(keys.select(F.col("k").cast("string").alias("s")), "s", "left_semi").select("p_partkey")
     return exact.unionByName(named).distinct()

@@ -241,7 +241,8 @@ def tfidf_select(spark, sf):
 
 
 @query(f"""WITH {TOKENS}, k AS (SELECT id, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^[0-9]+$') THEN 'INT_LIT' WHEN regexp_matches(x, '^[0-9]+\\.[0-9]+$') THEN 'FLOAT_LIT' WHEN regexp_matches(x, '^["''].*["'']$') THEN 'STR_LIT' WHEN length(x) <= 3 AND regexp_matches(x, '[a-z]') THEN 'LOCAL_VAR' ELSE x END) AS t FROM e),
-g AS MATERIALIZED (SELECT unnest(list_transform(generate_series(1, len(t) - 8), lambda i: array_to_string(t[i:i + 8], ' '))) AS gram FROM k WHERE len(t) >= 9),
+tk AS (SELECT id, unnest(generate_series(1, len(t))) AS i, unnest(t) AS x FROM k WHERE len(t) >= 9),
+g AS (SELECT concat_ws(' ', x, {', '.join(f'lead(x, {j}) OVER o' for j in range(1, 9))}) AS gram FROM tk WINDOW o AS (PARTITION BY id ORDER BY i) QUALIFY lead(x, 8) OVER o IS NOT NULL),
 c AS MATERIALIZED (SELECT gram, count(*) AS support FROM g GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY support DESC) AS k, count(*) OVER () AS n FROM c)
 SELECT gram, support, round(ln((SELECT count(*) FROM documents) / support), 6) AS idf FROM c WHERE support >= (SELECT min(support) FROM r WHERE k <= greatest(1, ceil(n * 0.5::DOUBLE / 100)))""")
 def stop_motifs(spark, sf):
