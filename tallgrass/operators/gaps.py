@@ -6,19 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions.scores import clamp
+from tallgrass.operators import ranges
 
 
 def central(path: Column) -> Column:
-    """How central a file is, by its name: the first that fits."""
+    """How central a file is, by its name: the first that fits. Fixed values."""
     p = F.lower(path)
     has = lambda *words: F.lit(False) if not words else p.contains(words[0]) | has(*words[1:])
     return F.when(has("lib.rs", "main.rs", "__init__.py", "index."), 0.9).when(has("core", "base", "common", "util"), 0.7).when(has("test", "example"), 0.2).otherwise(0.5)
 
 
+def _outer(gaps: DataFrame) -> DataFrame:
+    """Gaps as ranges to join by."""
+    return gaps.select(F.col("path").alias("file"), F.col("start").alias("s"), F.col("stop").alias("e"), "path", "start", "stop")
+
+
+def _points(files: DataFrame) -> DataFrame:
+    """The lines of files (path, text) as ranges of one line."""
+    x = files.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("i", "x"))
+    line = (F.col("i") + 1).cast("long")
+    return x.select("file", line.alias("p_s"), line.alias("p_e"), "x")
+
+
 def cut(spans: DataFrame, boundaries: DataFrame, least: int = 3) -> DataFrame:
     """Spans (path, start, stop) cut where a definition (path, line) begins inside; pieces of fewer lines go."""
-    b = boundaries.select("path", F.col("line").alias("start_"))
-    inner = spans.join(b, "path").filter((F.col("start_") > F.col("start")) & (F.col("start_") <= F.col("stop"))).select("path", "start", "stop", F.col("start_").alias("at"))
+    points = boundaries.select(F.col("path").alias("file"), F.col("line").alias("p_s"), F.col("line").alias("p_e"))
+    inner = ranges.contained(_outer(spans), points).filter("p_s > start").select("path", "start", "stop", F.col("p_s").alias("at"))
     starts = spans.select("path", "start", "stop", F.col("start").alias("at")).unionAll(inner).distinct()
     after = F.lead("at").over(Window.partitionBy("path", "start", "stop").orderBy("at"))
     return starts.select("path", F.col("at").alias("start"), F.coalesce(after - 1, F.col("stop")).alias("stop")).filter(F.col("stop") - F.col("start") + 1 >= least)
@@ -26,10 +39,30 @@ def cut(spans: DataFrame, boundaries: DataFrame, least: int = 3) -> DataFrame:
 
 def described(gaps: DataFrame, files: DataFrame, exported: str, comment: str, failing: str) -> DataFrame:
     """Adds, from the file's lines (path, text): exported and commented (any line of the gap), the share of failing lines, arguments (commas + 1)."""
-    g = gaps.join(files.select("path", F.split("text", "\n").alias("lines")), "path")
-    own = g.select("path", "start", "stop", F.slice("lines", F.col("start").cast("int"), (F.col("stop") - F.col("start") + 1).cast("int")).alias("own"))
-    joined = F.array_join("own", "\n")
-    return own.select("path", "start", "stop", F.exists("own", lambda x: x.rlike(exported)).alias("exported"), F.exists("own", lambda x: x.rlike(comment)).alias("commented"), (F.size(F.filter("own", lambda x: x.rlike(failing))) / F.size("own")).alias("failing"), (F.length(joined) - F.length(F.replace(joined, F.lit(","), F.lit(""))) + 1).alias("surface"))
+    x = ranges.contained(_outer(gaps), _points(files))
+    commas = F.length("x") - F.length(F.replace("x", F.lit(","), F.lit("")))
+    hit = lambda pattern: F.col("x").rlike(pattern)
+    return x.groupBy("path", "start", "stop").agg(F.bool_or(hit(exported)).alias("exported"), F.bool_or(hit(comment)).alias("commented"), (F.count_if(hit(failing)) / F.count("*")).alias("failing"), (F.sum(commas) + 1).cast("int").alias("surface"))
+
+
+def fan_in(symbols: DataFrame, lines: DataFrame) -> DataFrame:
+    """path, start, stop, fan_in of gaps from their symbols (path, start, stop, name) and the files' lines (path, line, x).
+
+    It is the number of times that the symbols' names stand as words in the file outside the gap, at least the number of
+    symbols. Words are indexed by their places once; those inside a gap are found by a range join under (file, name), and
+    taken off the file's count.
+    """
+    names = symbols.select("path", "name").distinct()
+    word = lines.select("path", "line", F.explode(F.regexp_extract_all("x", F.lit("([A-Za-z0-9_]+)"), 1)).alias("name"))
+    index = word.join(names, ["path", "name"], "left_semi")
+    key = F.struct("path", "name")
+    total = index.groupBy("path", "name").agg(F.count("*").alias("total"))
+    outer = symbols.select("path", "start", "stop", "name").distinct().select(key.alias("file"), F.col("start").alias("s"), F.col("stop").alias("e"), "path", "start", "stop", "name")
+    inside = ranges.contained(outer, index.select(key.alias("file"), F.col("line").alias("p_s"), F.col("line").alias("p_e"))).groupBy("path", "start", "stop", "name").agg(F.count("*").alias("inside"))
+    n = symbols.groupBy("path", "start", "stop", "name").agg(F.count("*").alias("times"))
+    x = n.join(total, ["path", "name"], "left").join(inside, ["path", "start", "stop", "name"], "left")
+    rest = F.coalesce("total", F.lit(0)) - F.coalesce("inside", F.lit(0))
+    return x.groupBy("path", "start", "stop").agg(F.greatest(F.sum(rest * F.col("times")), F.sum("times")).alias("fan_in"))
 
 
 def scores(gaps: DataFrame) -> DataFrame:
@@ -63,8 +96,6 @@ def estimated(uncovered: Column, real: Column, form: Column) -> Column:
 
 def entity_coverage(entities: DataFrame, gaps: DataFrame) -> DataFrame:
     """100 (1 - overlap / loc) of each entity (id, file, s, e) by its worst gap (file, s2, e2)."""
-    from tallgrass.operators import ranges
-
     met = ranges.overlapping(entities, gaps)
     shared = F.least("e", "e2") - F.greatest("s", "s2") + 1
     return met.groupBy("id").agg(F.min(100 * (1 - shared / (F.col("e") - F.col("s") + 1))).alias("percent"))
@@ -72,8 +103,6 @@ def entity_coverage(entities: DataFrame, gaps: DataFrame) -> DataFrame:
 
 def context(files: DataFrame, gaps: DataFrame, around: int = 2) -> DataFrame:
     """The lines of each gap and some around it, each with its number."""
-    g = gaps.join(files.select("path", F.split("text", "\n").alias("lines")), "path")
-    first = F.greatest(F.col("start") - around, F.lit(1))
-    last = F.least(F.col("stop") + around, F.size("lines"))
-    numbered = F.transform(F.slice("lines", first.cast("int"), (last - first + 1).cast("int")), lambda x, i: F.concat((first + i).cast("string"), F.lit(": "), x))
-    return g.select("path", "start", "stop", F.array_join(numbered, "\n").alias("shown"))
+    wide = gaps.select(F.col("path").alias("file"), F.greatest(F.col("start") - around, F.lit(1)).alias("s"), (F.col("stop") + around).alias("e"), "path", "start", "stop")
+    x = ranges.contained(wide, _points(files)).groupBy("path", "start", "stop").agg(F.sort_array(F.collect_list(F.struct("p_s", "x"))).alias("l"))
+    return x.select("path", "start", "stop", F.array_join(F.transform("l", lambda r: F.concat(r["p_s"].cast("string"), F.lit(": "), r["x"])), "\n").alias("shown"))

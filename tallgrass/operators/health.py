@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallgrass.functions.scores import clamp
+from tallgrass.session import written
 
 #: Weights of maintainability, structure, complexity, debt and documentation.
 WEIGHTS = (0.28, 0.25, 0.18, 0.19, 0.10)
@@ -103,3 +106,30 @@ def gate_severity(value: Column, threshold: Column) -> Column:
 def worst_files(candidates: DataFrame, k: int = 5) -> DataFrame:
     """The first files by (priority, score) of their worst candidate (file, rank, overall); a report of k rows."""
     return candidates.groupBy("file").agg(F.max(F.struct("rank", "overall")).alias("w")).select("file", "w.rank", "w.overall").orderBy(F.desc("rank"), F.desc("overall"), "file").limit(k)
+
+
+def folder_tree(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """Each folder (path, health or null) with its health, and those of its children that count, worked out from the leaves up.
+
+    files (path, health) are children of the folder that their path names. A folder without a health of its own has the
+    mean of its children's healths above 0, or 0 if it has none; folders' computed healths count for their parents, so
+    levels follow one another from the deepest to the highest, each in one join of one level's rows. Folders that only
+    files or other folders' paths name are not added; a path is given once.
+    """
+    depth = F.size(F.split("path", "/"))
+    up = F.regexp_replace("path", "/?[^/]*$", "")
+    d = written(folders.select("path", "health", depth.alias("depth"), up.alias("up")), "folders")
+    scores = files.filter("health > 0").groupBy(up.alias("path")).agg(F.sum("health").alias("s"), F.count("*").alias("c"))
+    scores = written(scores, "scores")
+    made, below, most = [], None, d.agg(F.max("depth")).first()[0] or 0
+    for level in range(most, 0, -1):
+        x = d.filter(F.col("depth") == level).join(scores, "path", "left").select("path", "up", "health", F.coalesce("s", F.lit(0.0)).alias("s"), F.coalesce("c", F.lit(0)).alias("c"))
+        if below is not None:
+            b = below.filter("health > 0").groupBy(F.col("up").alias("path")).agg(F.sum("health").alias("s2"), F.count("*").alias("c2"))
+            x = x.join(b, "path", "left").select("path", "up", "health", (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("s"), (F.col("c") + F.coalesce("c2", F.lit(0))).alias("c"))
+        mean = F.when(F.col("c") > 0, F.col("s") / F.col("c")).otherwise(0.0)
+        below = written(x.select("path", "up", F.coalesce("health", mean).alias("health"), F.col("c").alias("children"), F.col("health").isNull().alias("computed")), "level")
+        made.append(below)
+    if not made:
+        return d.select("path", "health", F.lit(0).cast("long").alias("children"), F.lit(False).alias("computed"))
+    return reduce(DataFrame.unionAll, made).select("path", "health", "children", "computed")

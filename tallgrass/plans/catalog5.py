@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.operators import division, docscan, imports, layout, lsh, trees
+from tallgrass.operators import division, docscan, gaps, health, imports, layout, lsh, trees
 from tallgrass.plans.catalog import query, rounded
+from tallgrass.plans.catalog4 import GAPS, doc_gaps
 from tallgrass.session import spread, table, written
+from tallgrass.sources import files, reports
 
 # ---- trees ----------------------------------------------------------------------------------------------------------
 
@@ -200,3 +202,96 @@ def doc_scan(spark, sf):
 @query(f"WITH {DOC_LINES} SELECT path, count(*) FILTER (state = 'missing') AS missing, count(*) FILTER (state = 'incomplete') AS incomplete, count(*) FILTER (state = 'present') AS present FROM ds GROUP BY path")
 def doc_scan_gaps(spark, sf):
     return docscan.gaps(doc_scan(spark, sf))
+
+
+# ---- coverage reports, discovery, report tree ------------------------------------------------------------------------
+
+
+def order_reports(spark, sf):
+    """Each order as a coverage report of its lines, in five formats by turns; of every fifty orders two reports are cut off."""
+    li = table(spark, sf, "lineitem")
+    k, n, h = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity").cast("long") % 5
+    q = F.concat(F.lit("p"), F.col("l_suppkey") % 7, F.lit(".py"))
+    say = lambda *x: F.concat(*[F.lit(c) if isinstance(c, str) else c.cast("string") for c in x])
+    condition = F.when(n % 3 == 0, ' branch="true" condition-coverage="50% (1/2)"').otherwise("")
+    part = F.when(k % 5 == 0, say("SF:src/", q, "\nDA:", n, ",", h, "\nend_of_record\n")).when(k % 5 == 1, say('<class name="k" filename="./src/', q, '"><lines><line number="', n, '" hits="', h, '"', condition, "/></lines></class>"))
+    part = part.when(k % 5 == 2, say('<sourcefile name="', q, '"><line nr="', n, '" mi="', n % 2, '" ci="', h, '" mb="0" cb="0"/></sourcefile>')).when(k % 5 == 3, say('{"path":["src","', q, '"],"traces":[{"line":', n, ',"stats":{"Line":', h, "}}]}")).otherwise(say('"', n, '":{"path":"src\\\\', q, '","l":{"', n, '":', h, "}}"))
+    o = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(n, part.alias("part")))).alias("parts"))  # an order has seven lines at most
+    sep = F.when(k % 5 >= 3, ",").otherwise("")
+    body = F.when(k % 5 >= 3, F.expr("substr(body, 1, length(body) - 1)")).otherwise(F.col("body"))
+    o = o.select("l_orderkey", F.array_join(F.transform("parts", lambda p: F.concat(p["part"], sep)), "").alias("body")).select("l_orderkey", body.alias("body"))
+    text = F.when(k % 5 == 0, say("TN:\n", F.col("body"))).when(k % 5 == 1, say('<?xml version="1.0"?><coverage branch-rate="1"><packages><package name="a"><classes>', F.col("body"), "</classes></package></packages></coverage>"))
+    text = text.when(k % 5 == 2, say('<?xml version="1.0"?><report name="r"><package name="src">', F.col("body"), "</package></report>")).when(k % 5 == 3, say('{"files":[', F.col("body"), "]}")).otherwise(say("{", F.col("body"), "}"))
+    name = F.concat(F.lit("r/"), k, F.element_at(F.array(*[F.lit(x) for x in ("/lcov.info", "/cobertura.xml", "/jacoco.xml", "/t.json", "/i.json")]), (k % 5 + 1).cast("int")))
+    whole = o.select("l_orderkey", name.alias("report"), text.alias("text"))
+    return whole.select("report", F.when((k % 50).isin(1, 2), F.expr("substr(text, 1, length(text) - 12)")).otherwise(F.col("text")).alias("content"))
+
+
+REPORT = "'r/' || l_orderkey || ['/lcov.info', '/cobertura.xml', '/jacoco.xml', '/t.json', '/i.json'][l_orderkey % 5 + 1]"
+FORMAT = "['lcov', 'cobertura', 'jacoco', 'tarpaulin', 'istanbul'][l_orderkey % 5 + 1]"
+
+
+@query(f"""WITH x AS (SELECT *, trunc(l_quantity)::BIGINT % 5 AS h FROM lineitem WHERE l_orderkey % 50 NOT IN (1, 2)), y AS (SELECT {REPORT} AS report, {FORMAT} AS format, 'src/p' || l_suppkey % 7 || '.py' AS file, l_linenumber::BIGINT AS line, CASE WHEN l_orderkey % 5 = 1 AND l_linenumber % 3 = 0 THEN greatest(h, 1) ELSE h END AS hits, l_orderkey % 5 = 2 AND l_linenumber % 2 = 1 AS missed FROM x)
+SELECT report, format, file, line, max(hits) AS hits, bool_or(hits > 0 AND NOT missed) AS covered FROM y GROUP BY report, format, file, line""")
+def coverage_reports(spark, sf):
+    """Lines of coverage reports of five formats, read from their texts."""
+    return reports.lines(order_reports(spark, sf))
+
+
+@query(f"SELECT DISTINCT {REPORT} AS report, {FORMAT} AS format, 'damaged' AS reason FROM lineitem WHERE l_orderkey % 50 IN (1, 2)")
+def coverage_report_failures(spark, sf):
+    return reports.failures(order_reports(spark, sf))
+
+
+def deep_files(spark, sf):
+    """Customers as files of a tree that is up to ten folders deep."""
+    k = F.col("c_custkey")
+    bits = F.transform(F.sequence(F.lit(1), (k % 10 + 1).cast("int")), lambda i: F.concat(F.element_at(F.array(*[F.lit(x) for x in ("a", "b", "tmp", "gen")]), ((k / F.pow(F.lit(2), i)).cast("long") % 4 + 1).cast("int")), (k / F.pow(F.lit(3), i)).cast("long") % 2))
+    end = F.element_at(F.array(*[F.lit(x) for x in (".py", ".log", ".md")]), (k % 3 + 1).cast("int"))
+    return table(spark, sf, "customer").select(F.concat(F.array_join(bits, "/"), F.lit("/f"), k, end).alias("path"), k.alias("size"))
+
+
+DEEP = """df AS (SELECT c_custkey AS k, array_to_string(list_transform(generate_series(1, c_custkey % 10 + 1), lambda i: ['a', 'b', 'tmp', 'gen'][trunc(c_custkey / pow(2, i))::BIGINT % 4 + 1] || (trunc(c_custkey / pow(3, i))::BIGINT % 2)), '/') AS dir FROM customer),
+fi AS (SELECT k, dir, dir || '/f' || k || ['.py', '.log', '.md'][k % 3 + 1] AS path FROM df)"""
+
+
+@query(f"""WITH {DEEP}, st AS (SELECT path, string_split(path, '/') AS ps FROM fi), en AS (SELECT DISTINCT path, array_to_string(ps[1:i], '/') AS step, i < len(ps) AS folder FROM (SELECT path, ps, unnest(generate_series(1, len(ps))) AS i FROM st)),
+ru AS (SELECT * FROM (VALUES ('', 1, '(?:.*/)?[^/]*\\.log', FALSE, FALSE), ('', 2, '(?:.*/)?f[^/]*5\\.log', TRUE, FALSE), ('', 3, '(?:.*/)?tmp1', FALSE, TRUE), ('', 4, 'gen0/.*', FALSE, FALSE), ('', 5, 'gen0/a0', TRUE, FALSE)) AS v(dir, n, p, allow, fo)
+UNION ALL SELECT d, 1, 'tmp0', FALSE, FALSE FROM (SELECT DISTINCT dir AS d FROM fi WHERE length(dir) <= 2) UNION ALL SELECT d, 2, '(?:.*/)?[^/]*7\\.md', FALSE, FALSE FROM (SELECT DISTINCT dir AS d FROM fi WHERE length(dir) <= 2)),
+hit AS (SELECT DISTINCT step, folder, dir, n, allow FROM (SELECT DISTINCT step, folder FROM en) e JOIN ru ON (dir = '' OR starts_with(step, dir || '/')) AND (NOT fo OR folder) AND regexp_full_match(CASE WHEN dir = '' THEN step ELSE substr(step, length(dir) + 2) END, p)),
+ve AS (SELECT step, arg_max(allow, len(string_split(dir, '/')) * 100 * (dir <> '')::INT + n) AS allow FROM hit GROUP BY step)
+SELECT path, k AS size FROM fi WHERE NOT EXISTS (SELECT 1 FROM en JOIN ve USING (step) WHERE en.path = fi.path AND NOT ve.allow)""")
+def ignored_files(spark, sf):
+    """Files that the ignore rules of the root and of the highest folders leave."""
+    f = deep_files(spark, sf)
+    high = f.select(F.regexp_replace("path", "/[^/]*$", "").alias("dir")).filter("length(dir) <= 2").distinct().select("dir", F.lit("/tmp0\n*7.md\n").alias("text"))
+    root = spark.createDataFrame([("", "# rules\n*.log\n!f*5.log\ntmp1/\n\n/gen0/**\n!gen0/a0\n")], "dir string, text string")
+    return files.not_ignored(f, files.ignore_rules(root.unionAll(high)))
+
+
+_LEVELS = ", ".join(f"t{k} AS (SELECT d.path, coalesce(d.health, s / nullif(c, 0), 0) AS health, c AS children, d.health IS NULL AS computed FROM (SELECT d.path, d.health, coalesce(sum(x.health), 0) AS s, count(x.health) AS c FROM fo d LEFT JOIN (SELECT dir, health FROM fh{'' if k == 10 else f' UNION ALL SELECT regexp_replace(path, chr(47) || chr(63) || chr(91) || chr(94) || chr(47) || chr(93) || chr(42) || chr(36), {chr(39) * 2}), health FROM t{k + 1}'}) x ON x.dir = d.path AND x.health > 0 WHERE d.depth = {k} GROUP BY 1, 2) d)" for k in range(10, 0, -1))
+
+
+@query(f"""WITH {DEEP}, fh AS (SELECT dir, (k % 11) / 10 AS health FROM fi), st AS (SELECT DISTINCT string_split(dir, '/') AS ps FROM fi), fp AS (SELECT DISTINCT array_to_string(ps[1:i], '/') AS path, i AS depth FROM (SELECT ps, unnest(generate_series(1, len(ps))) AS i FROM st)),
+fo AS (SELECT path, depth, CASE WHEN strlen(path) % 4 = 0 THEN (strlen(path) % 7) / 7 END AS health FROM fp), {_LEVELS}
+SELECT path, round(health, 6) AS health, children, computed FROM ({' UNION ALL '.join(f'SELECT * FROM t{k}' for k in range(1, 11))})""")
+def report_tree(spark, sf):
+    """Folders of the tree with their healths, those without one worked out from the leaves."""
+    f = deep_files(spark, sf)
+    own = f.select("path", ((F.col("size") % 11) / 10).alias("health"))
+    parts = F.split(F.regexp_replace("path", "/[^/]*$", ""), "/")
+    d = f.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("path")).distinct()
+    n = F.length("path")
+    return rounded(health.folder_tree(d.select("path", F.when(n % 4 == 0, (n % 7) / 7).alias("health")), own))
+
+
+@query(f"""WITH {GAPS}, sy AS (SELECT dg.path, start, stop, regexp_extract(x, '([A-Za-z0-9_]+)', 1) AS name FROM dg JOIN dl ON dl.path = dg.path AND line BETWEEN start AND start + 1), sn AS (SELECT path, start, stop, name, count(*) AS times FROM sy WHERE name <> '' GROUP BY 1, 2, 3, 4),
+wo AS (SELECT path, line, unnest(regexp_extract_all(x, '([A-Za-z0-9_]+)', 1)) AS name FROM dl), oc AS (SELECT sn.path, start, stop, sn.name, max(times) AS times, count(line) FILTER (line NOT BETWEEN start AND stop) AS rest FROM sn LEFT JOIN wo ON wo.path = sn.path AND wo.name = sn.name GROUP BY 1, 2, 3, 4)
+SELECT path, start, stop, greatest(sum(times * rest), sum(times))::BIGINT AS fan_in FROM oc GROUP BY 1, 2, 3""")
+def gap_fan_in(spark, sf):
+    """Fan-in of gaps: how often the first words of their first two lines stand elsewhere in the document."""
+    x = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n")).alias("i", "x")).select("path", (F.col("i") + 1).cast("long").alias("line"), "x")
+    g = doc_gaps(spark, sf)
+    at = g.select("path", "start", "stop", F.explode(F.array("start", F.col("start") + 1)).alias("line"))
+    s = at.join(x, ["path", "line"]).select("path", "start", "stop", F.regexp_extract("x", "([A-Za-z0-9_]+)", 1).alias("name")).filter("name <> ''")
+    return gaps.fan_in(s, x)
