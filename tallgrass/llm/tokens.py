@@ -16,7 +16,7 @@ from array import array
 from itertools import islice
 
 #: Pieces remembered by a worker, and how many of the first stay when the memory is full (frequent words come first).
-MOST, STAY = 900_000, 400_000
+MOST, STAY = 1_300_000, 1_000_000
 _UNEVEN = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 #: A word of Latin letters, with the space before it, and punctuation after it: the tokenizers cut it just there.
@@ -67,12 +67,11 @@ class Encoder:
                 out.append(b"".join(map(get, _BEFORE_SPACE.split(text))))
             else:
                 out.append(self._even(text))
-            for known in (self.known, self.after):
+            for known in (self.known, self.after, self.words):
                 if len(known) > MOST:
                     first = dict(islice(known.items(), STAY))
                     known.clear()
                     known.update(first)
-                    self.words.clear()
         return out
 
     def _piece(self, piece: str | bytes) -> bytes:
