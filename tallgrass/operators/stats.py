@@ -20,14 +20,27 @@ def moments(features: DataFrame) -> DataFrame:
     return features.groupBy("feature").agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.coalesce(F.var_samp(v), F.lit(0.0)).alias("variance"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"))
 
 
+def counts(features: DataFrame) -> DataFrame:
+    """(feature, value, c, part): the distinct values of each feature counted and dealt out by range, as a table."""
+    c = features.groupBy("feature", "value").agg(F.count("*").alias("c"))
+    return _dealt(c)
+
+
+def _dealt(c: DataFrame) -> DataFrame:
+    return written(c.repartitionByRange("feature", "value").withColumn("part", F.spark_partition_id()), "counts")
+
+
 def quantiles(features: DataFrame, shares: dict[str, float]) -> DataFrame:
-    """Exact quantiles by linear interpolation at share * (n - 1): feature and a column for each name.
+    """Exact quantiles by linear interpolation at share * (n - 1): feature and a column for each name."""
+    return counted_quantiles(counts(features), shares)
+
+
+def counted_quantiles(c: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """The same from counts().
 
-    Distinct values are counted and dealt out by range; each part's running counts, moved by the counts of the parts before
-    it (a row for each part and feature), are ranks, so that no task holds a feature's values.
+    Each part's running counts, moved by the counts of the parts before it (a row for each part and feature), are ranks, so
+    that no task holds a feature's values.
     """
-    c = features.groupBy("feature", "value").agg(F.count("*").alias("c")).repartitionByRange("feature", "value")
-    c = written(c.withColumn("part", F.spark_partition_id()), "counts")
     parts = c.groupBy("feature", "part").agg(F.sum("c").alias("in_part"))
     before = parts.select("feature", "part", (F.sum("in_part").over(Window.partitionBy("feature").orderBy("part")) - F.col("in_part")).alias("before"), F.sum("in_part").over(Window.partitionBy("feature")).alias("n"))
     upto = F.sum("c").over(Window.partitionBy("feature", "part").orderBy("value"))
@@ -45,10 +58,19 @@ def quantiles(features: DataFrame, shares: dict[str, float]) -> DataFrame:
 
 
 def fit(features: DataFrame) -> DataFrame:
-    """n, mean, variance, std, min, max, median, q1, q3, iqr and mad of each feature."""
-    q = written(quantiles(features, {"q1": 0.25, "median": 0.5, "q3": 0.75}), "quartiles")  # one row for each feature
-    away = features.join(q, "feature").select("feature", F.abs(F.col("value") - F.col("median")).alias("value"))
-    return moments(features).join(q.withColumn("iqr", F.col("q3") - F.col("q1")), "feature").join(quantiles(away, {"mad": 0.5}), "feature")
+    """n, mean, variance, std, min, max, median, q1, q3, iqr and mad of each feature, all from one table of counts."""
+    c = counts(features)
+    v, w = F.col("value"), F.col("c")
+    q = counted_quantiles(c, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    m = c.groupBy("feature").agg(F.sum("c").alias("n"), (F.sum(v * w) / F.sum("c")).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    one = written(q.join(m, "feature"), "quartiles")  # one row for each feature
+    held = c.join(one.select("feature", "mean", "median"), "feature")
+    spread = held.groupBy("feature").agg(F.sum(w * (v - F.col("mean")) * (v - F.col("mean"))).alias("squares"))
+    away = held.groupBy("feature", F.abs(v - F.col("median")).alias("value")).agg(F.sum("c").alias("c"))
+    variance = F.when(F.col("n") > 1, F.col("squares") / (F.col("n") - 1)).otherwise(0.0)
+    s = one.join(spread, "feature").withColumn("variance", variance).withColumn("std", F.sqrt("variance"))
+    s = s.join(counted_quantiles(_dealt(away), {"mad": 0.5}), "feature")
+    return s.select("feature", "n", "mean", "variance", "std", "min", "max", "q1", "median", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), "mad")
 
 
 def scaled(x: Column, low: Column, high: Column, empty: float = 0.5) -> Column:

@@ -366,7 +366,8 @@ def module_graph(spark, sf):
     return graph.rolled_up(e, c.unionAll(s))
 
 
-STOP = "fn function def let var const class struct impl interface return true false null none self this super from use import mod pub private protected static async await match with case switch elif else for while".split()
+#: Words of programming languages that tell nothing of an entity.
+STOP = "fn function def let var const class struct impl interface return true false null none self this int float string bool public private protected static async await match loop while for if else elif case switch".split()
 DOC_TOKENS = f"""rn AS (SELECT doc_id AS id, unnest(r) AS w, unnest(generate_series(1, len(r))) AS i FROM (SELECT doc_id, list_transform(regexp_extract_all(lower(text), '([a-z0-9_]+)', 1), lambda w: trim(substr(w, 1, 64), '_')) AS r FROM documents)), fi AS (SELECT id, w, min(i) AS i FROM rn WHERE length(w) >= 3 AND w NOT IN ('{"', '".join(STOP)}') GROUP BY 1, 2), bt AS (SELECT id, w AS token FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM fi) WHERE k <= 128)"""
 
 

@@ -162,15 +162,3 @@ def sonar_issues(spark, sf):
     d = table(spark, sf, "documents").filter("n_chars > 2000")
     sev = F.when(F.col("n_chars") > 8000, "High").when(F.col("n_chars") > 5000, "Medium").otherwise("Low")
     return d.select("doc_id", sev.alias("severity")).withColumn("sonar", sonar_severity(F.col("severity")))
-
-
-@query()
-def html_structure(spark, sf):
-    """Decision-like nesting of pages: elements, deepest nesting and distinct tags, from a parser in Arrow batches."""
-    return parsers.html_tree(table(spark, sf, "pages").select("page_id", "html"))
-
-
-@query()
-def python_entities(spark, sf):
-    """Functions and classes of the benchmark's and documents' texts that parse as Python (id, kind, name, lines, points)."""
-    return parsers.python_entities(entities(spark, sf).select(F.col("id"), "text"))

@@ -99,11 +99,6 @@ def grade_ladder(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", complexity.grade(F.col("l_quantity"), F.lit(15), F.lit(30), F.lit(40), F.lit(45)).alias("grade"))
 
 
-@query("SELECT * FROM (VALUES ('cyclomatic', 5.0::DOUBLE, 10.0::DOUBLE, 15.0::DOUBLE, 25.0::DOUBLE), ('cognitive', 5, 15, 25, 50), ('nesting', 2, 4, 6, 10), ('parameters', 3, 5, 8, 12), ('file_length', 100, 300, 500, 1000), ('function_length', 15, 30, 50, 100)) t(metric, low, medium, high, very_high)")
-def complexity_thresholds(spark, sf):
-    return complexity.thresholds(spark)
-
-
 @query(f"WITH {MEASURED} SELECT round(avg(cyclomatic), 6) AS mean_cyclomatic, round(avg(cognitive), 6) AS mean_cognitive, round(avg(debt), 6) AS mean_debt, round(avg(maintainability), 6) AS mean_maintainability, count(*) AS entities FROM me")
 def complexity_averages(spark, sf):
     return rounded(complexity.averages(measured(spark, sf)))

@@ -1,12 +1,7 @@
-"""Report and source parsers: LCOV and coverage JSON with built-in functions; trees in Arrow batches."""
+"""Lines of coverage reports that are read already; reports.py reads whole reports from their texts."""
 
 from __future__ import annotations
 
-import ast
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,60 +42,3 @@ def cobertura(lines: DataFrame) -> DataFrame:
     c = F.coalesce(F.regexp_extract("condition", r"\(([0-9]+)/", 1).try_cast("long"), F.lit(0))
     hits = F.greatest(F.col("hits"), c)
     return lines.select("path", F.col("number").alias("line"), hits.alias("hits"), (hits > 0).alias("covered"))
-
-
-class _Tree(HTMLParser):
-    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-
-    def __init__(self):
-        super().__init__()
-        self.elements, self.deepest, self.tags, self.open = 0, 0, set(), []
-
-    def handle_starttag(self, tag, attrs):
-        self.elements += 1
-        self.tags.add(tag)
-        if tag not in self.VOID:
-            self.open.append(tag)
-        self.deepest = max(self.deepest, len(self.open))
-
-    def handle_endtag(self, tag):
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
-
-
-def html_tree(pages: DataFrame) -> DataFrame:
-    """(page_id, html) -> page_id, elements, deepest, tags."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, html in zip(b.page_id, b.html):
-                t = _Tree()
-                t.feed(html or "")
-                rows.append((i, t.elements, t.deepest, len(t.tags)))
-            yield pd.DataFrame(rows, columns=["page_id", "elements", "deepest", "tags"])
-
-    return pages.mapInPandas(run, "page_id long, elements long, deepest long, tags long")
-
-
-_POINTS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Try, ast.IfExp, ast.BoolOp, ast.Match)
-
-
-def python_entities(files: DataFrame) -> DataFrame:
-    """(id, text) -> id, kind, name, start, stop, points: functions and classes of texts that are Python; others give none."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, text in zip(b.id, b.text):
-                try:
-                    tree = ast.parse(text or "")
-                except (SyntaxError, ValueError, RecursionError, MemoryError):
-                    continue
-                for n in ast.walk(tree):
-                    if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-                        rows.append((i, "class" if isinstance(n, ast.ClassDef) else "function", n.name, n.lineno, n.end_lineno, sum(isinstance(x, _POINTS) for x in ast.walk(n))))
-            yield pd.DataFrame(rows, columns=["id", "kind", "name", "start", "stop", "points"])
-
-    return files.select("id", "text").mapInPandas(run, "id long, kind string, name string, start long, stop long, points long")

@@ -51,8 +51,6 @@ def test_parsers(spark):
     assert sorted((x.path, x.line, x.hits, x.covered) for x in r.collect()) == [("lib/moon.go", 1, 0, False), ("lib/tide.go", 7, 12, True), ("lib/tide.go", 9, 0, False), ("lib/tide.go", 11, 3, True)]
     r = parsers.istanbul(spark.createDataFrame([('{"web/sail.ts":{"path":"web/sail.ts","l":{"14":5,"20":0,"21":1}}}',)], "content string"))
     assert sorted((x.line, x.covered) for x in r.collect()) == [(14, True), (20, False), (21, True)]
-    r = parsers.python_entities(spark.createDataFrame([(1, "class A:\n  def f(self):\n    if x: pass\n"), (2, "not python at all")], "id long, text string"))
-    assert sorted((x.kind, x.name, x.points) for x in r.collect()) == [("class", "A", 1), ("function", "f", 1)]
 
 
 def test_files_and_budgets(spark):
