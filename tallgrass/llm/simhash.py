@@ -10,6 +10,7 @@ Links found in one tile pair are sent on as a spanning forest, never as all pair
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import partial
@@ -311,8 +312,12 @@ def _candidates(units: DataFrame, radius: int, similar: Fraction, tile: int, mos
     num, den = similar.numerator, similar.denominator
     tiles = written(_set_tiles(units, tile), "tiles")
     meta = tiles.drop("data")
-    other = meta.select(*[F.col(c).alias(f"_{c}") for c in meta.columns])
-    pairs = written(meta.join(F.broadcast(other), (F.col("tile") <= F.col("_tile")) & (F.col("hi") * den >= F.col("_lo") * num) & (F.col("_hi") * den >= F.col("lo") * num)).select("tile", "_tile"), "tilepairs")
+    # sizes by steps of the similarity: sets that may be similar stand at most one step apart (two, for rounding)
+    step = lambda c: F.floor(F.ln(F.col(c).cast("double")) / math.log(den / num)).cast("int")
+    low = meta.select("*", F.explode(F.sequence(step("lo"), step("hi"))).alias("step"))
+    high = meta.select(*[F.col(c).alias(f"_{c}") for c in meta.columns]).select("*", F.explode(F.sequence(step("_lo") - 2, step("_hi") + 2)).alias("step"))
+    fits = (F.col("tile") <= F.col("_tile")) & (F.col("hi") * den >= F.col("_lo") * num) & (F.col("_hi") * den >= F.col("lo") * num)
+    pairs = written(low.join(high, "step").filter(fits).select("tile", "_tile").distinct(), "tilepairs")
     sides = pairs.join(tiles.select("tile", "data"), "tile").join(tiles.select(F.col("tile").alias("_tile"), F.col("data").alias("_data")), "_tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +327,8 @@ def _candidates(units: DataFrame, radius: int, similar: Fraction, tile: int, mos
                 found = set_candidates(np.frombuffer(a, _UNIT), np.frombuffer(b, _UNIT), p == q, radius, similar, most)
                 yield pa.RecordBatch.from_arrays([pa.array(z) for z in found], ["x", "y", "more"])
 
-    spread = sides.select("tile", "_tile", "data", "_data").repartition(min(2048, max(1, pairs.count())), "tile", "_tile")
+    n = pairs.count()
+    spread = sides.select("tile", "_tile", "data", "_data").repartition(max(1, min(n, 2048), -(-n // 64)), "tile", "_tile")
     return spread.mapInArrow(run, _PAIR)
 
 
