@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of documents;
 the last returns the pieces of the packed sequences. Between stages the documents are a Parquet table in the shared
 folder, so a lost executor costs a stage at most.
+
+In every stage rows with a null or repeated doc_id stay rows of their own, columns other than doc_id and text are carried
+along, and an empty table gives an empty one. Null and empty texts have no words, so the first stage leaves them out;
+given to a later stage by itself they are kept by the line stage, are near-duplicates of each other, hold no benchmark
+item, and are packed as their end mark alone.
 """
 
 from __future__ import annotations
