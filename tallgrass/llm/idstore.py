@@ -133,7 +133,9 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2, ke
 
     schema = "chunk binary, n int, ids binary, refs array<struct<row: long, doc_id: long, seq: int>>"
     raw = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut_up, schema)
-    raw.repartition("chunk").mapInArrow(once, schema).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    # tasks as many as the input has, so that what each holds of the hashes does not grow with the data
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    raw.repartition(tasks, "chunk").mapInArrow(once, schema).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
     spark = docs.sparkSession
     held = spark.read.parquet(f"{path}/chunks").select("chunk", "n", F.explode("refs").alias("r")).select("r.*", "chunk", "n")
