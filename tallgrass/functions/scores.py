@@ -84,3 +84,13 @@ def lognormal_health(x: Column, mode: float, p95: float) -> Column:
     mu, s = lognormal_parameters(mode, p95)
     cdf = 0.5 * (1 + erf((F.ln(x) - mu) / (s * math.sqrt(2))))
     return F.when(x <= 0, 1.0).otherwise(1 - cdf)
+
+
+def lognormal_density(x: Column, mode: float, p95: float) -> Column:
+    """The log-normal density at x over that at its mode, within [0, 1]; 0 where x, the mode or the spread is none, but 1 at the mode."""
+    if mode <= 0 or p95 <= mode:
+        return F.when(x == mode, 1.0).otherwise(0.0)
+    mu, s = lognormal_parameters(mode, p95)
+    centred = F.ln(F.when(x > 0, x)) - mu
+    d = mode / F.when(x > 0, x) * F.exp(-0.5 * (centred * centred - s**4) / (s * s))
+    return F.when(x > 0, F.least(F.greatest(d, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)

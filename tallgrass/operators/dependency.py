@@ -82,3 +82,24 @@ def best_rank(found: DataFrame, key: str) -> DataFrame:
     """Of several targets (key, target, rank) the one of least rank, then name."""
     w = Window.partitionBy(key).orderBy("rank", "target")
     return found.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+
+
+def metrics_for(asked: DataFrame, metrics: DataFrame) -> DataFrame:
+    """asked (file, name, qualified, line) with the uid of the function in metrics (uid, file, name, qualified, line) that it means; null if none.
+
+    The function of the same file, names and line; else one of the same file whose qualified name, or else whose name, is
+    equal but for case: of several the least uid. Each step is an equi-join whose right side has one row a key.
+    """
+    def one(columns: dict[str, Column], rank: str) -> DataFrame:
+        return metrics.select(*[c.alias(f"_{k}") for k, c in columns.items()], "uid").groupBy(*[f"_{k}" for k in columns]).agg(F.min("uid").alias(rank))
+
+    out, ranks = asked, []
+    lower = {"file": F.col("file"), "qualified": F.lower("qualified")}
+    for rank, columns in (("exact", {k: F.col(k) for k in ("file", "name", "qualified", "line")}), ("by_path", lower), ("by_name", {"file": F.col("file"), "name": F.lower("name")})):
+        right, on = one(columns, rank), None
+        for k, c in columns.items():
+            hit = c == F.col(f"_{k}")
+            on = hit if on is None else on & hit
+        out = out.join(right, on, "left").drop(*[f"_{k}" for k in columns])
+        ranks.append(F.col(rank))
+    return out.select(*asked.columns, F.coalesce(*ranks).alias("uid"))

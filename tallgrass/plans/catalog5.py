@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallgrass.operators import division, docscan, gaps, health, imports, layout, lsh, trees
+from tallgrass.functions import scores
+from tallgrass.operators import dependency, division, docscan, gaps, health, imports, layout, lsh, trees
 from tallgrass.plans.catalog import query, rounded
 from tallgrass.plans.catalog4 import GAPS, doc_gaps
 from tallgrass.session import spread, table, written
@@ -295,3 +296,40 @@ def gap_fan_in(spark, sf):
     at = g.select("path", "start", "stop", F.explode(F.array("start", F.col("start") + 1)).alias("line"))
     s = at.join(x, ["path", "line"]).select("path", "start", "stop", F.regexp_extract("x", "([A-Za-z0-9_]+)", 1).alias("name")).filter("name <> ''")
     return gaps.fan_in(s, x)
+
+
+# ---- small ones -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT c_custkey // 3 AS grp, 'r' || n_regionkey || '/n' || n_nationkey || '/' || c_mktsegment || '/c' || c_custkey AS path FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT 1000000 + n_nationkey, 'r' || n_regionkey || '/n' || n_nationkey || '/' || c_mktsegment || '/c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
+s AS (SELECT grp, path, string_split(path, '/') AS ps, count(*) OVER (PARTITION BY grp) AS n FROM p), x AS (SELECT grp, n, path, i, array_to_string(ps[1:i], '/') AS pre FROM (SELECT *, unnest(generate_series(1, len(ps) - 1)) AS i FROM s)),
+y AS (SELECT grp, pre, i FROM x GROUP BY grp, pre, i, n HAVING count(DISTINCT path) = n) SELECT p.grp, coalesce(max(y.folder), '') AS folder FROM (SELECT DISTINCT grp FROM p) p LEFT JOIN (SELECT grp, arg_max(pre, i) AS folder FROM y GROUP BY grp) y USING (grp) GROUP BY p.grp""")
+def common_folders(spark, sf):
+    """The deepest folder above the files of three neighbouring customers, and of each nation's."""
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    path = F.concat(F.lit("r"), "n_regionkey", F.lit("/n"), "n_nationkey", F.lit("/"), "c_mktsegment", F.lit("/c"), "c_custkey")
+    groups = F.explode(F.array(F.floor(F.col("c_custkey") / 3).cast("long"), (F.col("n_nationkey") + 1000000).cast("long")))
+    return layout.common_folder(c.select(groups.alias("grp"), path.alias("path")), "grp")
+
+
+_MU, _S = scores.lognormal_parameters(2000, 6000)
+
+
+@query(f"SELECT doc_id, round(CASE WHEN n_chars > 0 THEN greatest(0, least(1, 2000 / n_chars * exp(-0.5::DOUBLE * (pow(ln(n_chars) - {_MU!r}::DOUBLE, 2) - {_S**4!r}::DOUBLE) / {_S * _S!r}::DOUBLE))) ELSE 0 END, 6) AS score FROM documents")
+def size_density(spark, sf):
+    """How near each document's size is to the best one, as the density of sizes over that at its mode."""
+    return table(spark, sf, "documents").select("doc_id", F.round(scores.lognormal_density(F.col("n_chars").cast("double"), 2000, 6000), 6).alias("score"))
+
+
+@query("""WITH f AS (SELECT p_partkey AS uid, p_brand AS file, 'F' || p_size AS name, p_type || '::F' || p_size AS qualified, p_partkey % 40 AS line FROM part),
+a AS (SELECT uid AS k, file, CASE uid % 3 WHEN 0 THEN name WHEN 1 THEN lower(name) ELSE 'f' || (uid % 60) END AS name, CASE uid % 3 WHEN 0 THEN qualified WHEN 1 THEN lower(qualified) ELSE 'other' END AS qualified, line FROM f)
+SELECT a.k, a.file, a.name, a.qualified, a.line, coalesce((SELECT min(uid) FROM f WHERE f.file = a.file AND f.name = a.name AND f.qualified = a.qualified AND f.line = a.line), (SELECT min(uid) FROM f WHERE f.file = a.file AND lower(f.qualified) = lower(a.qualified)), (SELECT min(uid) FROM f WHERE f.file = a.file AND lower(f.name) = lower(a.name))) AS uid FROM a""")
+def function_lookup(spark, sf):
+    """Functions looked up by all they are named by, else in their file whatever the case."""
+    k = F.col("p_partkey")
+    name, line = F.concat(F.lit("F"), "p_size"), (k % 40).cast("long")
+    f = table(spark, sf, "part").select(k.alias("uid"), F.col("p_brand").alias("file"), name.alias("name"), F.concat("p_type", F.lit("::F"), "p_size").alias("qualified"), line.alias("line"))
+    u = F.col("uid")
+    by = lambda a, b, c: F.when(u % 3 == 0, a).when(u % 3 == 1, b).otherwise(c)
+    asked = f.select(u.alias("k"), "file", by(F.col("name"), F.lower("name"), F.concat(F.lit("f"), u % 60)).alias("name"), by(F.col("qualified"), F.lower("qualified"), F.lit("other")).alias("qualified"), "line")
+    return dependency.metrics_for(asked, f)
