@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallgrass.session import written
+
 #: Receivers that name the own scope.
 OWN = ("self", "this", "cls", "super")
 
@@ -20,6 +22,55 @@ def suffixes(parts: Column) -> Column:
     return F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: i <= F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
 
 
+#: Lines of a step of distance, steps after which distance counts no more.
+STEP, STEPS = 25, 16
+#: What a caller and a function may have in common: nothing, the last part of the namespace, all of it, each also with the file.
+RELATIONS = tuple((file, space) for file in (False, True) for space in ("", "last", "all"))
+
+
+def _relations(file: Column, space: Column) -> Column:
+    """Array of (rel, file, space), one for each kind of relation that the place can have."""
+    text, none, last = F.lit(None).cast("string"), F.array().cast("array<string>"), F.try_element_at(space, F.lit(-1))
+    of = [F.struct(F.lit(k).alias("rel"), (file if f else text).alias("file"), {"": none, "last": F.array(last), "all": space}[s].alias("space")) for k, (f, s) in enumerate(RELATIONS)]
+    able = [(file.isNotNull() if f else F.lit(True)) & {"": F.lit(True), "last": last.isNotNull(), "all": space.isNotNull()}[s] for f, s in RELATIONS]
+    return F.filter(F.array(*[F.when(ok, x) for ok, x in zip(able, of)]), lambda x: x.isNotNull())
+
+
+def _nearest(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(uid, raw, key, dst): of each kind of relation with the functions under a call's key, the function of the least step of distance.
+
+    index (dst, key, full, d_file, space, d_line) and asked (uid, raw, key, s_file, space, s_line). Of equal steps the last by
+    file, line and dst is taken, as call_edges has it. Functions of a key are held once for each of their lines, callers
+    once for each of theirs, so no call meets all functions of its name.
+    """
+    on = lambda x: F.struct(F.col("key"), x, "r.rel", "r.file", "r.space").alias("g")
+    top = F.struct("d_file", "d_line", "dst")
+    # one row for a place and line first, then one for each relation it can have, those of the whole qualified name also on their own
+    held = index.groupBy("key", "full", "d_file", "space", "d_line").agg(F.max("dst").alias("dst"))
+    held = held.withColumn("r", F.explode(_relations(F.col("d_file"), F.col("space")))).withColumn("whole", F.explode(F.array_distinct(F.array(F.lit(False), "full"))))
+    lines = written(held.select(on(F.col("whole").alias("full")), F.col("d_line").alias("line"), top.alias("top")).groupBy("g", "line").agg(F.max("top").alias("top")), "lines")
+    best = lines.groupBy("g").agg(F.max("top").alias("top"))
+    wants = asked.withColumn("r", F.explode(_relations(F.col("s_file"), F.col("space")))).withColumn("whole", F.explode(F.array(F.lit(False), F.lit(True))))
+    wants = written(wants.select("uid", "raw", "key", on(F.col("whole").alias("full")), F.col("s_line").alias("line")), "wants")
+    places = wants.select("g", "line").distinct().join(best.select("g"), "g", "left_semi").filter("line is not null")
+    # the nearest lines before and after each caller's line
+    both = lines.filter("line is not null").select("g", "line", F.col("line").alias("at")).unionAll(places.select("g", "line", F.lit(None).cast(dict(lines.dtypes)["line"]).alias("at")))
+    tasks = 4 * index.sparkSession.sparkContext.defaultParallelism  # few bytes, but much work for each
+    both = both.repartition(tasks, "g")
+    w = Window.partitionBy("g")
+    # both run from their first row, as a frame that ends at the last would be added up anew for each row
+    up, down = w.orderBy("line").rangeBetween(Window.unboundedPreceding, 0), w.orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, 0)
+    away = F.least(F.col("line") - F.max("at").over(up), F.min("at").over(down) - F.col("line"))
+    steps = both.withColumn("step", F.floor(away / STEP)).filter("at is null and step is not null").select("g", "line", "step").filter(F.col("step") < STEPS)
+    near, far = F.col("step") * STEP, F.col("step") * STEP + STEP - 1
+    lookup = steps.select("g", F.col("line").alias("s_line"), F.explode(F.array_distinct(F.concat(F.sequence(F.col("line") - far, F.col("line") - near), F.sequence(F.col("line") + near, F.col("line") + far)))).alias("line"))
+    lookup = lookup.repartition(tasks, "g", "line")
+    met = lookup.join(lines, ["g", "line"]).groupBy("g", F.col("s_line").alias("line")).agg(F.max("top").alias("top"))
+    picked = wants.join(met, ["g", "line"]).select("uid", "raw", "key", F.col("top.dst").alias("dst"))
+    # where all are far away, as one whose line is not known is, the last of all
+    return picked.unionAll(wants.join(best, "g").select("uid", "raw", "key", F.col("top.dst").alias("dst"))).distinct()
+
+
 def call_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """functions (uid, name, namespace, file, line) and calls (uid, raw) -> distinct edges (src, dst).
 
@@ -27,16 +78,26 @@ def call_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
     longest key that meets a function wins, and under it the best candidate: itself 120 (only under its own name), the
     whole qualified name 100, a suffix of it 75, the name 40; namespace 50; file 20; same namespace 15, same last part 8;
     15 less one for each 25 lines, up to 400, away. Of equal ones the last by file, line and uid is taken.
+
+    Under a key a score depends on what caller and function have in common and on their distance alone. So the nearest
+    function of each kind of relation is looked up, the caller itself is added, and these few are scored. Functions whose
+    name or namespace holds ``::`` are all scored.
     """
     parts = F.concat(F.transform("namespace", lambda n: F.lower(n)), F.array(F.lower("name")))
     f = functions.select("uid", "name", "namespace", "file", "line", parts.alias("parts"))
-    index = f.select(F.col("uid").alias("dst"), F.lower("name").alias("d_name"), F.col("namespace").alias("d_space"), F.col("file").alias("d_file"), F.col("line").alias("d_line"), F.array_join("parts", "::").alias("qualified"), F.explode(suffixes(F.col("parts"))).alias("key"))
+    index = f.select(F.col("uid").alias("dst"), F.lower("name").alias("d_name"), F.col("namespace").alias("d_space"), F.col("file").alias("d_file"), F.col("line").alias("d_line"), F.array_join("parts", "::").alias("qualified"), F.exists("parts", lambda x: F.contains(x, F.lit("::"))).alias("odd"), F.explode(suffixes(F.col("parts"))).alias("key"))
     segs = calls.select("uid", "raw", call_segments(F.col("raw")).alias("segs")).filter(F.size("segs") > 0)
     asked = segs.select("uid", "raw", F.array_join("segs", "::").alias("whole"), F.element_at("segs", -1).alias("base"), F.slice("segs", 1, F.size("segs") - 1).alias("space"), F.posexplode(suffixes(F.col("segs"))).alias("rank", "key"))
     own = f.select("uid", F.col("namespace").alias("s_space"), F.col("file").alias("s_file"), F.col("line").alias("s_line"))
-    met = asked.join(index, "key").join(own, "uid")
-    selfcall = F.col("uid") == F.col("dst")
     lower = lambda c: F.transform(c, lambda n: F.lower(n))
+    plain, odd = index.filter("odd is null or not odd"), index.filter("odd")
+    known = asked.join(plain.select("key").distinct(), "key", "left_semi")
+    known = known.groupBy("uid", "raw").agg(F.min_by("key", "rank").alias("key")).join(own, "uid")
+    found = _nearest(plain.select("dst", "key", (F.col("qualified") == F.col("key")).alias("full"), "d_file", lower("d_space").alias("space"), "d_line"), known.select("uid", "raw", "key", "s_file", lower("s_space").alias("space"), "s_line"))
+    few = found.unionAll(known.join(plain.select(F.col("dst").alias("uid"), "key"), ["uid", "key"]).select("uid", "raw", "key", F.col("uid").alias("dst"))).distinct()
+    met = asked.join(few, ["uid", "raw", "key"]).join(plain, ["key", "dst"]).select(*asked.columns, *[c for c in index.columns if c != "key"])
+    met = met.unionAll(asked.join(odd, "key").select(met.columns)).join(own, "uid")
+    selfcall = F.col("uid") == F.col("dst")
     ends = (F.size("space") > 0) & (F.size("space") <= F.size("d_space")) & (F.slice(lower("d_space"), F.greatest(F.size("d_space") - F.size("space") + 1, F.lit(1)), F.size("space")) == F.col("space"))
     name = F.when(F.col("qualified") == F.col("whole"), 100).when(F.endswith(F.concat(F.lit("::"), "whole"), F.concat(F.lit("::"), "qualified")), 75).when(F.col("d_name") == F.col("base"), 40).otherwise(0)
     near = F.when(lower("s_space") == lower("d_space"), 15).when(F.lower(F.element_at("s_space", -1)) == F.lower(F.element_at("d_space", -1)), 8).otherwise(0)
