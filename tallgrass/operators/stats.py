@@ -79,7 +79,7 @@ def scaled(x: Column, low: Column, high: Column, empty: float = 0.5) -> Column:
 
 def normalize(features: DataFrame, stats: DataFrame, scheme: str) -> DataFrame:
     """Adds norm: zscore, minmax or robust; clamped to [-10, 10], not-a-number and infinity to 0."""
-    v, f = F.col("value"), features.join(stats, "feature")
+    v, f = F.col("value"), features.join(F.broadcast(stats), "feature")  # a row for each feature
     if scheme == "zscore":
         x = F.when(F.col("variance") < EPS, 0.0).otherwise((v - F.col("mean")) / F.nullif("std", F.lit(0.0)))
     elif scheme == "minmax":
