@@ -80,7 +80,8 @@ def resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     Keys meet by equality, so no import is compared with a file that does not bear one of its names; a prefix that many
     imports share is joined to the one file that bears it. Equal imports of a file give one row; null names give none.
     """
-    met = asked_keys(imports.filter("name is not null").distinct()).join(module_keys(files), "key")
+    # both sides are made from small columns and grow when exploded, so Spark takes them for smaller than they are
+    met = asked_keys(imports.filter("name is not null").distinct()).join(module_keys(files).hint("merge"), "key")
     best = met.groupBy("path", "name").agg(F.min(F.struct("rank", "target")).alias("b"))
     return best.select("path", "name", F.col("b.target").alias("target"), F.col("b.rank").cast("long").alias("rank"))
 
