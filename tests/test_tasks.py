@@ -15,7 +15,7 @@ def test_tasks_grow_with_the_files(spark, sf):
     t = spark.read.parquet(f"{sf}/lineitem.parquet")
     n = int(re.search(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", plan(by_key(t, "l_orderkey", each=16)))[1])
     assert n >= 16 and n % 16 == 0
-    assert re.search(r"hashpartitioning\(id#\d+L?, 4\)", plan(by_key(spark.range(9), "id")))
+    assert re.search(r"hashpartitioning\(id#\d+L?, 8\)", plan(by_key(spark.range(9), "id")))
 
 
 def test_scores_shuffle_the_lines_once(spark, sf):
