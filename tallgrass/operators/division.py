@@ -8,6 +8,7 @@ the number of folders nor the size of one is bounded by a task. Nodes are unique
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -38,29 +39,30 @@ def bipartitions(nodes: DataFrame, edges: DataFrame, tolerance: float = TOLERANC
 
     A subset is a bit mask over the nodes in order of their names. Its share of the lines may differ from a half by the
     tolerance; of equal cuts the more even one, then the lower mask is taken. If no subset is even enough, the first half
-    of the nodes is split off. Every folder has at most 254 masks, made and weighed in one pass over its few nodes.
+    of the nodes is split off. Every folder has at most 254 masks, weighed within its row over its few nodes; only the best
+    becomes a column, and all that is grouped or joined is so by folder, so tables dealt out by folder stay where they are.
     """
     held = nodes.groupBy("dir").agg(F.count("*").alias("n")).filter(F.col("n").between(2, FEW)).select("dir")
     n = nodes.join(held, "dir").groupBy("dir").agg(F.sort_array(F.collect_list(F.struct("node", "loc"))).alias("ns"))
-    placed = n.select("dir", F.posexplode("ns.node").alias("at", "node"))
-    e = weights(edges).join(placed.select("dir", F.col("node").alias("src"), F.col("at").alias("i")), ["dir", "src"])
-    e = e.join(placed.select("dir", F.col("node").alias("dst"), F.col("at").alias("j")), ["dir", "dst"])
-    es = e.groupBy("dir").agg(F.collect_list(F.struct("i", "j", "weight")).alias("es"))
-    x = n.join(es, "dir", "left").withColumn("es", F.coalesce("es", F.expr("cast(array() as array<struct<i: int, j: int, weight: bigint>>)")))
-    x = x.withColumn("mask", F.explode(F.sequence(F.lit(1), F.expr("cast(shiftleft(1, size(ns)) - 2 as int)"))))
-
-    def bit(i: Column) -> Column:
-        return F.expr("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), i)) != 0
-
-    own = F.aggregate(F.transform("ns", lambda v, i: F.when(bit(i), v["loc"]).otherwise(0)), F.lit(0).cast("long"), lambda s, v: s + v)
-    all_ = F.aggregate("ns", F.lit(0).cast("long"), lambda s, v: s + v["loc"])
-    cut = F.aggregate("es", F.lit(0).cast("long"), lambda s, v: s + F.when(bit(v["i"]) & ~bit(v["j"]), v["weight"]).otherwise(0))
-    uneven = F.when(all_ > 0, F.abs(own / all_ - 0.5)).otherwise(0.0)
-    x = x.withColumns({"cut": cut, "uneven": uneven})
-    best = F.min(F.when(F.col("uneven") <= tolerance, F.struct("cut", "uneven", "mask"))).alias("best")
-    b = x.groupBy("dir").agg(best, F.first("ns").alias("ns"))
+    es = weights(edges.join(held, "dir", "left_semi")).groupBy("dir").agg(F.collect_list(F.struct("src", "dst", "weight")).alias("named"))
+    at = lambda c: F.array_position("ns.node", c) - 1
+    x = n.join(es, "dir", "left")
+    x = x.withColumn("es", F.filter(F.transform("named", lambda e: F.struct(at(e["src"]).alias("i"), at(e["dst"]).alias("j"), e["weight"].alias("weight"))), lambda e: (e["i"] >= 0) & (e["j"] >= 0)))
+    x = x.withColumn("es", F.coalesce("es", F.expr("cast(array() as array<struct<i: bigint, j: bigint, weight: bigint>>)"))).drop("named")
+    x = x.withColumn("total", F.aggregate("ns", F.lit(0).cast("long"), lambda s, v: s + v["loc"]))
+
+    def bit(mask: Column, i: Column) -> Column:
+        return F.call_function("shiftright", mask, i.cast("int")).bitwiseAND(F.lit(1)) != 0
+
+    def weighed(mask: Column) -> Column:
+        own = F.aggregate(F.transform("ns", lambda v, i: F.when(bit(mask, i), v["loc"]).otherwise(0)), F.lit(0).cast("long"), lambda s, v: s + v)
+        cut = F.aggregate("es", F.lit(0).cast("long"), lambda s, e: s + F.when(bit(mask, e["i"]) & ~bit(mask, e["j"]), e["weight"]).otherwise(0))
+        return F.struct(cut.alias("cut"), F.when(F.col("total") > 0, F.abs(own / F.col("total") - 0.5)).otherwise(0.0).alias("uneven"), mask.alias("mask"))
+
+    masks = F.sequence(F.lit(1), F.expr("cast(shiftleft(1, size(ns)) - 2 as int)"))
+    best = F.array_min(F.filter(F.transform(masks, weighed), lambda w: w["uneven"] <= tolerance))
     half = F.expr("cast(shiftleft(1, size(ns) div 2) - 1 as int)")
-    b = b.select("dir", F.coalesce("best.mask", half).alias("mask"), F.posexplode("ns.node").alias("at", "node"))
+    b = x.select("dir", "ns", best.alias("best")).select("dir", F.coalesce("best.mask", half).alias("mask"), F.posexplode("ns.node").alias("at", "node"))
     return b.select("dir", "node", F.when(F.col("mask").bitwiseAND(F.expr("shiftleft(1, at)")) != 0, 0).otherwise(1).alias("part"))
 
 
@@ -77,9 +79,11 @@ def labels(nodes: DataFrame, edges: DataFrame, rounds: int = VOTES) -> DataFrame
     of equal ones the least is taken. In a round all nodes that would change are found at once, and those of them change
     that come before every such node they are joined to, in the order of (CRC-32 of the name, name): so no two neighbours
     swap labels, and a round is what some sequence of single votes gives. It ends when none would change, or after
-    ``rounds`` rounds.
+    ``rounds`` rounds. A folder in which none would change stays as it is, so such folders are left out of later rounds,
+    each time that they are half of those left.
     """
     e = written(weights(edges), "edges")
+    settled, most = [], nodes.select("dir").distinct().count()
     current = written(nodes.select("dir", "node", F.col("node").alias("label")), "labels")
     order = F.struct(F.crc32("node").alias("crc"), F.col("node"))
     for _ in range(rounds):
@@ -95,10 +99,19 @@ def labels(nodes: DataFrame, edges: DataFrame, rounds: int = VOTES) -> DataFrame
         moves = would.join(waits, ["dir", "node"], "left_anti").select("dir", "node", "to")
         new = written(current.join(moves, ["dir", "node"], "left").select("dir", "node", F.coalesce("to", "label").alias("label")), "labels")
         dropped(current)
-        dropped(would)
         current = new
+        moving = would.select("dir").distinct()
+        left = moving.count()
+        if 2 * left <= most:
+            settled.append(written(current.join(moving, "dir", "left_anti").select(current.columns), "settled"))
+            fewer, most = written(e.join(moving, "dir", "left_semi").select(e.columns), "edges"), left
+            new = written(current.join(moving, "dir", "left_semi").select(current.columns), "labels")
+            dropped(e)
+            dropped(current)
+            e, current = fewer, new
+        dropped(would)
     dropped(e)
-    return current
+    return reduce(DataFrame.unionAll, [*settled, current])
 
 
 def to_parts(found: DataFrame, k: DataFrame) -> DataFrame:
@@ -145,13 +158,13 @@ def refined(parts: DataFrame, edges: DataFrame, passes: int = MOVES) -> DataFram
 
     A pass goes over the pairs of parts in order; for each, the one node that gains most by changing sides moves, if it
     gains: its edges to the other part less those to its own. Of equal gains one of the first part, then the least node
-    moves. It ends when a pass moves none. Every folder's best node is found by one aggregate, all folders at once.
+    moves. It ends when a pass moves none. Every folder's best node is found by one aggregate, all folders at once; a folder
+    in which a pass moved none is left out of later passes.
     """
     e = written(weights(edges), "edges")
-    current = written(parts, "parts")
+    current, settled = written(parts.withColumn("moves", F.lit(0)), "parts"), []
     most = current.agg(F.max("part")).first()[0] or 0
     for _ in range(passes):
-        moved = False
         for i in range(most + 1):
             for j in range(i + 1, most + 1):
                 sides = current.filter(F.col("part").isin(i, j))
@@ -159,14 +172,20 @@ def refined(parts: DataFrame, edges: DataFrame, passes: int = MOVES) -> DataFram
                 gain = F.sum(F.when(F.col("there") == F.col("part"), -F.col("weight")).otherwise(F.col("weight")))
                 g = e.join(sides.select("dir", F.col("node").alias("src"), "part"), ["dir", "src"]).join(to, ["dir", "dst"]).groupBy("dir", "src", "part").agg(gain.alias("gain")).filter("gain > 0")
                 best = g.groupBy("dir").agg(F.min(F.struct((-F.col("gain")).alias("g"), "part", "src")).alias("b")).select("dir", F.col("b.src").alias("node"), (F.lit(i + j) - F.col("b.part")).alias("to"))
-                new = written(current.join(best, ["dir", "node"], "left").select("dir", "node", F.coalesce("to", "part").alias("part"), F.col("to").isNotNull().alias("went")), "parts")
+                new = written(current.join(best, ["dir", "node"], "left").select("dir", "node", F.coalesce("to", "part").alias("part"), (F.col("moves") + F.col("to").isNotNull().cast("int")).alias("moves")), "parts")
                 dropped(current)
-                moved = moved or not new.filter("went").isEmpty()
-                current = new.drop("went")
-        if not moved:
+                current = new
+        moved = written(current.filter("moves > 0").select("dir").distinct(), "moved")
+        settled.append(written(current.join(moved, "dir", "left_anti").select("dir", "node", "part"), "settled"))
+        rest = written(current.join(moved, "dir", "left_semi").select("dir", "node", "part", F.lit(0).alias("moves")), "parts")
+        fewer = written(e.join(moved, "dir", "left_semi").select(e.columns), "edges")
+        for t in (e, current, moved):
+            dropped(t)
+        e, current = fewer, rest
+        if current.isEmpty():
             break
     dropped(e)
-    return current
+    return reduce(DataFrame.unionAll, [*settled, current.select("dir", "node", "part")])
 
 
 def divided(nodes: DataFrame, edges: DataFrame) -> DataFrame:
