@@ -56,6 +56,13 @@ class Model:
         self.fits: dict[int, bool] = {}
         self.automaton = None
 
+    def __getattr__(self, name: str):
+        """How tokens are put together is learned when it is first asked for."""
+        if name not in ("split", "direct", "byte", "long") or "automaton" not in self.__dict__:
+            raise AttributeError(name)
+        self._learn()
+        return self.__dict__[name]
+
     def _learn(self) -> None:
         """What encoding needs beside the pieces: how each is put together, the automaton, where texts may be cut."""
         import ahocorasick
