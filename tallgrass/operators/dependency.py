@@ -52,7 +52,7 @@ def _nearest(index: DataFrame, asked: DataFrame) -> DataFrame:
     best = lines.groupBy("g").agg(F.max("top").alias("top"))
     wants = asked.withColumn("r", F.explode(_relations(F.col("s_file"), F.col("space")))).withColumn("whole", F.explode(F.array(F.lit(False), F.lit(True))))
     wants = written(wants.select("uid", "raw", "key", on(F.col("whole").alias("full")), F.col("s_line").alias("line")), "wants")
-    places = wants.select("g", "line").distinct().join(best.select("g"), "g", "left_semi").filter("line is not null")
+    places = wants.select("g", "line").distinct().join(best.select("g").hint("merge"), "g", "left_semi").filter("line is not null")
     # the nearest lines before and after each caller's line
     both = lines.filter("line is not null").select("g", "line", F.col("line").alias("at")).unionAll(places.select("g", "line", F.lit(None).cast(dict(lines.dtypes)["line"]).alias("at")))
     tasks = 4 * index.sparkSession.sparkContext.defaultParallelism  # few bytes, but much work for each
@@ -65,10 +65,10 @@ def _nearest(index: DataFrame, asked: DataFrame) -> DataFrame:
     near, far = F.col("step") * STEP, F.col("step") * STEP + STEP - 1
     lookup = steps.select("g", F.col("line").alias("s_line"), F.explode(F.array_distinct(F.concat(F.sequence(F.col("line") - far, F.col("line") - near), F.sequence(F.col("line") + near, F.col("line") + far)))).alias("line"))
     lookup = lookup.repartition(tasks, "g", "line")
-    met = lookup.join(lines, ["g", "line"]).groupBy("g", F.col("s_line").alias("line")).agg(F.max("top").alias("top"))
-    picked = wants.join(met, ["g", "line"]).select("uid", "raw", "key", F.col("top.dst").alias("dst"))
+    met = lookup.join(lines.hint("merge"), ["g", "line"]).groupBy("g", F.col("s_line").alias("line")).agg(F.max("top").alias("top"))
+    picked = wants.join(met.hint("merge"), ["g", "line"]).select("uid", "raw", "key", F.col("top.dst").alias("dst"))
     # where all are far away, as one whose line is not known is, the last of all
-    return picked.unionAll(wants.join(best, "g").select("uid", "raw", "key", F.col("top.dst").alias("dst"))).distinct()
+    return picked.unionAll(wants.join(best.hint("merge"), "g").select("uid", "raw", "key", F.col("top.dst").alias("dst"))).distinct()
 
 
 def call_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
@@ -81,7 +81,8 @@ def call_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
 
     Under a key a score depends on what caller and function have in common and on their distance alone. So the nearest
     function of each kind of relation is looked up, the caller itself is added, and these few are scored. Functions whose
-    name or namespace holds ``::`` are all scored.
+    name or namespace holds ``::`` are all scored. Joins are by sorting: functions and calls are made from few columns of a
+    small file, so Spark takes them for smaller than they are and would broadcast them by way of the driver.
     """
     parts = F.concat(F.transform("namespace", lambda n: F.lower(n)), F.array(F.lower("name")))
     f = functions.select("uid", "name", "namespace", "file", "line", parts.alias("parts"))
@@ -91,12 +92,12 @@ def call_edges(functions: DataFrame, calls: DataFrame) -> DataFrame:
     own = f.select("uid", F.col("namespace").alias("s_space"), F.col("file").alias("s_file"), F.col("line").alias("s_line"))
     lower = lambda c: F.transform(c, lambda n: F.lower(n))
     plain, odd = index.filter("odd is null or not odd"), index.filter("odd")
-    known = asked.join(plain.select("key").distinct(), "key", "left_semi")
-    known = known.groupBy("uid", "raw").agg(F.min_by("key", "rank").alias("key")).join(own, "uid")
+    known = asked.join(plain.select("key").distinct().hint("merge"), "key", "left_semi")
+    known = known.groupBy("uid", "raw").agg(F.min_by("key", "rank").alias("key")).join(own.hint("merge"), "uid")
     found = _nearest(plain.select("dst", "key", (F.col("qualified") == F.col("key")).alias("full"), "d_file", lower("d_space").alias("space"), "d_line"), known.select("uid", "raw", "key", "s_file", lower("s_space").alias("space"), "s_line"))
-    few = found.unionAll(known.join(plain.select(F.col("dst").alias("uid"), "key"), ["uid", "key"]).select("uid", "raw", "key", F.col("uid").alias("dst"))).distinct()
-    met = asked.join(few, ["uid", "raw", "key"]).join(plain, ["key", "dst"]).select(*asked.columns, *[c for c in index.columns if c != "key"])
-    met = met.unionAll(asked.join(odd, "key").select(met.columns)).join(own, "uid")
+    few = found.unionAll(known.join(plain.select(F.col("dst").alias("uid"), "key").hint("merge"), ["uid", "key"]).select("uid", "raw", "key", F.col("uid").alias("dst"))).distinct()
+    met = asked.join(few.hint("merge"), ["uid", "raw", "key"]).join(plain.hint("merge"), ["key", "dst"]).select(*asked.columns, *[c for c in index.columns if c != "key"])
+    met = met.unionAll(asked.join(odd.hint("merge"), "key").select(met.columns)).join(own.hint("merge"), "uid")
     selfcall = F.col("uid") == F.col("dst")
     ends = (F.size("space") > 0) & (F.size("space") <= F.size("d_space")) & (F.slice(lower("d_space"), F.greatest(F.size("d_space") - F.size("space") + 1, F.lit(1)), F.size("space")) == F.col("space"))
     name = F.when(F.col("qualified") == F.col("whole"), 100).when(F.endswith(F.concat(F.lit("::"), "whole"), F.concat(F.lit("::"), "qualified")), 75).when(F.col("d_name") == F.col("base"), 40).otherwise(0)

@@ -2,8 +2,8 @@
 
 import re
 
-from tallgrass.operators import division, graph, textstats
-from tallgrass.plans import catalog, catalog5
+from tallgrass.operators import dependency, division, graph, textstats
+from tallgrass.plans import catalog, catalog4, catalog5
 
 
 def plan(df):
@@ -63,3 +63,10 @@ def test_pairs_and_words_go_to_tasks_that_grow(spark, sf):
     assert any(re.search(r"hashpartitioning\(a#\d+L?, b#\d+L?, 32\), REPARTITION_BY_NUM", x) for x in pairs) and any(re.search(r"hashpartitioning\(token#\d+, 16\), REPARTITION_BY_NUM", x) for x in pairs)
     words = exchanges(textstats.select_words(catalog.entities(spark, sf)))
     assert sum("word#" in x for x in words if "hashpartitioning(word#" in x) and not any("hashpartitioning(id#" in x and "word#" in x.split("hashpartitioning")[1].split(")")[0] for x in words)
+
+
+def test_functions_and_calls_are_not_broadcast(spark, sf, monkeypatch):
+    seen, put = [], dependency.written
+    monkeypatch.setattr(dependency, "written", lambda df, name: seen.append(plan(df)) or put(df, name))
+    seen.append(plan(catalog4.call_edges(spark, sf)))
+    assert len(seen) == 3 and not any("Broadcast" in p for p in seen)
