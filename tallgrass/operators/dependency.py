@@ -134,10 +134,10 @@ def modules(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Roll-up of (node, path, choke, cyclic) and edges to files: functions, greatest choke, any cycle, edges in and out (own ones too)."""
     per = nodes.groupBy("path").agg(F.count("*").alias("functions"), F.max("choke").alias("max_choke"), F.bool_or("cyclic").alias("cyclic"))
     a, b = nodes.select(F.col("node").alias("src"), F.col("path").alias("sp")), nodes.select(F.col("node").alias("dst"), F.col("path").alias("dp"))
-    e = edges.join(a, "src").join(b, "dst")
+    e = edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst")
     out, into = e.groupBy(F.col("sp").alias("path")).agg(F.count("*").alias("fan_out")), e.groupBy(F.col("dp").alias("path")).agg(F.count("*").alias("fan_in"))
     zero = F.lit(0).cast("long")
-    return per.join(out, "path", "left").join(into, "path", "left").select("path", "functions", "max_choke", "cyclic", F.coalesce("fan_in", zero).alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"))
+    return per.join(out.hint("merge"), "path", "left").join(into.hint("merge"), "path", "left").select("path", "functions", "max_choke", "cyclic", F.coalesce("fan_in", zero).alias("fan_in"), F.coalesce("fan_out", zero).alias("fan_out"))
 
 
 def best_rank(found: DataFrame, key: str) -> DataFrame:

@@ -70,3 +70,8 @@ def test_functions_and_calls_are_not_broadcast(spark, sf, monkeypatch):
     monkeypatch.setattr(dependency, "written", lambda df, name: seen.append(plan(df)) or put(df, name))
     seen.append(plan(catalog4.call_edges(spark, sf)))
     assert len(seen) == 3 and not any("Broadcast" in p for p in seen)
+
+
+def test_files_of_functions_are_not_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr(dependency, "call_edges", lambda f, c: spark.range(9).selectExpr("id AS src", "id + 1 AS dst"))
+    assert "Broadcast" not in plan(catalog4.module_rollup(spark, sf))
