@@ -127,7 +127,7 @@ def affinity(pairs: DataFrame) -> DataFrame:
 def crossing(edges: DataFrame, slices: DataFrame) -> DataFrame:
     """Edges (src, dst) between slices (node, slice), by slice."""
     a, b = slices.select(F.col("node").alias("src"), F.col("slice").alias("a")), slices.select(F.col("node").alias("dst"), F.col("slice").alias("b"))
-    return edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("slice")).agg(F.count_if(F.col("a") != F.col("b")).alias("crossing"), F.count("*").alias("edges"))
+    return edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").groupBy(F.col("a").alias("slice")).agg(F.count_if(F.col("a") != F.col("b")).alias("crossing"), F.count("*").alias("edges"))
 
 
 def modules(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -75,3 +75,8 @@ def test_functions_and_calls_are_not_broadcast(spark, sf, monkeypatch):
 def test_files_of_functions_are_not_broadcast(spark, sf, monkeypatch):
     monkeypatch.setattr(dependency, "call_edges", lambda f, c: spark.range(9).selectExpr("id AS src", "id + 1 AS dst"))
     assert "Broadcast" not in plan(catalog4.module_rollup(spark, sf))
+
+
+def test_slices_are_not_broadcast(spark, sf, monkeypatch):
+    monkeypatch.setattr(dependency, "call_edges", lambda f, c: spark.range(9).selectExpr("id AS src", "id + 1 AS dst"))
+    assert "Broadcast" not in plan(catalog4.slice_crossings(spark, sf))
